@@ -23,7 +23,7 @@ def read_cues(spark: SparkSession, path: str) -> DataFrame:
     """SRT or WebVTT files: media_id (file), number, t0, t1, text, in file order."""
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("media_id"), F.regexp_replace("value", "\r\n?", "\n").alias("v"))
     blocks = files.select("media_id", F.posexplode(F.split("v", r"\n[ \t]*\n\s*")).alias("place", "block")).where(F.col("block").rlike(TIMING))
-    body = F.trim(F.regexp_replace(F.substring_index("block", "-->", -1), r"^[^\n]*\n?", ""))
+    body = F.regexp_replace(F.regexp_replace(F.substring_index("block", "-->", -1), r"^[^\n]*\n?", ""), r"^\s+|\s+$", "")
     rows = blocks.select("media_id", "place", _seconds("block", TIMING, 1, 1000).alias("t0"), _seconds("block", TIMING, 5, 1000).alias("t1"), body.alias("text"))
     return rows.where("t1 >= t0").select("media_id", "place", "t0", "t1", "text")
 
