@@ -49,7 +49,8 @@ def op8_exact_quotient(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     marker = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-7, 0, "user", marker), (-7, 1, "assistant", marker)], "conv_id long, turn long, role string, text string")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(marker).alias("text"))
     turns = chat.reconstruct(chat.log_of(rows.unionByName(extra)))
     return chat.digests(chat.read_back(chat.render(turns)))
 
