@@ -144,7 +144,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     best = F.max(F.struct("doc_id", "row_id")).alias("best")
     shared = keys.join(repeats.select("fp"), "fp", "left_semi").groupBy("fp", "sha").agg(best).join(proved, ["fp", "sha"])
     shared = shared.select("fp", "sha", F.col("best.doc_id").alias("keep_id"), F.col("best.row_id").alias("keep_row"), "group_size")
-    out = keys.join(shared, ["fp", "sha"], "left")
+    # written first: Spark can then split a hot fingerprint's rows in the join, or broadcast a small table
+    out = keys.join(stage(shared, "dedup-groups"), ["fp", "sha"], "left")
     single = F.col("group_size").isNull()
     return out.select(
         "doc_id",
