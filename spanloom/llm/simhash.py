@@ -232,7 +232,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of = linked.join(ids, "root").select("fp", "component_id")
     all_ = distinct.join(of, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return printed.join(all_, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # written first: Spark can then split a hot fingerprint's rows in the join, or broadcast a small table
+    return printed.join(stage(all_, "simhash-groups"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near(docs: DataFrame) -> DataFrame:
