@@ -96,3 +96,52 @@ def grid_vote(spans: DataFrame, by: Sequence[str], cell: float, votes: int) -> D
     run = F.col("cell") - F.row_number().over(W.partitionBy(*by).orderBy("cell"))
     runs = per.withColumn("_run", run).groupBy(*by, "_run").agg(F.min("cell").alias("first_cell"), F.max("cell").alias("last_cell"), F.max("n").alias("most_votes"))
     return runs.drop("_run")
+
+
+def word_events(words: DataFrame, by: Sequence[str], least: float, most: float) -> DataFrame:
+    """Consecutive words of one speaker whose gap lies in [least, most] are one event."""
+    w = W.partitionBy(*by).orderBy("t0", "t1", "id")
+    marked = words.withColumn("_e", F.lag("t1").over(w)).withColumn("_w", F.lag("speaker").over(w))
+    gap = F.col("t0") - F.col("_e")
+    runs = _islands(marked, by, F.col("_e").isNull() | ~F.col("speaker").eqNullSafe(F.col("_w")) | (gap < least) | (gap > most))
+    return runs.groupBy(*by, "island").agg(F.max("speaker").alias("speaker"), F.count(F.lit(1)).alias("words"), F.min("t0").alias("t0"), F.max("t1").alias("t1")).drop("island")
+
+
+def close_gaps(spans: DataFrame, by: Sequence[str], gap: float) -> DataFrame:
+    """A span ends 1 ms before the next one if the gap is within ``gap`` and both have one speaker (none equals none)."""
+    w = W.partitionBy(*by).orderBy("t0", "t1", "id")
+    marked = spans.withColumn("_n", F.lead("t0").over(w)).withColumn("_w", F.lead("speaker").over(w))
+    near = (F.col("_n") > F.col("t1")) & (F.col("_n") - F.col("t1") <= gap) & F.col("speaker").eqNullSafe(F.col("_w"))
+    return marked.withColumn("t1", F.when(near, F.col("_n") - 0.001).otherwise(F.col("t1"))).drop("_n", "_w")
+
+
+def overlap_groups(spans: DataFrame, by: Sequence[str], tracks: int) -> DataFrame:
+    """Runs of overlapping spans as one row: of the first ``tracks`` members, the first of each speaker; runs with one speaker are left out."""
+    w = W.partitionBy(*by).orderBy("t0", "t1", "id").rowsBetween(W.unboundedPreceding, -1)
+    marked = spans.withColumn("_e", F.max("t1").over(w))
+    runs = _islands(marked, by, F.col("_e").isNull() | (F.col("t0") >= F.col("_e")))
+    order = ("t0", "t1", "id")
+    head = runs.withColumn("_k", F.row_number().over(W.partitionBy(*by, "island").orderBy(*order))).where(F.col("_k") <= tracks)
+    head = head.withColumn("_m", F.row_number().over(W.partitionBy(*by, "island", "speaker").orderBy(*order))).where("_m = 1")
+    lines = F.array_sort(F.collect_list(F.struct(*order, "speaker")))
+    g = head.groupBy(*by, "island").agg(F.min("id").alias("group_id"), F.count(F.lit(1)).alias("tracks"), lines.alias("_l"), F.min("t0").alias("t0"), F.max("t1").alias("t1"))
+    return g.where("tracks > 1").withColumn("label", F.array_join(F.col("_l.speaker"), " | ")).drop("_l", "island")
+
+
+def macro_chunks(spans: DataFrame, by: Sequence[str], silence: float, margin: float) -> DataFrame:
+    """Chunks between the middles of silences of ``silence`` or more, each ``margin`` longer on both sides but inside the envelope."""
+    gap = F.lead("t0").over(W.partitionBy(*by).orderBy("t0", "t1", "id")) - F.col("t1")
+    ends = spans.groupBy(*by).agg(F.min("t0").alias("_a"), F.max("t1").alias("_b"))
+    cuts = spans.withColumn("_g", gap).where(F.col("_g") >= silence).select(*by, (F.col("t1") + F.col("_g") / 2).alias("x"))
+    w = W.partitionBy(*by).orderBy("x")
+    chunk = cuts.unionByName(ends.select(*by, F.col("_a").alias("x"))).join(ends, [*by]).withColumn("_y", F.lead("x").over(w))
+    return chunk.select(*by, F.greatest("_a", F.col("x") - margin).alias("c0"), F.when(F.col("_y").isNull(), F.col("_b")).otherwise(F.least("_b", F.col("_y") + margin)).alias("c1"))
+
+
+def drop_runs(spans: DataFrame, by: Sequence[str], value: str, drop: float, least: int) -> DataFrame:
+    """Runs of at least ``least`` rows where the mean of the two values before exceeds that of the three from here by more than ``drop``."""
+    w = W.partitionBy(*by).orderBy("t0", "t1", "id")
+    fall = F.avg(value).over(w.rowsBetween(-2, -1)) - F.avg(value).over(w.rowsBetween(0, 2))
+    rows = spans.withColumn("_d", fall).withColumn("_k", F.row_number().over(w)).where(F.col("_d") > drop)
+    run = rows.withColumn("_r", F.col("_k") - F.row_number().over(W.partitionBy(*by).orderBy("_k")))
+    return run.groupBy(*by, "_r").agg(F.min("_k").alias("first_row"), F.count(F.lit(1)).alias("length")).where(F.col("length") >= least).drop("_r")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -14,36 +11,9 @@ from ..operators import coalesce as co
 from ..operators import intervals as iv
 from ..operators import metrics as mx
 from ..sources.tables import spans, table
+from .registry import HOUR, MS, ORACLES, QUERIES, M, _ms, _of, query
 
-M = ["media_id"]
-HOUR = 3600.0
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-SPANS = """s AS (SELECT event_id AS id, user_id AS media_id, event_type AS speaker, epoch_us(ts) / CAST(1000000 AS DOUBLE) AS t0,
-    epoch_us(ts) / CAST(1000000 AS DOUBLE) + value * 60 AS t1, value FROM events)"""
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql.replace("{S}", SPANS)
-        return f
-
-    return add
-
-
-def _ms(*names: str):
-    return [F.round(F.col(n) * 1000).cast("long").alias(n + "_ms") for n in names]
-
-
-def _of(spark, d, kind, negate=False):
-    s = spans(spark, d)
-    return s.where(F.col("speaker") != kind) if negate else s.where(F.col("speaker") == kind)
-
-
-MS = "CAST(round({0} * 1000) AS BIGINT) AS {0}_ms"
+__all__ = ["ORACLES", "QUERIES"]
 
 
 @query(f"""WITH {{S}}, r AS (SELECT *, max(t1) OVER (PARTITION BY media_id ORDER BY t0, t1, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s),
@@ -271,12 +241,13 @@ def history_latest_completed(spark, d):
 
 
 @query("""WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
-q AS (SELECT * FROM v WHERE vec_id < 10)
-SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.v, v.v), 6) AS cosine FROM q JOIN v ON q.label = v.label AND q.vec_id <> v.vec_id""")
+n AS (SELECT *, lead(v) OVER (PARTITION BY label ORDER BY vec_id) AS n, lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS next_id FROM v)
+SELECT vec_id, next_id, round(list_cosine_similarity(v, n), 6) AS cosine FROM n WHERE next_id IS NOT NULL""")
 def vector_cosine(spark, d):
+    w = W.partitionBy("label").orderBy("vec_id")
     v = table(spark, d, "embeddings").select("vec_id", "label", vx.doubles(F.col("embedding")).alias("v"))
-    q = v.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), "label", F.col("v").alias("qv"))  # ten rows
-    return q.join(v, "label").where("query_id <> vec_id").select("query_id", "vec_id", F.round(vx.cosine(F.col("qv"), F.col("v")), 6).alias("cosine"))
+    n = v.withColumn("n", F.lead("v").over(w)).withColumn("next_id", F.lead("vec_id").over(w)).where("next_id IS NOT NULL")
+    return n.select("vec_id", "next_id", F.round(vx.cosine(F.col("v"), F.col("n")), 6).alias("cosine"))
 
 
 @query("""WITH e AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), c AS (SELECT label, i, avg(CAST(x AS DOUBLE)) AS x FROM e GROUP BY ALL)
@@ -286,10 +257,10 @@ def centroids(spark, d):
     return e.groupBy("label", (F.col("p") + 1).alias("i")).agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("x"))
 
 
-@query(r"""SELECT doc_id, trim(regexp_replace(lower(text), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS norm, text SIMILAR TO '(.|\n)*[.!?。！？…][ \t\n\x0B\f\r]*' AS ends FROM documents WHERE lang = 'en'""")
+@query(r"""SELECT doc_id, trim(regexp_replace(lower(text), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS norm, text SIMILAR TO '(.|\n)*[.!?。！？…][ \t\n\x0B\f\r]*' AS ends FROM documents""")
 def normalise_text(spark, d):
     t = F.col("text")
-    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", tx.squeeze(t).alias("norm"), tx.ends_sentence(t).alias("ends"))
+    return table(spark, d, "documents").select("doc_id", tx.squeeze(t).alias("norm"), tx.ends_sentence(t).alias("ends"))
 
 
 @query(r"""WITH w AS (SELECT lang, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents), c AS (SELECT lang, word, count(*) AS n FROM w GROUP BY ALL),
@@ -308,13 +279,12 @@ def jaccard_turns(spark, d):
     return t.join(n, ["conv_id", "turn"]).select("conv_id", "turn", F.round(tx.jaccard(F.col("w"), F.col("n")), 6).alias("jaccard"))
 
 
-@query("""SELECT a.p_partkey AS a_key, b.p_partkey AS b_key, levenshtein(a.p_name, b.p_name) AS distance
-FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey""")
+@query("""WITH n AS (SELECT p_partkey AS a_key, p_name, lead(p_partkey) OVER w AS b_key, lead(p_name) OVER w AS n FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_partkey))
+SELECT a_key, b_key, levenshtein(p_name, n) AS distance FROM n WHERE b_key IS NOT NULL""")
 def levenshtein_pairs(spark, d):
-    p = table(spark, d, "part").select("p_partkey", "p_brand", "p_type", "p_name")
-    b = p.select("p_brand", "p_type", F.col("p_partkey").alias("b_key"), F.col("p_name").alias("b_name"))
-    pairs = p.join(b, ["p_brand", "p_type"]).where("p_partkey < b_key")
-    return pairs.select(F.col("p_partkey").alias("a_key"), "b_key", F.levenshtein("p_name", "b_name").cast("long").alias("distance"))
+    w = W.partitionBy("p_brand").orderBy("p_partkey")
+    n = table(spark, d, "part").select(F.col("p_partkey").alias("a_key"), "p_name", F.lead("p_partkey").over(w).alias("b_key"), F.lead("p_name").over(w).alias("n"))
+    return n.where("b_key IS NOT NULL").select("a_key", "b_key", F.levenshtein("p_name", "n").cast("long").alias("distance"))
 
 
 @query("""WITH u AS (SELECT l_suppkey AS k, 'line' AS src, 2 AS pri, CAST(l_quantity AS DOUBLE) AS v FROM lineitem UNION ALL SELECT s_suppkey, 'supplier', 1, s_acctbal FROM supplier),
@@ -339,3 +309,6 @@ def tiered_merge_decision(spark, d):
 def json_props_rollup(spark, d):
     e = table(spark, d, "events").select("event_type", F.get_json_object("props", "$.k").cast("long").alias("k"))
     return e.groupBy("event_type", "k").agg(F.count(F.lit(1)).alias("n")).withColumn("key_hash", F.sha2("event_type", 256))
+
+
+from . import timeline  # noqa: E402, F401  registers its queries
