@@ -1,7 +1,8 @@
 """Alignments and removals whose state no fold carries, as grouped Python kernels.
 
 Every kernel runs on stretches: runs of the union of its inputs parted by silences of at least ``gap`` seconds, so a
-task holds one stretch and not a recording. Rows of different stretches never pair.
+call holds one stretch and not a recording. Rows of different stretches never pair. Stretches that leave nothing to
+decide (one row, or one side only) stay in the JVM.
 """
 
 from __future__ import annotations
@@ -89,7 +90,9 @@ def _groups(path: list[tuple[int, int]]) -> list[tuple[list[int], list[int]]]:
 def _both(left: DataFrame, right: DataFrame, by: Sequence[str], gap: float) -> DataFrame:
     cols = [*by, "id", "t0", "t1", "text"]
     both = left.select(*cols, F.lit(0).alias("side")).unionByName(right.select(*cols, F.lit(1).alias("side")))
-    return stretches(both.withColumn("text", F.coalesce("text", F.lit(""))), by, gap)
+    marked = stretches(both.withColumn("text", F.coalesce("text", F.lit(""))), by, gap)
+    w = W.partitionBy(*by, "stretch")
+    return marked.withColumn("mixed", F.min("side").over(w) != F.max("side").over(w))
 
 
 def align(left: DataFrame, right: DataFrame, by: Sequence[str], gap: float = 2.0) -> DataFrame:
@@ -105,10 +108,6 @@ def align(left: DataFrame, right: DataFrame, by: Sequence[str], gap: float = 2.0
         pdf = pdf.sort_values(["t0", "t1", "id"])
         a, b = pdf[pdf.side == 0], pdf[pdf.side == 1]
         key = [pdf[c].iloc[0] for c in by]
-        if a.empty or b.empty:
-            kind = "INSERT" if b.empty else "DELETE"
-            rows = [[*key, [i] if b.empty else [], [] if b.empty else [i], kind, 0.0, 0.0, 0.0] for i in pdf.id]
-            return pd.DataFrame(rows, columns=[*by, "left_ids", "right_ids", "match_type", "iou", "text_sim", "score"])
         a0, a1, b0, b1 = (x.to_numpy(float) for x in (a.t0, a.t1, b.t0, b.t1))
         at, bt, ai, bi = list(a.text), list(b.text), list(a.id), list(b.id)
         iou = _hull_iou(a0, a1, b0, b1)
@@ -123,7 +122,14 @@ def align(left: DataFrame, right: DataFrame, by: Sequence[str], gap: float = 2.0
             rows.append([*key, [ai[i] for i in x], [bi[j] for j in y], kind, o, t, TIME * o + TEXT * t])
         return pd.DataFrame(rows, columns=[*by, "left_ids", "right_ids", "match_type", "iou", "text_sim", "score"])
 
-    return _both(left, right, by, gap).groupBy(*by, "stretch").applyInPandas(one, schema)
+    both = _both(left, right, by, gap)
+    none, this, zero = F.array().cast("array<bigint>"), F.array("id"), F.lit(0.0)
+    first = F.col("side") == 0
+    alone = both.where("NOT mixed").select(
+        *by, F.when(first, this).otherwise(none).alias("left_ids"), F.when(first, none).otherwise(this).alias("right_ids"),
+        F.when(first, "INSERT").otherwise("DELETE").alias("match_type"), zero.alias("iou"), zero.alias("text_sim"), zero.alias("score"),
+    )
+    return both.where("mixed").drop("mixed").groupBy(*by, "stretch").applyInPandas(one, schema).unionByName(alone)
 
 
 def greedy_match(left: DataFrame, right: DataFrame, by: Sequence[str], reach: float = 3.0) -> DataFrame:
@@ -145,7 +151,8 @@ def greedy_match(left: DataFrame, right: DataFrame, by: Sequence[str], reach: fl
         return pd.DataFrame(rows, columns=[*by, "id", "r_id", "score"])
 
     # starts further apart than 2 * reach never pair, so that is also where stretches may part
-    return _both(left, right, by, 2 * reach + 1e-6).groupBy(*by, "stretch").applyInPandas(one, f"{keys}, id bigint, r_id bigint, score double")
+    both = _both(left, right, by, 2 * reach + 1e-6).where("mixed").drop("mixed")
+    return both.groupBy(*by, "stretch").applyInPandas(one, f"{keys}, id bigint, r_id bigint, score double")
 
 
 def joined_text(a: str, b: str) -> str:
@@ -193,7 +200,10 @@ def drop_overlapping(cues: DataFrame, by: Sequence[str]) -> DataFrame:
         pdf["text"] = now
         return pdf.drop(index=sorted(gone))[schema.names]
 
-    return stretches(cues.withColumn("text", F.coalesce("text", F.lit(""))), by, 0.0).groupBy(*by, "stretch").applyInPandas(one, schema)
+    marked = stretches(cues.withColumn("text", F.coalesce("text", F.lit(""))), by, 0.0)
+    marked = marked.withColumn("_size", F.count(F.lit(1)).over(W.partitionBy(*by, "stretch")))
+    lone = marked.where("_size = 1").select(*schema.names)
+    return marked.where("_size > 1").drop("_size").groupBy(*by, "stretch").applyInPandas(one, schema).unionByName(lone)
 
 
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:

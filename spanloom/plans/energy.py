@@ -76,7 +76,7 @@ def _cues(df):
 @query()
 def dtw_alignment(spark, d):
     """Clicks against views by time warping; tests hold the kernel against small cases."""
-    r = kn.align(_cues(_of(spark, d, "click")), _cues(_of(spark, d, "view")), M, 12 * HOUR)
+    r = kn.align(_cues(_of(spark, d, "click")), _cues(_of(spark, d, "view")), M, 2 * HOUR)
     return r.select("media_id", F.array_join("left_ids", ",").alias("left_ids"), F.array_join("right_ids", ",").alias("right_ids"), "match_type", F.round("score", 6).alias("score"))
 
 
