@@ -130,3 +130,36 @@ def nearest_centroids(vectors: DataFrame, centroids: DataFrame, k: int, block: i
     best = met.select("vec_id", F.inline(F.slice(F.array_sort(hits), 1, k)))
     r = best.withColumn("rank", F.row_number().over(W.partitionBy("vec_id").orderBy("away", "label"))).where(F.col("rank") <= k)
     return r.select("vec_id", "label", (-F.col("away")).alias("cosine"), "rank")
+
+
+def quality_report(stages: DataFrame) -> DataFrame:
+    """Four scores in [0, 1] with grades and issues from the counts that the stages leave; a null count means that its stage left none.
+
+    Read are covered, bins, noise_warnings, edges_accepted, edges_rejected, words, words_rejected, windows,
+    windows_failed, groups, fallbacks, speakers_retained (a share), removed, overlaps and trimmed. A score is 1 less
+    0.15 for each issue, but at least 0.8 times the dimension's share: covered bins, words placed, speakers retained,
+    and for structure 1 less 0.2 for each issue. Missing coverage is an issue of its own.
+    """
+    c = F.col
+    share = lambda part, whole: part / F.greatest(whole, F.lit(1))
+    coverage = share(c("covered"), c("bins"))
+    issues = {
+        "acoustic": {
+            "missing_coverage": coverage.isNull(),
+            "coverage_low": coverage < 0.5,
+            "noise_warnings": c("noise_warnings") > 0,
+            "acceptance_low": share(c("edges_accepted"), c("edges_accepted") + c("edges_rejected")) < 0.5,
+        },
+        "semantic": {"windows_failed": c("windows_failed") > 0, "fallbacks": c("fallbacks") > 0},
+        "speaker": {"speaker_loss": c("speakers_retained") < 1},
+        "structure": {"overlaps": c("overlaps") > 0, "trimmed": c("trimmed") > 0, "removed": c("removed") > 0},
+    }
+    out = stages
+    for dim, rules in issues.items():
+        out = out.withColumn(f"{dim}_issues", F.array_compact(F.array(*[F.when(broken, F.lit(name)) for name, broken in rules.items()])))
+    placed = F.round(1 - share(c("words_rejected"), c("words")), 3)
+    bonus = {"acoustic": F.round(coverage, 3), "semantic": placed, "speaker": c("speakers_retained"), "structure": 1 - F.size("structure_issues") * 0.2}
+    for dim, extra in bonus.items():
+        base = F.greatest(F.lit(0.0), 1 - F.size(f"{dim}_issues") * 0.15)
+        out = out.withColumn(dim, F.round(F.least(F.lit(1.0), F.greatest(base, F.coalesce(extra, F.lit(0.0)) * 0.8)), 3))
+    return out.select("*", *[grade(F.round(c(dim) * 100, 6)).alias(f"{dim}_grade") for dim in issues])
