@@ -4,11 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 ORDER = ("t0", "t1", "id")
+#: What a question holds, how a short reply begins, how people are addressed, and what ends a sentence.
+QUESTION = (
+    r"\?|吗[？?]|呢[？?]|吧[？?]|[Hh]ow may|[Ww]hat |[Cc]an I|[Ww]hy |[Ww]hen |[Ww]here |[Ii]s that|[Aa]re you|[Ww]ould you|[Cc]ould you|[Dd]o you|"
+    "怎么|为什么|如何|哪里|哪个|什么|谁|哪[一位]|何时|请问|请教|怎么看|觉得|认为|能不能|可不可以|是否|有没有|是不是|对吧|对吗|是吧|是吗|可以吗|行吗|好吗"
+)
+REPLY = "^(Yeah|Yes|OK|Okay|Got it|Right|Sure|Alright|I see|好的|好[的了]|嗯[嗯哼]|对|是的|没错|知道了|明白|My pleasure|See you|Thank you)"
+ADDRESS = r"(?U)\b(Mr\.|Ms\.|Mrs\.|Miss|Dr\.)\s+\w+|(教授|老师|先生|女士|总[监经]|博士|医生|律师|主播|嘉宾|导演|演员|记者|解说|主持)"
+SENTENCE_END = r"[.!?。！？]\s*$"
+#: Words that tell nothing of a paragraph.
+STOP_WORDS = (
+    "the a an is are was were be been being have has had do does did will would could should may might can shall i you he she it we they me him "
+    "her us them my your his its our their this that these those and but or nor not so yet for in on at to from with of by as if then than "
+    "的 了 在 是 我 有 和 就 不 人 都 一 一个 上 也 很 到 说 要 去 你 会 着 没有 看 好 自己 这"
+).split()
 
 
 def gap_speakers(spans: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -87,3 +103,129 @@ def check_grouping(groups: DataFrame, members: DataFrame, by: Sequence[str]) ->
     first = F.min("pos").over(W.partitionBy(*by, "grp"))
     j = j.withColumn("_again", again).withColumn("_cross", F.coalesce(F.col("hard") & (F.col("pos") > first), F.lit(False)))
     return j.groupBy(*by, "grp").agg(F.count_if(F.col("pos").isNull()).alias("unknown"), F.count_if("_again").alias("repeated"), F.count_if("_cross").alias("crosses"))
+
+
+def assign_turns(question: np.ndarray, reply: np.ndarray, address: np.ndarray, ends: np.ndarray, gap: np.ndarray) -> np.ndarray:
+    """Speaker numbers of segments from what their texts look like and the pauses after them (nan: none known).
+
+    Questions and the answers after them are set first, then addressed people, then both sides of pauses, then what
+    follows a sentence and a pause; the rest continues. Where that leaves one speaker for more than three segments, pauses alternate.
+    """
+    n = len(question)
+    who, spare = np.full(n, -1), 0
+    pause = np.where(np.isnan(gap) | (gap > 10), 999.0, gap)
+
+    def fresh(i: int) -> None:
+        if who[i] < 0:
+            who[i] = fresh.top + 1
+            fresh.top = max(fresh.top, who[i])
+
+    fresh.top = -1
+    for i in np.flatnonzero(question[:-1]):
+        fresh(i)
+        if who[i + 1] < 0:
+            who[i + 1] = who[i] + 1
+            fresh.top = max(fresh.top, who[i + 1])
+        stop = i + 2
+        while stop < n and reply[stop]:
+            stop += 1
+        tail = who[i + 2 : stop]
+        tail[tail < 0] = who[i + 1]
+    for i in np.flatnonzero(address):
+        fresh(i)
+    for i in np.flatnonzero(pause[:-1] >= 0.25):
+        if who[i] >= 0 or who[i + 1] >= 0:
+            fresh(i)
+            fresh(i + 1)
+        elif reply[i] != reply[i + 1]:
+            # these numbers are counted on their own and may meet numbers given before
+            who[i], who[i + 1] = spare, spare + 1
+            spare += 2
+            fresh.top = max(fresh.top, who[i + 1])
+    for i in np.flatnonzero(ends[:-1] & (pause[:-1] > 0.25)):
+        fresh(i)
+        fresh(i + 1)
+    if n and who[0] < 0:
+        who[0] = 0
+    known = np.maximum.accumulate(np.where(who >= 0, np.arange(n), 0))
+    who = who[known]
+    if n > 3 and len(np.unique(who)) < 2:
+        clean = np.sort(gap[(gap > 0) & (gap < 10)])
+        long = max(0.15, 1.5 * (clean[len(clean) // 2] if len(clean) else 0.5))
+        turn = (pause >= 0.25) & ends if ends.any() else pause >= long
+        k = np.concatenate([[0], np.cumsum(turn[:-1])])
+        # the first speaker is 0, and the ones after it go round 1, 2, 0
+        who = k % 3
+    return np.unique(who, return_inverse=True)[1]
+
+
+def text_speakers(segments: DataFrame, by: Sequence[str]) -> DataFrame:
+    """by, id, speaker_no of segments (id, t0, t1, text) by what the texts look like.
+
+    The texts are judged in the JVM; the kernel of a key sees five narrow columns. A null text shows nothing.
+    """
+    w = W.partitionBy(*by).orderBy(*ORDER)
+    text = F.coalesce("text", F.lit(""))
+    head = F.regexp_replace(text, r"^\s+", "")
+    flags = [text.rlike(QUESTION).alias("question"), head.rlike(REPLY).alias("reply"), text.rlike(ADDRESS).alias("address"), text.rlike(SENTENCE_END).alias("ends")]
+    narrow = segments.select(*by, *ORDER, *flags, (F.lead("t0").over(w) - F.col("t1")).alias("gap"))
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(list(ORDER))
+        marks = [pdf[c].to_numpy(bool) for c in ("question", "reply", "address", "ends")]
+        return pdf[[*by, "id"]].assign(speaker_no=assign_turns(*marks, pdf["gap"].to_numpy(float)))
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in segments.select(*by, "id").schema)
+    return narrow.groupBy(*by).applyInPandas(one, f"{schema}, speaker_no long")
+
+
+def paragraphs(cues: DataFrame, by: Sequence[str], gap: float = 2.0) -> DataFrame:
+    """Cues with ``row`` (from 0 in time order) and ``para`` (from 0): a pause above ``gap`` opens a paragraph."""
+    w = W.partitionBy(*by).orderBy(*ORDER)
+    opens = F.coalesce((F.col("t0") - F.lag("t1").over(w) > gap).cast("int"), F.lit(0))
+    marked = cues.withColumn("row", F.row_number().over(w) - 1).withColumn("_n", opens)
+    return marked.withColumn("para", F.sum("_n").over(w.rowsBetween(W.unboundedPreceding, 0)).cast("int")).drop("_n")
+
+
+def keywords(paras: DataFrame, by: Sequence[str], k: int = 5) -> DataFrame:
+    """by, para, term, terms: the ``k`` most frequent terms of a paragraph (runs of Han, words of a-z from three letters on); ties go to Han, then to the first."""
+    text = F.lower(F.coalesce("text", F.lit("")))
+    han = F.transform(F.regexp_extract_all(text, F.lit(r"[\x{4E00}-\x{9FFF}]+"), F.lit(0)), lambda t, i: F.struct(F.lit(0).alias("kind"), i.alias("place"), t.alias("term")))
+    latin = F.transform(F.regexp_extract_all(text, F.lit("[a-z]{3,}"), F.lit(0)), lambda t, i: F.struct(F.lit(1).alias("kind"), i.alias("place"), t.alias("term")))
+    said = paras.select(*by, "para", "row", F.inline(F.concat(han, latin))).where((F.col("kind") == 0) | ~F.col("term").isin(STOP_WORDS))
+    counts = said.groupBy(*by, "para", "kind", "term").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("row", "place")).alias("_at"))
+    rank = F.row_number().over(W.partitionBy(*by, "para").orderBy(F.desc("_n"), "kind", "_at"))
+    top = counts.withColumn("_k", rank).where(F.col("_k") <= k)
+    return top.select(*by, "para", "term", F.count(F.lit(1)).over(W.partitionBy(*by, "para")).alias("terms"))
+
+
+def paragraph_anchors(left: DataFrame, right: DataFrame, by: Sequence[str], gap: float = 2.0, least: float = 0.1) -> DataFrame:
+    """Pairs of rows that an alignment may hold to: by, left_row, right_row, always with both ends.
+
+    Paragraphs pair by the Jaccard index of their keywords above ``least``: each left one in order takes the best free
+    right one, the first at a tie, and the middles become anchors. Without a pause above ``gap`` on both sides only the
+    ends are given. Only paragraphs with a common keyword meet, by an equi-join; the kernel sees their numbers.
+    """
+    l, r = paragraphs(left, by, gap), paragraphs(right, by, gap)
+    shape = lambda p, side: p.groupBy(*by).agg((F.max("row")).alias(f"{side}_last"), F.max("para").alias(f"{side}_paras"))
+    size = shape(l, "left").join(shape(r, "right"), [*by])
+    a = keywords(l, by).withColumnsRenamed({"para": "a", "terms": "_ta"})
+    b = keywords(r, by).withColumnsRenamed({"para": "b", "terms": "_tb"})
+    met = a.join(b, [*by, "term"]).groupBy(*by, "a", "b").agg(F.count(F.lit(1)).alias("_c"), F.any_value("_ta").alias("_ta"), F.any_value("_tb").alias("_tb"))
+    links = met.withColumn("score", F.col("_c") / (F.col("_ta") + F.col("_tb") - F.col("_c"))).where(F.col("score") > least)
+    links = links.join(size.where("left_paras > 0 AND right_paras > 0").select(*by), [*by]).select(*by, "a", "b", "score")
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        used, rows = set(), []
+        for x in pdf.sort_values(["a", "score", "b"], ascending=[True, False, True]).itertuples(index=False):
+            if x.b not in used and not (rows and rows[-1][0] == x.a):
+                used.add(x.b)
+                rows.append((x.a, x.b))
+        return pd.DataFrame([[*pdf[list(by)].iloc[0], *r] for r in rows], columns=[*by, "a", "b"])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in left.select(*by).schema)
+    pairs = links.groupBy(*by).applyInPandas(one, f"{schema}, a int, b int")
+    middle = lambda p, para, row: p.groupBy(*by, "para").agg((F.min("row") + F.floor(F.count(F.lit(1)) / 2)).cast("int").alias(row)).withColumnRenamed("para", para)
+    inner = pairs.join(middle(l, "a", "left_row"), [*by, "a"]).join(middle(r, "b", "right_row"), [*by, "b"]).select(*by, "left_row", "right_row")
+    first = size.select(*by, F.lit(0).alias("left_row"), F.lit(0).alias("right_row"))
+    return inner.unionByName(first).unionByName(size.select(*by, F.col("left_last").alias("left_row"), F.col("right_last").alias("right_row"))).distinct()

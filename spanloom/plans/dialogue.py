@@ -129,3 +129,23 @@ def quality_report(spark, d):
     dims = ["acoustic", "semantic", "speaker", "structure"]
     issues = sum((F.size(f"{k}_issues") for k in dims), F.lit(0))
     return fb.quality_report(c).select("l_suppkey", *dims, issues.alias("issues"), "acoustic_grade")
+
+
+def _turns(spark, d):
+    """Turns of the conversations as segments with made-up times."""
+    t = F.col("turn")
+    ms = t * 3000 + F.floor(t / 3) * 2500
+    return table(spark, d, "conversations").select(F.col("conv_id").alias("media_id"), t.alias("id"), "role", "text", (ms / 1000.0).alias("t0"), ((ms + 2900 - t % 4 * 150) / 1000.0).alias("t1"))
+
+
+@query()
+def text_speakers(spark, d):
+    """Speakers by the look of the texts, in five passes that depend on one another (tests hold it against a loop)."""
+    return di.text_speakers(_turns(spark, d), M)
+
+
+@query()
+def paragraph_anchors(spark, d):
+    """Anchors between the turns of one role and those of the other, by greedy pairing (tests hold it against a loop)."""
+    t = _turns(spark, d)
+    return di.paragraph_anchors(t.where("role = 'user'"), t.where("role = 'assistant'"), M)
