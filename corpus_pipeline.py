@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import exact_dedup, mixing, packing, quality, simhash
+from spanloom.llm import exact_dedup, mixing, packing, quality, shingles
 from spanloom.llm.common import shared_dir, stage, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -24,8 +24,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
-    return simhash.drop_near(docs.select(*COLUMNS))
+    """One document of each group linked by a similarity of 0.8 or more on five-word shingles."""
+    return shingles.drop_near(docs.select(*COLUMNS))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
