@@ -35,6 +35,8 @@ SAMPLE, COMMON, MOST = 20_000, 4, 100_000
 RING = 16
 #: Texts of one shingle that meet in one task, at most.
 SHARD = 4096
+#: Bits of the sketch by which pairs are rejected before their texts are brought together.
+WIDE = 2048
 #: Row ids (8 bytes each) up to which a list of them is broadcast.
 BROADCAST_ROWS = 1_000_000
 
@@ -63,11 +65,6 @@ def _may(n: np.ndarray, m: np.ndarray, s: np.ndarray, t: np.ndarray) -> np.ndarr
     return (5 * np.minimum(n, m) >= 4 * np.maximum(n, m)) & (9 * np.bitwise_count((s ^ t).view(np.uint64)).astype(np.int64) <= n + m)
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches, "text"):
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["row", "set"])
-
-
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches, "text", 2 << 20):
         found, n = np.unique(np.concatenate([shingles(t) for t in b.column(1).to_pylist()]), return_counts=True)
@@ -171,9 +168,31 @@ def _meet(cols: list[np.ndarray], starts: np.ndarray, ends: np.ndarray) -> Itera
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(r[i], r[i + d])), pa.array(np.maximum(r[i], r[i + d]))], ["a", "b"])
 
 
+def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Size and parity sketch of WIDE bits."""
+    for b in slices(batches, "text"):
+        sizes, out = [], []
+        for t in b.column(1).to_pylist():
+            found = shingles(t)
+            sizes.append(len(found))
+            odd = np.bincount(found.view(np.uint64) >> np.uint64(6) & np.uint64(WIDE - 1), minlength=WIDE) & 1
+            out.append(np.packbits(odd.astype(bool)).tobytes())
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int32()), pa.array(out, pa.binary())], ["row", "n", "wide"])
+
+
+def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b, n, m, one, two), with whether at most a ninth of both sizes can differ."""
+    for b in batches:
+        if b.num_rows:
+            one, two = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint64).reshape(b.num_rows, -1) for i in (4, 5))
+            apart = np.bitwise_count(one ^ two).sum(axis=1, dtype=np.int64)
+            both = b.column(2).to_numpy().astype(np.int64) + b.column(3).to_numpy()
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(9 * apart <= both)], ["a", "b", "ok"])
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches, "one"):
-        ok = [similar(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+        ok = [similar(shingles(x), shingles(y)) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
 
@@ -182,13 +201,23 @@ def _listed(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
 
+def _texts_of(held: DataFrame, pairs: DataFrame) -> DataFrame:
+    ids = stage(pairs.select(F.explode(F.array("a", "b")).alias("_row")).distinct(), "near-rows")
+    return held.select("_row", "text").join(_listed(ids), "_row", "left_semi")
+
+
 def verify(held: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b, ok) for the pairs (a, b) of rows."""
+    """(a, b, ok) for the pairs (a, b) of rows: by wide sketches, which reject without loss, and by the texts of those left."""
     pairs = stage(pairs.distinct(), "near-pairs")
-    ids = stage(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "near-rows")
-    sets = stage(held.select(F.col("_row").alias("row"), "text").join(_listed(ids), "row", "left_semi").mapInArrow(_sets, "row long, set binary"), "near-sets")
-    one, two = sets.select(F.col("row").alias("a"), F.col("set").alias("one")), sets.select(F.col("row").alias("b"), F.col("set").alias("two"))
-    return stage(pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two").mapInArrow(_verified, "a long, b long, ok boolean"), "near-verified")
+    wide = stage(_texts_of(held, pairs).mapInArrow(_wide, "row long, n int, wide binary"), "near-wide")
+    one, two = wide.toDF("a", "n", "one"), wide.toDF("b", "m", "two")
+    met = pairs.join(one, "a").join(two, "b").select("a", "b", "n", "m", "one", "two")
+    met = stage(met.mapInArrow(_close, "a long, b long, ok boolean"), "near-met")
+    left = met.where("ok").select("a", "b")
+    texts = _texts_of(held, left)
+    one, two = texts.toDF("a", "one"), texts.toDF("b", "two")
+    checked = left.join(one, "a").join(two, "b").select("a", "b", "one", "two").mapInArrow(_verified, "a long, b long, ok boolean")
+    return stage(met.where("not ok").unionByName(checked), "near-verified")
 
 
 def near_pairs(held: DataFrame) -> DataFrame:
