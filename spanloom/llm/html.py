@@ -33,8 +33,9 @@ from pyspark.sql import types as T
 
 from .common import slices, stage
 
-#: Pages of a host that a class needs, and its share of them; text counts as template only from TEXT_PAGES pages on.
-PAGES, SUPPORT, TEXT_PAGES = 3, 0.5, 8
+#: Pages of a host that a class needs, and its share of them; text counts as template from TEXT_PAGES pages on, as any class.
+PAGES, SUPPORT = 3, 0.5
+TEXT_PAGES = PAGES
 #: Template tokens (8 bytes each) up to which the templates are broadcast; beyond, pages are joined by host.
 BROADCAST_TOKENS = 2_000_000
 
@@ -238,12 +239,11 @@ def nest(classes: list[list[tuple[int, float, bool]]]) -> list[tuple[int, int, b
 
 def _templates(pdf: pd.DataFrame) -> pd.DataFrame:
     """All frequent classes of one host, to its template's text tokens."""
-    total = int(pdf["total"].iloc[0])
     groups = [g for _, g in sorted(pdf.groupby(["pages", "n", "one", "two"], sort=True), key=lambda kv: (-kv[0][0], -len(kv[1]), kv[0]))]
     classes = [[(int(t), float(p), bool(tag)) for t, p, tag in zip(g["token"], g["mean"], g["tag"], strict=True)] for g in groups]
     # a class needs a tag, so that it has a place in the page's structure; words that merely recur have none
     nested = nest([c for c in classes if len(c) > 1 and any(tag for _, _, tag in c)])
-    text = [t for t, _, tag in nested if not tag] if total >= TEXT_PAGES else []
+    text = [t for t, _, tag in nested if not tag]
     return pd.DataFrame({"host": [pdf["host"].iloc[0]], "tokens": [sorted(text)], "slots": [sum(tag for _, _, tag in nested)]})
 
 

@@ -51,3 +51,9 @@ def test_nesting_drops_interleaved_classes():
 
 def test_empty(spark):
     assert extract(spark, []) == {}
+
+
+@pytest.mark.parametrize("pages", [3, 7])
+def test_template_text_of_small_hosts(spark, pages):
+    rows = [(i, "http://h/", f"<body><div class='top'>Welcome</div><div><div class='par'>text {i} alone</div></div><div>All rights reserved</div></body>") for i in range(pages)]
+    assert extract(spark, rows) == {i: f"text {i} alone" for i in range(pages)}
