@@ -21,6 +21,8 @@ from pyspark.sql import Window as W
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a group are ranked in this many parallel buckets.
 RANK_BUCKETS = 128
+#: Rows of one or two numbers (20 bytes at most) up to which a list of them is broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +48,19 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def own_name(name: str, *dfs: DataFrame) -> str:
+    """``name`` with as many underscores before it as it takes to be no column of ``dfs``, whatever the case."""
+    taken = {c.lower() for df in dfs for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def listed(ids: DataFrame) -> DataFrame:
+    """A staged list of numbers, broadcast where it has BROADCAST_ROWS rows or fewer."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+
 def words_in(text: Column) -> Column:
     """Number of words of the whole text; null counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

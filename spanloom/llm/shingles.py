@@ -1,10 +1,12 @@
-"""Near-copies by the exact Jaccard similarity of five-word shingles.
+"""Texts whose five-word shingles have a Jaccard similarity of 0.8 or more, by BK-trees of their fingerprints.
 
-Two texts are near-copies if their sets of distinct five-word shingles share four fifths of their union or more.
-Every pair that reaches this is found: with the shingles of all texts in one order, such a pair shares one of the
-first n - ceil(0.8 n) + 1 shingles of either. Texts meet under these, and the shingles of each pair that passes two
-bounds without loss (sizes, and a parity sketch of 64 bits) are compared as a whole. The order puts shingles that are
-common in a sample last; it decides how many pairs meet and never which are linked. Shingles are 64-bit hashes.
+Two texts are near-copies if their sets of distinct five-word shingles share four fifths of their union or more. With
+the shingles of all texts in one order, such a pair shares one of the first n - ceil(0.8 n) + 1 shingles of either, so a shard
+is the texts under one of these shingles. The SimHash fingerprints of a shard stand in a BK-tree, which each of
+its texts walks within RADIUS bits; the texts of a pair so found, if its sizes allow the similarity, are compared as a whole.
+At a similarity of 0.8 a bit differs with a chance of 0.15 (0.19 for the shortest texts), so 24 of 64 bits are
+four to five standard deviations above the mean. The order puts shingles that are common in a sample last; it
+decides how many pairs meet and never which are linked. Shingles are 64-bit hashes.
 
 Under a shingle of more than RING texts, each text is first compared with one other only; what that links
 need not meet again, so the copies of one text do not meet in all their pairs.
@@ -20,38 +22,36 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stage
-from .simhash import components
+from .bktree import BKForest, distance
+from .common import listed, slices, stage
+from .fingerprints import hashed, simhash
+from .graph import components
 
 SHINGLE = 5
-SEED = 42
+#: Bits by which the fingerprints of a pair may differ.
+RADIUS = 24
 #: Rows of the sample by which common shingles are known, about; its rows that make a shingle common; shingles so kept.
 SAMPLE, COMMON, MOST = 20_000, 4, 100_000
 #: Texts under one shingle that meet in all their pairs at once.
 RING = 16
 #: Texts of one shingle that meet in one task, at most.
 SHARD = 4096
+#: Pairs that are held at once.
+MEET = 1 << 18
 #: Bits of the sketch by which pairs are rejected before their texts are brought together.
 WIDE = 2048
-#: Row ids (8 bytes each) up to which a list of them is broadcast.
-BROADCAST_ROWS = 1_000_000
 
 
 def shingles(text: str | None) -> np.ndarray:
-    """Distinct shingles of one text, sorted."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    joined, ends, at = b" ".join(words), [], -1
-    for w in words:
-        at += len(w) + 1
-        ends.append(at)
-    if len(words) <= SHINGLE:
-        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64).view(np.int64)
-    digest, view, starts = xxhash.xxh64_intdigest, memoryview(joined), [0, *[e + 1 for e in ends]]
-    return np.unique(np.fromiter((digest(view[a:b], SEED) for a, b in zip(starts, ends[SHINGLE - 1 :], strict=False)), np.uint64).view(np.int64))
+    """Distinct shingles of one text, sorted; a text without words has the empty one."""
+    return _distinct(hashed(text, SHINGLE))
+
+
+def _distinct(hashes: np.ndarray) -> np.ndarray:
+    return np.unique(hashes.view(np.int64)) if len(hashes) else np.zeros(1, np.int64)
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -60,9 +60,9 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 5 * shared >= 4 * (len(a) + len(b) - shared)
 
 
-def _may(n: np.ndarray, m: np.ndarray, s: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """Whether sets of sizes n, m and sketches s, t can be similar: sizes within 4 : 5, and at most a ninth of both sizes differs."""
-    return (5 * np.minimum(n, m) >= 4 * np.maximum(n, m)) & (9 * np.bitwise_count((s ^ t).view(np.uint64)).astype(np.int64) <= n + m)
+def _may(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether sets of sizes n, m can be similar."""
+    return 5 * np.minimum(n, m) >= 4 * np.maximum(n, m)
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,10 +85,10 @@ def _prefixes(known) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, counts = known.value
         for b in slices(batches, "text", 2 << 20):
-            sets = [shingles(t) for t in b.column(1).to_pylist()]
+            hashes = [hashed(t, SHINGLE) for t in b.column(1).to_pylist()]
+            sets, prints = [_distinct(x) for x in hashes], np.array([simhash(x) for x in hashes], np.uint64).view(np.int64)
             n = np.array([len(s) for s in sets], np.int64)
             every, starts = np.concatenate(sets), np.cumsum(n) - n
-            sketch = np.bitwise_xor.reduceat(np.uint64(1) << (every.view(np.uint64) & np.uint64(63)), starts)
             often = np.zeros(len(every), np.int64)
             if len(names):
                 at = np.minimum(np.searchsorted(names, every), len(names) - 1)
@@ -98,7 +98,7 @@ def _prefixes(known) -> Callable:
             first = np.arange(len(every)) - starts[owner] < (n - (4 * n + 4) // 5 + 1)[owner]
             at, who = order[first], owner[first]
             row = b.column(0).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (every[at], row[who], n[who].astype(np.int32), sketch[who].view(np.int64))], ["shingle", "row", "n", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (every[at], row[who], n[who].astype(np.int32), prints[who])], ["shingle", "row", "n", "fp"])
 
     return run
 
@@ -132,7 +132,7 @@ def _grouped(emit: Callable, keys: int) -> Callable:
 
 def _shared(cols: list[np.ndarray], starts: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Rows of shingles that two texts or more have, with the group's size and, in large groups, one other text to compare first."""
-    shingle, row, n, sketch = cols
+    shingle, row, n, fp = cols
     size = np.repeat(ends - starts, ends - starts)
     keep = size > 1
     other = np.full(len(row), -1, np.int64)
@@ -142,30 +142,42 @@ def _shared(cols: list[np.ndarray], starts: np.ndarray, ends: np.ndarray) -> Ite
             mixed = (row[a:b] ^ shingle[a]).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
             order = a + np.argsort(mixed ^ (mixed >> np.uint64(29)), kind="stable")
             i, j = order[:-1], order[1:]
-            ok = _may(n[i].astype(np.int64), n[j].astype(np.int64), sketch[i], sketch[j])
+            ok = _may(n[i].astype(np.int64), n[j].astype(np.int64)) & (distance(fp[i].view(np.uint64), fp[j].view(np.uint64)) <= RADIUS)
             other[i[ok]] = row[j[ok]]
-    yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (shingle, row, n, sketch, size.astype(np.int64), other)], ["shingle", "row", "n", "sketch", "size", "other"])
+    yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (shingle, row, n, fp, size.astype(np.int64), other)], ["shingle", "row", "n", "fp", "size", "other"])
 
 
 def _meet(cols: list[np.ndarray], starts: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of every group that can be similar and are not linked yet."""
-    _, _, row, n, sketch, group, home = cols
-    n = n.astype(np.int64)
+    """Pairs (a, b) of every group that the walks find, that can be similar by their sizes and are not linked yet."""
+    _, _, row, n, fp, group, home = cols
+    n, prints = n.astype(np.int64), fp.view(np.uint64)
     which = np.repeat(np.arange(len(starts)), ends - starts)
-    sizes = ends - starts
-    for many in (False, True):  # small groups all at once, large ones by themselves
-        for part in [np.flatnonzero((sizes > RING)[which] == many)] if not many else [np.arange(a, b) for a, b in zip(starts, ends, strict=True) if b - a > RING]:
-            if not len(part):
-                continue
-            part = part[np.lexsort((n[part], which[part]))]
-            w, r, m, s, g, h = which[part], row[part], n[part], sketch[part], group[part], home[part]
-            for d in range(1, int(sizes[np.unique(w)].max())):
-                i = np.flatnonzero((w[:-d] == w[d:]) & (5 * m[:-d] >= 4 * m[d:]) & (g[:-d] != g[d:]) & (h[:-d] | h[d:]))
-                if not many and not len(i) and d > RING:
-                    break
-                i = i[_may(m[i], m[i + d], s[i], s[i + d])]
+    order = np.lexsort((prints, which))
+    new = np.ones(len(order), bool)
+    new[1:] = (which[order][1:] != which[order][:-1]) | (prints[order][1:] != prints[order][:-1])
+    first = np.flatnonzero(new)  # rows of one fingerprint in one group share a node
+    last = np.concatenate([first[1:], [len(order)]])
+    forest, place = BKForest.of(prints[order][first], which[order][first])
+    for q, node in forest.walk(prints[order][first], forest.roots[which[order][first]], RADIUS):
+        t = place[node]
+        once = q <= t  # a pair is found from both sides
+        q, t = q[once], t[once]
+        wide = last[t] - first[t]
+        pairs = (last[q] - first[q]) * wide
+        ends_ = np.cumsum(pairs)
+        a = 0
+        while a < len(q):
+            b = max(a + 1, int(np.searchsorted(ends_, (ends_[a - 1] if a else 0) + MEET, side="right")))
+            for at in range(0, int(pairs[a:b].sum()), MEET):  # one node's rows against another's may be many
+                k = np.arange(at, min(at + MEET, int(pairs[a:b].sum())))
+                of = a + np.searchsorted(ends_[a:b] - (ends_[a - 1] if a else 0), k, side="right")
+                k = k - (ends_[of] - pairs[of] - (ends_[a - 1] if a else 0))
+                i, j = order[first[q[of]] + k // wide[of]], order[first[t[of]] + k % wide[of]]
+                ok = (row[i] != row[j]) & ((q[of] != t[of]) | (row[i] < row[j])) & _may(n[i], n[j]) & (group[i] != group[j]) & (home[i] | home[j])
+                i, j = i[ok], j[ok]
                 if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(r[i], r[i + d])), pa.array(np.maximum(r[i], r[i + d]))], ["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(row[i], row[j])), pa.array(np.maximum(row[i], row[j]))], ["a", "b"])
+            a = b
 
 
 def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,14 +208,9 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
 
-def _listed(ids: DataFrame) -> DataFrame:
-    """A staged list of rows, broadcast where it is short."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-
-
 def _texts_of(held: DataFrame, pairs: DataFrame) -> DataFrame:
     ids = stage(pairs.select(F.explode(F.array("a", "b")).alias("_row")).distinct(), "near-rows")
-    return held.select("_row", "text").join(_listed(ids), "_row", "left_semi")
+    return held.select("_row", "text").join(listed(ids), "_row", "left_semi")
 
 
 def verify(held: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -223,9 +230,9 @@ def verify(held: DataFrame, pairs: DataFrame) -> DataFrame:
 def near_pairs(held: DataFrame) -> DataFrame:
     """Pairs (a, b) of similar texts of ``held`` (staged; columns _row, text), enough to span every group of linked texts."""
     known = held.sparkSession.sparkContext.broadcast(common(held))
-    rows = held.select("_row", "text").mapInArrow(_prefixes(known), "shingle long, row long, n int, sketch long")
+    rows = held.select("_row", "text").mapInArrow(_prefixes(known), "shingle long, row long, n int, fp long")
     rows = rows.repartition("shingle").sortWithinPartitions("shingle")
-    shared = stage(rows.mapInArrow(_grouped(_shared, 1), "shingle long, row long, n int, sketch long, size long, other long"), "near-shared")
+    shared = stage(rows.mapInArrow(_grouped(_shared, 1), "shingle long, row long, n int, fp long, size long, other long"), "near-shared")
     ring = shared.where("other >= 0").select(F.least("row", "other").alias("a"), F.greatest("row", "other").alias("b"))
     tried = verify(held, ring)
     roots = stage(components(tried.where("ok").select(F.col("a").alias("u"), F.col("b").alias("v"))), "near-linked")
@@ -234,15 +241,7 @@ def near_pairs(held: DataFrame) -> DataFrame:
     placed = placed.withColumn("shards", F.ceil(F.col("size") / SHARD).cast("long")).withColumn("own", F.pmod(F.xxhash64("row"), F.col("shards")))
     placed = placed.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)))
     low, high = F.least("own", "with"), F.greatest("own", "with")
-    placed = placed.select("shingle", (low * F.col("shards") + high).alias("shard"), "row", "n", "sketch", "linked", (F.col("own") == low).alias("home"))
+    placed = placed.select("shingle", (low * F.col("shards") + high).alias("shard"), "row", "n", "fp", "linked", (F.col("own") == low).alias("home"))
     placed = placed.repartition("shingle", "shard").sortWithinPartitions("shingle", "shard")
     rest = placed.mapInArrow(_grouped(_meet, 2), "a long, b long").distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
     return tried.where("ok").select("a", "b").unionByName(verify(held, rest).where("ok").select("a", "b"))
-
-
-def drop_near(docs: DataFrame) -> DataFrame:
-    """One row of every group of linked texts of ``docs`` with all its columns."""
-    held = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "near-docs")
-    found = components(near_pairs(held).select(F.col("a").alias("u"), F.col("b").alias("v")))
-    gone = stage(found.where("node <> root").select(F.col("node").alias("_row")), "near-dropped")
-    return held.join(_listed(gone), "_row", "left_anti").drop("_row")

@@ -1,17 +1,23 @@
 """SimHash near-dedup with BK-trees.
 
-Every text gets a 64-bit fingerprint of its 4-word shingles. Two fingerprints that differ in at most
-RADIUS = 4 of 64 bits agree on at least two of six blocks of bits, so the pairs to find share one of 15
-keys of two blocks. Distinct fingerprints under one key form a shard; a shard is searched by a BK-tree
-whose children are keyed by their integer Hamming distance to the parent, following only the edges
-within the radius. A tree of all fingerprints would grow with the corpus and may not be broadcast, so
-each task builds the trees of its own shards. A key with more than SHARD fingerprints is cut into
-shards, and every pair of its shards meets in a task of its own. Links reduce to a spanning
-forest inside a shard, and connected components follow by large-star/small-star rounds.
+Every text gets a 64-bit fingerprint of its word shingles. Fingerprints link when they differ in at most RADIUS = 4
+bits. They are searched by BK-trees, whose children are keyed by their integer Hamming distance to the parent; a walk
+follows only the edges within the radius. A tree of all fingerprints would grow with the corpus and may not be
+broadcast, so trees stand for shards: of b blocks of bits, two linked fingerprints agree on b - 4 at least, and the
+fingerprints that agree on one choice of b - 4 blocks are one key's shard. b is 5, 6, 7 or 8, the fewest blocks by which
+a key has KEYED fingerprints on average or fewer; every choice finds the same links. A key of more than SHARD
+fingerprints has several trees of at most SHARD each. Every tree is walked by the fingerprints of its own shard, and
+those of a key with several also by the others of the key: these trees are broadcast where their checked size allows it, and
+meet their walkers in a join elsewhere. Links reduce to a spanning forest inside a task, and connected components
+follow by large-star/small-star rounds.
+
+`near_groups` is the search by fingerprints alone (four words, four bits). `drop_near` finds the texts whose five-word shingles
+have a Jaccard similarity of 0.8 or more: its shards are the texts under one shingle (see ``shingles.py``), their trees are walked within
+NEAR_RADIUS bits, and an exact check of the texts follows.
 
 Defined cases: null and empty texts have fingerprint zero and link like any other; ties go to the
 smallest id; a null id is never a component's id unless the component has no other; repeated rows and
-extra columns are carried as they are; an empty table gives an empty result.
+extra columns are carried as they are, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,45 +27,20 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stage
+from .bktree import BKForest
+from .common import listed, own_name, slices, stage
+from .fingerprints import fingerprint
+from .graph import components, spanning
+from .shingles import near_pairs
 
 RADIUS = 4
-SHINGLE = 4
-SEED = 42
-#: Bounds of the six blocks of bits, low to high.
-BLOCKS = (0, 11, 22, 33, 44, 54, 64)
-#: Fingerprints of one key that share a tree, at most.
-SHARD = 4096
-#: Entries of a tree's leaf before it becomes a node with children.
-LEAF = 32
-
-
-def fingerprint(text: str | None) -> int:
-    """SimHash of one text, unsigned; shingles count as often as they occur."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    ends, at = [], -1
-    for w in words:
-        at += len(w) + 1
-        ends.append(at)
-    n = max(1, len(words) - SHINGLE + 1)
-    digest, starts = xxhash.xxh64_intdigest, [0, *[e + 1 for e in ends]]
-    if n == 1:
-        hashes = np.array([digest(joined, SEED)], np.uint64)
-    else:
-        view = memoryview(joined)
-        hashes = np.fromiter((digest(view[a:b], SEED) for a, b in zip(starts, ends[SHINGLE - 1 :], strict=False)), np.uint64, n)
-    ones = np.zeros(64, np.int64)
-    for a in range(0, n, 1 << 16):
-        bits = np.unpackbits(hashes[a : a + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+#: Fingerprints of one key that share a tree, at most; of a key on average, at most, unless it takes eight blocks or more.
+SHARD, KEYED = 512, 64
+#: Bytes of the trees of many-tree keys up to which they are broadcast.
+BROADCAST_TREES = 32 << 20
 
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,156 +49,101 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints)], ["doc_id", "fp"])
 
 
-def distance(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
-    return np.bitwise_count(a ^ b)
-
-
-class BKTree:
-    """BK-tree over distinct uint64 fingerprints; leaves hold up to ``leaf`` entries until they split."""
-
-    def __init__(self, prints: np.ndarray, leaf: int = LEAF):
-        self.prints, self.leaf = prints, leaf
-        self.root = self._node(np.arange(len(prints)))
-
-    def _node(self, members: np.ndarray) -> tuple:
-        if len(members) <= self.leaf:
-            return (None, members)
-        pivot, rest = members[0], members[1:]
-        edges = distance(self.prints[rest], self.prints[pivot])
-        return (pivot, {int(d): self._node(rest[edges == d]) for d in np.unique(edges)})
-
-    def search(self, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(query positions, tree positions) of the pairs within ``radius``; all queries go down together."""
-        todo = [(self.root, np.arange(len(queries)))]
-        while todo:
-            (pivot, below), active = todo.pop()
-            if pivot is None:
-                if len(below) and len(active):
-                    near = distance(queries[active][:, None], self.prints[below][None, :]) <= radius
-                    q, t = np.nonzero(near)
-                    yield active[q], below[t]
-                continue
-            d = distance(queries[active], self.prints[pivot]).astype(np.int64)
-            hit = active[d <= radius]
-            yield hit, np.full(len(hit), pivot)
-            for edge, child in below.items():
-                follow = active[np.abs(d - edge) <= radius]
-                if len(follow):
-                    todo.append((child, follow))
-
-
-def _forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the pairs over n positions."""
-    root, out = np.arange(n), []
-    for q, t in pairs:
-        ra, rb = root[q], root[t]
-        apart = np.flatnonzero(ra != rb)
-        if not len(apart):
+def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, part, fp) sorted by (key, part) to one tree (key, part, prints, link) for each; groups may straddle batches."""
+    held: list[np.ndarray] = []
+
+    def grown(cols: list[np.ndarray]) -> pa.RecordBatch:
+        key, part, fp = cols
+        new = np.ones(len(key), bool)
+        new[1:] = (np.diff(key) != 0) | (np.diff(part) != 0)
+        starts = np.flatnonzero(new)
+        sizes = np.diff([*starts, len(key)])
+        alone = (sizes == 1) & (part[starts] < 0)  # keys of one fingerprint have nothing to find
+        pick = ~np.repeat(alone, sizes)
+        starts, tree = starts[~alone], np.repeat(np.arange(int((~alone).sum())), sizes[~alone])
+        forest, place = BKForest.of(fp[pick].view(np.uint64), tree)
+        # back from levels to trees, each with its own numbers
+        of = tree[place]
+        order = np.argsort(of, kind="stable")
+        count = sizes[~alone]
+        first = np.cumsum(count) - count
+        number = np.empty(len(of), np.int64)
+        number[order] = np.arange(len(of)) - first[of[order]]
+        link = forest.link
+        link = np.where(link < 0, -1, number[link // 128] * 128 + link % 128)[order]
+        prints, cuts = forest.prints[order], [*first.tolist(), len(of)]
+        blobs = [[x[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)] for x in (prints, link)]
+        return pa.RecordBatch.from_arrays([pa.array(key[starts]), pa.array(part[starts]), *(pa.array(x, pa.binary()) for x in blobs)], ["key", "part", "prints", "link"])
+
+    for b in batches:
+        if not b.num_rows:
             continue
-        lo, hi = np.minimum(ra, rb)[apart], np.maximum(ra, rb)[apart]
-        _, first = np.unique(hi * n + lo, return_index=True)
-        for k in first.tolist():
-            x, y = int(lo[k]), int(hi[k])
-            while root[x] != x:
-                x = int(root[x])
-            while root[y] != y:
-                y = int(root[y])
-            if x != y:
-                root[max(x, y)] = min(x, y)
-                out.append((int(q[apart[k]]), int(t[apart[k]])))
-        while (root[root] != root).any():
-            root = root[root]
-    return out
-
-
-def _links(prints: np.ndarray, home: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Spanning links among one shard's tree (home) and its queries (all)."""
-    tree_at = np.flatnonzero(home)
-    tree = BKTree(prints[tree_at])
-    return _forest(len(prints), ((q, tree_at[t]) for q, t in tree.search(prints, radius)))
-
-
-def _search(radius: int):
+        cols = [x.to_numpy(zero_copy_only=False) for x in b.columns]
+        cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)] if held else cols
+        change = np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0))
+        cut = int(change[-1]) + 1 if len(change) else 0
+        if cut:
+            yield grown([c[:cut] for c in cols])
+        held = [c[cut:] for c in cols]
+    if held and len(held[0]):
+        yield grown(held)
+
+
+def _walked(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (key, shard, fp, home) sorted by (key, shard); groups may straddle batches."""
-        held: list[np.ndarray] = []
-
-        def emit(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            key, shard, fp, home = cols
-            cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(shard) != 0)) + 1
-            starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(key)]])
-            left, right = [], []
-            prints = fp.view(np.uint64)
-            small = (ends - starts) <= LEAF  # one leaf: compare neighbours at every offset, all shards at once
-            most = int((ends - starts)[small].max(initial=0))
-            which = np.repeat(np.arange(len(starts)), ends - starts)
-            ok = np.repeat(small, ends - starts)
-            for d in range(1, most):
-                i = np.flatnonzero((which[:-d] == which[d:]) & ok[:-d])
-                i = i[(distance(prints[i], prints[i + d]) <= radius) & (home[i] | home[i + d])]
-                left.append(fp[i])
-                right.append(fp[i + d])
-            for a, b in zip(starts[~small], ends[~small], strict=True):
-                links = _links(prints[a:b], home[a:b], radius)
-                left.append(np.array([fp[a + i] for i, _ in links], np.int64))
-                right.append(np.array([fp[a + j] for _, j in links], np.int64))
-            if left:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["u", "v"])
-
+        """Rows (prints, link, walkers): the walkers go down the tree."""
         for b in batches:
             if not b.num_rows:
                 continue
-            cols = [x.to_numpy(zero_copy_only=False) for x in b.columns]
-            cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)] if held else cols
-            change = np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0))
-            cut = int(change[-1]) + 1 if len(change) else 0
-            if cut:
-                yield from emit([c[:cut] for c in cols])
-            held = [c[cut:] for c in cols]
-        if held and len(held[0]):
-            yield from emit(held)
+            trees = [(np.frombuffer(p, np.uint64), np.frombuffer(x, np.int64)) for p, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            walkers = [np.frombuffer(w, np.uint64) for w in b.column(2).to_pylist()]
+            forest, number = BKForest.joined(trees)
+            sizes = np.array([len(p) for p, _ in trees], np.int64)
+            root = np.repeat(number[np.cumsum(sizes) - sizes], [len(w) for w in walkers])
+            queries = np.concatenate(walkers)
+            both = np.concatenate([forest.prints, queries])
+            values, at = np.unique(both, return_inverse=True)
+            node, query = at[: len(forest.prints)], at[len(forest.prints) :]
+            left, right = spanning(len(values), ((query[q], node[n]) for q, n in forest.walk(queries, root, radius)))
+            yield pa.RecordBatch.from_arrays([pa.array(values[left].view(np.int64)), pa.array(values[right].view(np.int64))], ["u", "v"])
 
     return run
 
 
-def _keys(fp: Column) -> Column:
-    """One key for each pair of blocks: their bits and the pair's number."""
-    parts = [F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(BLOCKS, BLOCKS[1:], strict=False)]
-    pairs = list(combinations(range(len(parts)), 2))
-    return F.array(*[F.shiftleft(F.shiftleft(parts[i], 11).bitwiseOR(parts[j]), 4).bitwiseOR(F.lit(k)) for k, (i, j) in enumerate(pairs)])
-
-
-def near_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Links (u, v) between distinct fingerprints within ``radius``, enough to span every component."""
-    if radius > RADIUS:
-        raise ValueError(f"six blocks find every pair up to {RADIUS} differing bits only")
-    keyed = prints.select("fp", F.explode(_keys(F.col("fp"))).alias("key"))
-    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    some = keyed.join(counts, "key").withColumn("shards", F.ceil(F.col("n") / SHARD).cast("int"))
-    own = F.pmod(F.xxhash64("fp"), F.col("shards")).cast("int")
-    # every pair of a key's shards meets once: the lower one as the tree, the higher one as queries
-    rows = some.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-    low, high = F.least("own", "other").cast("long"), F.greatest("own", "other")
-    rows = rows.select("key", (low * F.col("shards") + high).alias("shard"), "fp", (F.col("own") == low).alias("home"))
-    rows = rows.repartition("key", "shard").sortWithinPartitions("key", "shard")
-    return rows.mapInArrow(_search(radius), "u long, v long").where("u <> v")
-
-
-def components(links: DataFrame) -> DataFrame:
-    """(node, root) for every node of the links; root is the smallest node that it reaches."""
-    edges = stage(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "links")
-    state = None
-    while True:
-        both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        edges = stage(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct(), "links")
-        new = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u", F.lit(1)))).first()
-        if state == new:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        state = new
+def blocks_for(n: int, radius: int = RADIUS) -> int:
+    """Blocks of bits by which a key of n random fingerprints holds KEYED or fewer."""
+    return next((b for b in range(radius + 1, radius + 4) if n >> (64 * (b - radius) // b) <= KEYED), radius + 4)
+
+
+def keys(fp: Column, blocks: int, radius: int = RADIUS) -> Column:
+    """One key for each choice of ``blocks - radius`` blocks: a hash of their bits and of the choice."""
+    bounds = [64 * i // blocks for i in range(blocks + 1)]
+    parts = [F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(bounds, bounds[1:], strict=False)]
+    return F.array(*[F.xxhash64(*[parts[i] for i in choice], F.lit(k)) for k, choice in enumerate(combinations(range(blocks), blocks - radius))])
+
+
+def near_links(prints: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
+    """Links (u, v) between distinct fingerprints within ``radius``, enough to span every component; ``prints`` (fp) is evaluated again: pass a staged table."""
+    blocks = blocks_for(prints.count(), radius) if blocks is None else blocks
+    keyed = prints.select("fp", F.explode(keys(F.col("fp"), blocks, radius)).alias("key"))
+    many = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARD)
+    many = stage(many.select(F.col("key").alias("many"), F.ceil(F.col("n") / SHARD).alias("parts")), "simhash-many")
+    placed = keyed.join(listed(many), F.col("key") == F.col("many"), "left")
+    rows = placed.select("key", F.coalesce(F.pmod(F.xxhash64("fp", F.lit(5)), F.col("parts")), F.lit(-1)).cast("int").alias("part"), "fp")
+    rows = rows.repartition("key", "part").sortWithinPartitions("key", "part")
+    trees = stage(rows.mapInArrow(_trees, "key long, part int, prints binary, link binary"), "simhash-trees")
+    own = trees.select("prints", "link", F.col("prints").alias("walkers"))
+    several = trees.where("part >= 0")
+    size = several.agg(F.sum(F.octet_length("prints") + F.octet_length("link"))).first()[0] or 0
+    out = own
+    if size:
+        shard_trees = several.select("key", "part", "prints", "link")
+        shard_trees = F.broadcast(shard_trees) if size <= BROADCAST_TREES else shard_trees
+        others = several.select("key", F.col("part").alias("other"), F.col("prints").alias("walkers"))
+        # every pair of a key's trees meets once
+        out = own.unionByName(others.join(shard_trees, "key").where("part < other").select("prints", "link", "walkers"))
+    return out.mapInArrow(_walked(radius), "u long, v long")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -237,7 +163,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_near(docs: DataFrame) -> DataFrame:
-    """One row of every near-duplicate group of ``docs`` with all its columns."""
-    held = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "simhash-docs")
-    kept = near_groups(held, "_row").where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_row"))
-    return held.join(kept, "_row", "left_semi").drop("_row")
+    """One row of every group of texts linked at a similarity of 0.8 or more on five-word shingles, with all its columns."""
+    row = own_name("_row", docs)
+    held = stage(docs.withColumn(row, F.monotonically_increasing_id()), "near-docs")
+    found = components(near_pairs(held.select(F.col(row).alias("_row"), "text")).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    gone = stage(found.where("node <> root").select(F.col("node").alias(row)), "near-dropped")
+    return held.join(listed(gone), row, "left_anti").select(*docs.columns)

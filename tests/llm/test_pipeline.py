@@ -5,7 +5,7 @@ import pytest
 import corpus_pipeline as P
 from spanloom.llm import mixing, packing, quality
 from spanloom.llm.exact_dedup import normal
-from spanloom.llm.simhash import fingerprint
+from tests.llm.test_shingles import groups
 
 DATA = "/root/testdata/sf0.001"
 
@@ -27,17 +27,9 @@ def test_stages_against_plain_versions(spark, stages):
     scores = {r.doc_id: r.score for r in quality.score(docs, spark.read.parquet(f"{DATA}/labels.parquet")).collect()}
     assert {r.doc_id for r in good} == {i for i, s in scores.items() if s >= 0.5}
     assert Counter(normal(r.text) for r in exact) == Counter({normal(r.text): 1 for r in good})
-    prints = {r.doc_id: fingerprint(r.text) for r in exact}
-    group = {i: i for i in prints}
-    changed = True
-    while changed:
-        changed = False
-        for a in prints:
-            for b in prints:
-                if bin(prints[a] ^ prints[b]).count("1") <= 4 and group[a] != group[b]:
-                    group[a] = group[b] = min(group[a], group[b])
-                    changed = True
-    assert Counter(group[r.doc_id] for r in near) == Counter(set(group.values()))
+    found = groups([r.text for r in exact])  # five words, four fifths
+    kept = {r.doc_id for r in near}
+    assert len(near) == len(found) and all(sum(exact[i].doc_id in kept for i in g) == 1 for g in found)
     size, took, longest = defaultdict(int), defaultdict(int), defaultdict(int)
     words = lambda r: len((r.text or "").encode().split())
     for r in near:

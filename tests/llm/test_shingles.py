@@ -5,6 +5,7 @@ import pytest
 
 import corpus_pipeline as P
 from spanloom.llm import shingles as S
+from spanloom.llm import simhash as D
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -67,12 +68,12 @@ def test_every_pair_is_found(spark, monkeypatch, shard, ring, sample, common):
     texts = some_texts(rng, 60)
     rng.shuffle(texts)
     docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], DOCS).repartition(3)
-    kept = {r.doc_id for r in S.drop_near(docs).collect()}
+    kept = {r.doc_id for r in D.drop_near(docs).collect()}
     want = groups(texts)
     assert len(kept) == len(want) and all(len(kept & g) == 1 for g in want)
 
 
 def test_odd(odd_docs, no_docs):
     texts = [r.text for r in odd_docs.collect()]
-    assert S.drop_near(odd_docs).count() == len(groups(texts)) and S.drop_near(odd_docs).columns == odd_docs.columns
-    assert S.drop_near(no_docs).count() == 0
+    assert D.drop_near(odd_docs).count() == len(groups(texts)) and D.drop_near(odd_docs).columns == odd_docs.columns
+    assert D.drop_near(no_docs).count() == 0

@@ -4,8 +4,10 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from spanloom.llm import simhash as S
+from spanloom.llm.bktree import BKForest
 
 
 def slow_print(text):
@@ -60,18 +62,48 @@ def test_empty(no_docs):
     assert S.near_groups(no_docs).count() == 0 and S.drop_near(no_docs).count() == 0
 
 
-@pytest.mark.parametrize("leaf", [1, 4, 32])
-def test_tree_finds_every_pair(leaf):
-    rng = np.random.default_rng(leaf)
-    base = rng.integers(0, 2**63, 20, np.uint64)
-    prints = np.unique(np.concatenate([base ^ (np.uint64(1) << rng.integers(0, 64, 20, np.uint64)) for _ in range(10)] + [base]))
-    found = {(int(q), int(t)) for qs, ts in S.BKTree(prints, leaf).search(prints, 4) for q, t in zip(qs, ts, strict=True)}
-    want = {(i, j) for i in range(len(prints)) for j in range(len(prints)) if bin(int(prints[i]) ^ int(prints[j])).count("1") <= 4}
-    assert found == want
+def bits(a, b):
+    return bin((int(a) ^ int(b)) & (2**64 - 1)).count("1")
 
 
-@pytest.mark.parametrize("shard", [4096, 7])
-def test_links_span_components(spark, monkeypatch, shard):
+@pytest.mark.parametrize("trees", [1, 5, 40])
+def test_walks_find_every_pair(trees):
+    rng = np.random.default_rng(trees)
+    base = rng.integers(0, 2**63, 20, np.uint64)
+    prints = np.unique(np.concatenate([base ^ (np.uint64(1) << rng.integers(0, 64, 20, np.uint64)) for _ in range(10)] + [base]))
+    _, tree = np.unique(np.sort(rng.integers(0, trees, len(prints))), return_inverse=True)
+    forest, place = BKForest.of(prints, tree)
+    for parent, edge, node in zip(forest.link // 128, forest.link % 128, range(len(prints)), strict=True):
+        assert forest.link[node] < 0 or bits(forest.prints[parent], forest.prints[node]) == edge
+    for radius in (0, 4, 30):
+        seen = []
+        found = {(int(q), int(place[n])) for qs, ns in forest.walk(prints, forest.roots[tree], radius, seen) for q, n in zip(qs, ns, strict=True)}
+        assert found == {(i, j) for i in range(len(prints)) for j in range(len(prints)) if tree[i] == tree[j] and bits(prints[i], prints[j]) <= radius}
+        assert sum(seen) <= sum(int(n) ** 2 for n in np.bincount(tree))
+    parts = [BKForest.of(prints[tree == k], np.zeros((tree == k).sum(), np.int64))[0] for k in range(tree.max() + 1)]
+    one, number = BKForest.joined([(f.prints, f.link) for f in parts])
+    assert np.array_equal(np.sort(one.link), one.link) and len(one.roots) == len(parts)
+    sizes = [len(f.prints) for f in parts]
+    root = np.repeat(number[np.cumsum(sizes) - sizes], sizes)
+    pairs = {(int(prints[q]), int(one.prints[n])) for qs, ns in one.walk(prints, root, 4) for q, n in zip(qs, ns, strict=True)}
+    assert pairs == {(int(p), int(q)) for i, p in enumerate(prints) for j, q in enumerate(prints) if tree[i] == tree[j] and bits(p, q) <= 4}
+
+
+@pytest.mark.parametrize("blocks", [5, 6, 7])
+def test_linked_fingerprints_share_a_key(spark, blocks):
+    rng = random.Random(blocks)
+    rows = []
+    for i in range(60):
+        p, q = rng.getrandbits(64), 0
+        for b in rng.sample(range(64), 4):
+            q |= 1 << b
+        rows.append((i, p - 2**63, (p ^ q) - 2**63))
+    found = spark.createDataFrame(rows, "i int, p long, q long").select(S.keys(F.col("p"), blocks).alias("p"), S.keys(F.col("q"), blocks).alias("q")).collect()
+    assert all(set(r.p) & set(r.q) for r in found)
+
+
+@pytest.mark.parametrize("shard,blocks,wide", [(512, None, 1 << 20), (7, None, 1 << 20), (7, 6, 0)])
+def test_links_span_components(spark, monkeypatch, shard, blocks, wide):
     rng = random.Random(shard)
     prints = set()
     for _ in range(12):
@@ -81,10 +113,18 @@ def test_links_span_components(spark, monkeypatch, shard):
             for _ in range(rng.randrange(1, 7)):
                 p ^= 1 << rng.randrange(64)
     monkeypatch.setattr(S, "SHARD", shard)
+    monkeypatch.setattr(S, "BROADCAST_TREES", wide)
     signed = [p - 2**64 if p >= 2**63 else p for p in prints]
-    roots = {r.node: r.root for r in S.components(S.near_links(spark.createDataFrame([(s,) for s in signed], "fp long"))).collect()}
+    roots = {r.node: r.root for r in S.components(S.near_links(spark.createDataFrame([(s,) for s in signed], "fp long"), blocks=blocks)).collect()}
     got = {}
     for s in signed:
         got.setdefault(roots.get(s, s), set()).add(s)
     want = slow_components(signed, lambda a, b: bin((a ^ b) & (2**64 - 1)).count("1") <= 4)
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want))
+
+
+def test_near_rows_of_odd_tables(odd_docs, no_docs):
+    clash = odd_docs.withColumn("_row", F.lit("mine")).withColumn("_ROW2", F.lit(1))
+    kept = S.drop_near(clash)
+    assert kept.columns == clash.columns and {r._row for r in kept.collect()} == {"mine"}
+    assert S.drop_near(no_docs).count() == 0
