@@ -7,8 +7,11 @@ bound is under the k-th best score so far (rows of equal score still matter, as
 id). The k-th best carries over from block to block inside a task. Queries are blocks too, and
 every block of rows meets every block of queries.
 
+Scores are exact integers: where a block's products may pass 2**53, doubles with a bound on their error choose the rows whose
+scores are then summed in whole numbers. A score outside the range of a long stands as the end of that range, and ranks so.
+
 Defined cases: vectors that are null or hold a null or non-finite component take no part, nor do null
-ids; an empty vector scores 0; a shorter vector counts as padded with zeros; rows with the query's id are
+ids; a component whose 256-fold passes 2**500 in size stands as 2**500; an empty vector scores 0; a shorter vector counts as padded with zeros; rows with the query's id are
 its own rows; a repeated query id is searched once, with its largest vector; empty tables give an
 empty result. Extra columns are not read.
 """
@@ -19,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -29,6 +32,9 @@ ROWS = 4096
 QUERIES = 1024
 #: Depth of the first look into the lists; each further one is twice as deep.
 DEPTH = 16
+#: Sums of products up to here are exact in doubles; range of a score.
+EXACT = float(1 << 53)
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
 class SortedLists:
@@ -43,12 +49,23 @@ class SortedLists:
     def bounds(self, q: np.ndarray, depth: int) -> np.ndarray:
         """For each query the best score that a row beyond ``depth`` can have."""
         low, high = self.sorted[depth], self.sorted[len(self.ids) - 1 - depth]
-        return np.maximum(q, 0) @ high + np.minimum(q, 0) @ low
+        most = np.maximum(q, 0) @ high + np.minimum(q, 0) @ low + self.slack(q, np.maximum(np.abs(high), np.abs(low)))
+        return np.maximum(most, float(LEAST))
+
+    def slack(self, q: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """By how much the products of q and x in doubles may be off, at most; 0 where they are exact."""
+        size = np.abs(q) @ np.abs(x)
+        return np.where(size < EXACT, 0.0, size * (q.shape[1] + 4) * 2.0**-52)
+
+    def whole(self, q: np.ndarray, rows: np.ndarray) -> list[int]:
+        """Exact scores of one query against some rows."""
+        mine = [int(c) for c in q]
+        return [min(MOST, max(LEAST, sum(a * int(b) for a, b in zip(mine, self.x[r], strict=True)))) for r in rows.tolist()]
 
-    def search(self, own: np.ndarray, q: np.ndarray, kth: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each query (row positions, scores) that may be among its k best; ``kth``: its k-th best so far, -inf if fewer."""
+    def search(self, own: np.ndarray, q: np.ndarray, kth: np.ndarray, k: int) -> list[list[tuple[int, int]]]:
+        """For each query (score, row position) that may be among its k best; ``kth``: its k-th best so far, -inf if fewer."""
         n = len(self.ids)
-        out: list = [(np.empty(0, np.int64), np.empty(0))] * len(q)
+        out: list[list[tuple[int, int]]] = [[] for _ in q]
         met = np.zeros((len(q), n), bool)
         active = np.flatnonzero(self.bounds(q, 0) >= kth)
         kth = kth.copy()
@@ -68,17 +85,21 @@ class SortedLists:
             seen &= ~met[active]
             met[active] |= seen
             some = np.flatnonzero(seen.any(axis=0))  # only rows that a query has met are scored
-            scores = q[active] @ self.x[some].T
-            good = seen[:, some] & (scores >= kth[active][:, None]) & (self.ids[some][None, :] != own[active][:, None])
+            scores = np.where(seen[:, some] & (self.ids[some][None, :] != own[active][:, None]), q[active] @ self.x[some].T, -np.inf)
+            slack = self.slack(q[active], self.x[some].T)
+            # a row may count if it can reach the k-th best so far and the k-th best of these
+            low = np.where(np.isneginf(scores), -np.inf, np.clip(scores - slack, LEAST, MOST))
+            high = np.where(np.isneginf(scores), -np.inf, np.clip(scores + slack, LEAST, MOST))
+            least = np.partition(low, len(some) - k, axis=1)[:, len(some) - k] if len(some) >= k else np.full(len(active), -np.inf)
+            good = (high >= np.maximum(least, kth[active])[:, None]) & ~np.isneginf(scores)
             for row, i in enumerate(active.tolist()):
                 at = np.flatnonzero(good[row])
                 if len(at):
-                    old, s = out[i]
-                    pos, s = np.concatenate([old, some[at]]), np.concatenate([s, scores[row, at]])
-                    best = np.lexsort((self.ids[pos], -s))[:k]
-                    out[i] = pos[best], s[best]
-                    if len(best) == k:
-                        kth[i] = max(kth[i], out[i][1][-1])
+                    exact = scores[row, at].astype(np.int64).tolist() if not slack[row, at].any() else self.whole(q[i], some[at])
+                    # rows stand in order of their ids
+                    out[i] = sorted(out[i] + list(zip(exact, some[at].tolist(), strict=True)), key=lambda x: (-x[0], x[1]))[:k]
+                    if len(out[i]) == k:
+                        kth[i] = max(kth[i], float(out[i][-1][0]) - abs(float(out[i][-1][0])) * 2.0**-52)
             depth = reach
             active = active[self.bounds(q[active], depth) >= kth[active]] if depth < n else active[:0]
         return out
@@ -144,7 +165,7 @@ def _wide(x: np.ndarray, dims: int) -> np.ndarray:
 
 def _search(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, list[tuple[float, int, int]]] = {}  # of each query met here: (-score, id, turn); at most k
+        best: dict[int, list[tuple[int, int]]] = {}  # of each query met here: (-score, id); at most k
         block_of: dict[bytes, SortedLists] = {}
         for b in batches:
             for ids, dims, x, q_ids, q_dims, q_x in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -156,17 +177,16 @@ def _search(k: int):
                 wide = max(dims, q_dims)
                 if wide > block.x.shape[1]:
                     block = SortedLists(block.ids, _wide(block.x, wide))
-                kth = np.array([-best[i][-1][0] if len(best.get(i, ())) == k else -np.inf for i in own.tolist()])
-                for i, (pos, s) in zip(own.tolist(), block.search(own, _wide(q, wide), kth, k), strict=True):
-                    if len(pos):
-                        new = best.get(i, []) + [(-v, j, 0) for v, j in zip(s.tolist(), block.ids[pos].tolist(), strict=True)]
-                        best[i] = sorted(new)[:k]
+                kth = np.array([-float(best[i][-1][0]) * (1 - 2.0**-50 * np.sign(-best[i][-1][0])) if len(best.get(i, ())) == k else -np.inf for i in own.tolist()])
+                for i, met in zip(own.tolist(), block.search(own, _wide(q, wide), kth, k), strict=True):
+                    if met:
+                        best[i] = sorted(best.get(i, []) + [(-score, int(block.ids[at])) for score, at in met])[:k]
         q, v, s = [], [], []
         for i, rows in best.items():
-            for score, j, _ in rows:
+            for score, j in rows:
                 q.append(i)
                 v.append(j)
-                s.append(int(-score))
+                s.append(-score)
         yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.int64())], ["query_id", "vec_id", "score"])
 
     return run
@@ -177,7 +197,13 @@ def whole_vectors(embeddings: DataFrame, scale: float = 256.0) -> DataFrame:
     x = F.transform(F.col("embedding"), lambda c: c.cast("double"))
     bad = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf"))))
     whole = embeddings.select("vec_id", x.alias("x"), bad.alias("bad")).where("vec_id is not null and x is not null and not bad")
-    return whole.select("vec_id", F.transform("x", lambda c: F.floor(c * F.lit(scale)).cast("double")).alias("v"))
+    big = F.lit(2.0**500)
+
+    def floor(c: Column) -> Column:  # the function's result is a long, which holds no larger numbers
+        y = F.greatest(-big, F.least(big, c * F.lit(scale)))
+        return F.when(F.abs(y) < EXACT, F.floor(y).cast("double")).otherwise(y)
+
+    return whole.select("vec_id", F.transform("x", floor).alias("v"))
 
 
 def top_k(queries: DataFrame, rows: DataFrame, k: int = 5) -> DataFrame:
