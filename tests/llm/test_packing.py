@@ -1,6 +1,7 @@
 from collections import Counter
 from itertools import combinations
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -31,11 +32,22 @@ def test_pack(odd_docs):
     assert all(b == 0 or (k, b - 1) in batches for k, b in batches)
 
 
-def test_rounding_is_small_and_upward(spark):
-    from pyspark.sql import functions as F
-
-    rows = spark.range(1, 3_000_000, 997).select("id", P.rounded(F.col("id")).alias("up")).collect()
-    assert all(r.up == r.id if r.id <= P.EXACT else r.id <= r.up <= r.id * 1.001 for r in rows)
+def test_boundaries_of_long_histograms():
+    rng = np.random.default_rng(6)
+    x = np.unique(rng.integers(0, 10**6, 700))
+    c = rng.integers(1, 1000, len(x))
+    ends = P.boundaries(x, c, 6)
+    many, words = np.concatenate([[0], np.cumsum(c)]), np.concatenate([[0], np.cumsum(c * x)])
+    best = np.concatenate([[0], x * many[1:] - words[1:]]).astype(float)
+    for layer in range(2, 7):
+        now = np.full(len(best), np.inf)
+        for j in range(layer, len(best)):
+            i = np.arange(layer - 1, j)
+            now[j] = (best[i] + x[j - 1] * (many[j] - many[i]) - (words[j] - words[i])).min()
+        best = now
+    assert padding(dict(zip(x.tolist(), c.tolist(), strict=True)), ends) == best[-1]
+    many = P.boundaries(np.arange(200_000), np.ones(200_000), 16)
+    assert len(many) == 16 and many[-1] == 199_999 and np.ptp(np.diff([-1, *many])) <= 2
 
 
 def test_empty(no_docs):
