@@ -19,8 +19,8 @@ from pyspark.sql import Window as W
 
 #: ASCII white space separates words; every other code point belongs to a word.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of a group are ranked in this many parallel buckets.
-RANK_BUCKETS = 128
+#: Rows of a group are ranked in parallel buckets, this many or one for so many rows.
+RANK_BUCKETS, RANK_ROWS = 128, 500_000
 #: Rows of one or two numbers (20 bytes at most) up to which a list of them is broadcast.
 BROADCAST_ROWS = 1_000_000
 
@@ -82,23 +82,40 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, budget: int = 8 << 20
         yield batch.slice(start)
 
 
-def ranked(df: DataFrame, by: list[str], order: list[str], name: str, buckets: int = RANK_BUCKETS) -> DataFrame:
+def ranked(df: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
     """Add ``name``: gapless positions from 0 within each group ``by``, in a seeded order of ``order``.
 
-    The rows of a group are dealt to hash buckets, counted, and numbered inside their bucket, so a
-    group that holds most of the table still spreads over ``buckets`` tasks. Rows that agree in
-    ``order`` are interchangeable. ``df`` is evaluated twice: pass a staged table.
+    The rows of a group are dealt to hash buckets, counted, and numbered inside their bucket; there is one bucket for
+    RANK_ROWS rows of the table, RANK_BUCKETS at least, so a group that holds most of it still spreads. Rows that agree in
+    ``order`` are interchangeable and share a bucket. ``df`` is evaluated again: pass a staged table.
     """
-    keyed = df.withColumn("_rb", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
-    keys = [*by, "_rb"]
-    counts = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    before = W.partitionBy(*by).orderBy("_rb").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    offsets = offsets.select(*[F.col(k).alias(f"_o{i}") for i, k in enumerate(keys)], "_off")
-    on = [F.col(k).eqNullSafe(F.col(f"_o{i}")) for i, k in enumerate(keys)]
+    buckets = max(RANK_BUCKETS, df.count() // RANK_ROWS)
+    bucket, inner, n, offset = (own_name(x, df) for x in ("_rb", "_in", "_n", "_off"))
+    keyed = df.withColumn(bucket, F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    keys = [*by, bucket]
+    counts = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias(n))
+    before = W.partitionBy(*by).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.withColumn(offset, F.coalesce(F.sum(n).over(before), F.lit(0)))
+    theirs = [own_name(f"_o{i}", df) for i in range(len(keys))]
+    offsets = offsets.select(*[F.col(k).alias(t) for k, t in zip(keys, theirs, strict=True)], offset)
+    on = [F.col(k).eqNullSafe(F.col(t)) for k, t in zip(keys, theirs, strict=True)]
     inside = F.row_number().over(W.partitionBy(*keys).orderBy(F.xxhash64(*order, F.lit(7)), *order))
-    joined = keyed.withColumn("_in", inside).join(offsets, on)
-    return joined.withColumn(name, (F.col("_off") + F.col("_in") - 1).cast("long")).drop("_rb", "_in", "_off", *[f"_o{i}" for i in range(len(keys))])
+    joined = keyed.withColumn(inner, inside).join(offsets, on)
+    return joined.withColumn(name, (F.col(offset) + F.col(inner) - 1).cast("long")).drop(bucket, inner, offset, *theirs)
+
+
+def ordinals(df: DataFrame, column: str) -> DataFrame:
+    """(value, ordinal): the place from 0 of each distinct value of a column in ascending order, without null."""
+    values = df.select(F.col(column).alias("value")).where("value is not null").distinct()
+    sorted_ = values.repartitionByRange("value").sortWithinPartitions("value").withColumn("id", F.monotonically_increasing_id())
+    held = stage(sorted_.select("value", F.shiftright("id", 33).cast("int").alias("part"), F.col("id").bitwiseAND(F.lit((1 << 33) - 1)).alias("at")), "ordinals")
+    start, before = {}, 0
+    for r in sorted(held.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()):  # one row a partition
+        start[r.part], before = before, before + r.n
+    if not start:
+        return held.select("value", F.col("at").alias("ordinal"))
+    offset = F.create_map(*[F.lit(x) for pair in start.items() for x in pair])
+    return held.select("value", (F.element_at(offset, F.col("part")) + F.col("at")).cast("long").alias("ordinal"))
 
 
 def crc32_mod(doc_id: Column, n: int) -> Column:

@@ -20,7 +20,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ranked, stage
+from .common import ordinals, ranked, stage
 
 BINS = 4096
 REFINE = 5
@@ -33,12 +33,6 @@ TIES = 1 << 34
 UNITS = (1 << 20) - 1
 
 
-def prefix_number(text: Column, length: int = 6) -> Column:
-    """The first bytes of a string as a number that keeps their order; null is -1."""
-    hexed = F.rpad(F.hex(F.substring(F.encode(text, "UTF-8"), 1, length)), 2 * length, "0")
-    return F.coalesce(F.conv(hexed, 16, 10).cast("double"), F.lit(-1.0))
-
-
 def kd_splits(atoms: DataFrame, dims: Sequence[str], shards: int) -> DataFrame:
     """``atoms`` (dims as long coordinates, weight) with the leaf of each as ``shard``."""
     cuts: dict[int, tuple[str, int]] = {}  # by node of the binary heap (root 1): its dimension and upper bound of the left side
@@ -88,16 +82,24 @@ def kd_splits(atoms: DataFrame, dims: Sequence[str], shards: int) -> DataFrame:
     return atoms.withColumn("shard", placed(lambda n: F.lit(n - shards), depth).cast("int"))
 
 
+def _numbered(rows: DataFrame, column: str) -> DataFrame:
+    """``rows`` with the values of a column replaced by their places in order; null is -1."""
+    places = stage(ordinals(rows, column).withColumnRenamed("value", "_value"), "shard-ordinals")
+    joined = rows.join(places, F.col(column) == F.col("_value"), "left").drop(column, "_value")
+    return joined.withColumn(column, F.coalesce(F.col("ordinal"), F.lit(-1)).cast("double")).drop("ordinal")
+
+
 def shard(docs: DataFrame, shards: int = 16, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """``keep`` columns with size, text_crc32, law, shard, slot and grown_shard (null under this law)."""
     raw = F.encode(F.col("text"), "UTF-8")
     crc = F.crc32(F.coalesce(raw, F.lit(b"")))
     rows = docs.select(
         *keep, (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), crc.alias("text_crc32"),
-        F.xxhash64("text", F.col("text").isNull()).alias("_g"), prefix_number(F.col("source").cast("string")).alias("_source"), prefix_number(F.col("lang").cast("string")).alias("_lang"),
+        F.xxhash64("text", F.col("text").isNull()).alias("_g"), F.col("source").cast("string").alias("_source"), F.col("lang").cast("string").alias("_lang"),
     )
     rows = stage(rows, "shard-rows")
     group = ["_g", "text_crc32", "size"]
+    rows = _numbered(_numbered(rows, "_source"), "_lang")
     groups = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.min("_source").alias("_source"), F.min("_lang").alias("_lang"))
     groups = groups.withColumn("_len", F.log2(F.col("size").cast("double")))
     groups = stage(groups, "shard-groups")

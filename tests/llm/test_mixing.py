@@ -16,7 +16,12 @@ def test_fit_is_optimal(hist, budget):
     took = M.fit(lengths, counts, budget)
     assert ((took >= 0) & (took <= counts)).all()
     sums = {sum(l * k for l, k in zip(lengths, ks, strict=True)) for ks in product(*[range(c + 1) for c in counts])}
-    assert int((took * lengths).sum()) == max(s for s in sums if s <= budget)
+    assert abs(int((took * lengths).sum()) - budget) == min(abs(s - budget) for s in sums)
+
+
+def test_fit_reaches_over_where_that_is_nearer():
+    assert int((M.fit(np.array([1_000_000, 500]), np.array([1, 1]), 900_000) * [1_000_000, 500]).sum()) in (1_000_000, 1_000_500)
+    assert M.fit(np.array([1000]), np.array([1]), 999).tolist() == [1] and M.fit(np.array([1000]), np.array([1]), 400).tolist() == [0]
 
 
 def test_fit_large_budgets():
@@ -30,11 +35,28 @@ def test_fit_large_budgets():
         assert (took <= counts).all() and int((took * lengths).sum()) == budget
 
 
-def test_targets():
-    assert M.targets([100, 100, 100]) == [300 * 5 / 8, 300 * 2 / 8, 300 / 8]
-    t = M.targets([10, 100, 1000, 0])
-    assert t[0] == 30 and t[1] == 300 and abs(sum(t) - 1110) < 1e-9 and t[3] == 0 and t[2] <= 3000
-    assert M.targets([]) == [] and M.targets([0, 0]) == [0, 0]
+def plain_targets(sizes, weights=(5, 2, 1)):
+    """By rounds over a list: hold those above three sizes, share the excess again."""
+    left, out = float(sum(sizes)), [0.0] * len(sizes)
+    open_ = [i for i, s in enumerate(sizes) if s > 0]
+    while open_:
+        share = {i: left * weights[i % 3] / sum(weights[j % 3] for j in open_) for i in open_}
+        over = [i for i in open_ if share[i] > 3 * sizes[i]]
+        for i in over or open_:
+            out[i] = float(3 * sizes[i]) if over else share[i]
+        left -= sum(3 * sizes[i] for i in over)
+        open_ = [i for i in open_ if i not in over] if over else []
+    return out
+
+
+def test_targets(spark):
+    rng = np.random.default_rng(2)
+    for sizes in ([100, 100, 100], [10, 100, 1000, 0], [], [0, 0], [1, 5000, 3, 0, 7, 2_000_000, 1], rng.integers(0, 10**6, 60).tolist() + rng.integers(0, 50, 60).tolist()):
+        names = sorted({f"s{'ab'[i % 2]}{i:03d}é" for i in range(len(sizes))} | set())[: max(0, len(sizes) - 1)] + [None] * bool(sizes)
+        df = spark.createDataFrame(list(zip(names, sizes, strict=True)), "source string, source_size long").repartition(5)
+        got = {r.source: r.target for r in M.targets(df).collect()}
+        want = dict(zip(names, plain_targets(sizes), strict=True))
+        assert set(got) == set(want) and all(abs(got[n] - want[n]) <= 1e-6 * max(1, want[n]) for n in want)
 
 
 def check(docs):
@@ -47,7 +69,7 @@ def check(docs):
     for r in rows:
         sizes[r.source] += size(r.text)
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
-    want = dict(zip(names, M.targets([sizes[n] for n in names]), strict=True))
+    want = dict(zip(names, plain_targets([sizes[n] for n in names]), strict=True))
     took = defaultdict(int)
     for r in got:
         assert r.source_size == sizes[r.source] and abs(r.target - want[r.source]) < 1e-6 and r.taken == r["size"] * r.copies and r.copies <= 3

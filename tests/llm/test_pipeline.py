@@ -3,8 +3,9 @@ from collections import Counter, defaultdict
 import pytest
 
 import corpus_pipeline as P
-from spanloom.llm import mixing, packing, quality
+from spanloom.llm import packing, quality
 from spanloom.llm.exact_dedup import normal
+from tests.llm.test_mixing import plain_targets
 from tests.llm.test_shingles import groups
 
 DATA = "/root/testdata/sf0.001"
@@ -38,7 +39,7 @@ def test_stages_against_plain_versions(spark, stages):
     for r in mixed:
         took[r.source] += words(r)
     names = sorted(size)
-    for name, target in zip(names, mixing.targets([size[n] for n in names]), strict=True):
+    for name, target in zip(names, plain_targets([size[n] for n in names]), strict=True):
         assert abs(took[name] - target) <= longest[name] + 1
     assert {r.doc_id for r in mixed} <= {r.doc_id for r in near} and max(Counter(r.doc_id for r in mixed).values()) <= 3
     assert Counter(r.doc_id for r in packed) == Counter(r.doc_id for r in mixed)

@@ -40,3 +40,37 @@ def test_hot_group_is_cut(spark):
 
 def test_empty(no_docs):
     assert S.shard(no_docs).count() == 0
+
+
+def test_whole_names_part_the_sources(spark):
+    rows = [(i, f"text {i}", "en", f"source-{'ab'[i % 2]}") for i in range(4000)]
+    home = defaultdict(set)
+    source = {r[0]: r[3] for r in rows}
+    for r in check(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), 1.1):
+        home[r.shard].add(source[r.doc_id])
+    assert sum(len(s) == 1 for s in home.values()) >= 14
+
+
+def test_against_plain_tree(spark):
+    """Leaves of the histograms' tree against medians over sorted lists."""
+    import random
+
+    rng = random.Random(4)
+    atoms = [(i, rng.randrange(50) * S.TIES + i, rng.randrange(1 << 20) * S.TIES + i, float(rng.randrange(1, 50))) for i in range(3000)]
+    df = spark.createDataFrame(atoms, "id int, a long, b long, weight double")
+    got = {r.id: r.shard for r in S.kd_splits(df, ["a", "b"], 8).collect()}
+
+    def split(rows, depth):
+        if depth == 0:
+            return [rows]
+        dim = max((1, 2), key=lambda d: (max(r[d] for r in rows) // S.TIES - min(r[d] for r in rows) // S.TIES, -d))
+        rows, half, below, at = sorted(rows, key=lambda r: r[dim]), sum(r[3] for r in rows) / 2, 0.0, 0
+        while below + rows[at][3] < half:
+            below += rows[at][3]
+            at += 1
+        at += abs(below + rows[at][3] - half) <= abs(half - below)
+        return split(rows[:at], depth - 1) + split(rows[at:], depth - 1)
+
+    want = {r[0]: leaf for leaf, rows in enumerate(split(atoms, 3)) for r in rows}
+    moved = sum(got[i] != want[i] for i in want)
+    assert moved <= 0.01 * len(atoms)  # the last bin's width
