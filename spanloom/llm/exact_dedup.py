@@ -1,8 +1,8 @@
 """Exact dedup with counting quotient filters.
 
 Each partition folds the 64-bit fingerprints of its texts into a counting quotient filter: the high
-bits (quotient) name a run, the low bits (remainder) are kept sorted inside the run with a count.
-A filter is shipped as blocks of neighbouring quotients, so two filters merge block by block by
+bits (quotient) name a slot and a run, the low bits (remainder) are kept sorted inside the run with a counter.
+A filter is shipped as blocks of neighbouring quotients, so filters of any size merge block by block by
 merging sorted remainders and adding counts. No bit of a fingerprint is dropped, so the merge is
 lossless. Only fingerprints whose merged count exceeds one send their texts to byte verification.
 
@@ -22,19 +22,26 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stage
+from .common import own_name, slices, stage
 
-#: Bits of the quotient that name a block of the filter; blocks are the unit of merging.
-BLOCK_BITS = 12
+#: Entries of a merged block of the filter, about; blocks are the unit of merging, and there are more of them for more texts.
+BLOCK_ENTRIES = 1 << 18
 #: A partition's filter is shipped and begun anew at this many distinct fingerprints.
 FILTER_ENTRIES = 1 << 20
+#: Share of a filter's slots that are in use, at most.
+LOAD = 0.9
 
 
 class CountingQuotientFilter:
-    """Exact multiset of 64-bit fingerprints as sorted remainders with counts, by quotient block."""
+    """Exact multiset of 64-bit fingerprints in 2**bits slots (and some past the end for what is shifted over it).
 
-    def __init__(self, fingerprints: np.ndarray, counts: np.ndarray):
-        self.fingerprints, self.counts = fingerprints, counts
+    The high ``bits`` of a fingerprint are its quotient, the slot where its run would begin; the rest is its remainder. The remainders of one
+    quotient stand in one run, sorted, each with its counter; a run that finds its slots taken is shifted on. ``occupied`` marks
+    quotients that have a run, ``ends`` the last slot of each run, so the k-th end closes the run of the k-th occupied quotient.
+    """
+
+    def __init__(self, bits: int, remainders: np.ndarray, counters: np.ndarray, occupied: np.ndarray, ends: np.ndarray):
+        self.bits, self.remainders, self.counters, self.occupied, self.ends = bits, remainders, counters, occupied, ends
 
     @classmethod
     def of(cls, fingerprints: np.ndarray, counts: np.ndarray | None = None) -> CountingQuotientFilter:
@@ -42,27 +49,71 @@ class CountingQuotientFilter:
         values, where = np.unique(fingerprints.astype(np.uint64), return_inverse=True)
         total = np.zeros(len(values), np.int64)
         np.add.at(total, where, 1 if counts is None else counts)
-        return cls(values, total)
+        return cls._laid(values, total)
+
+    @classmethod
+    def _laid(cls, values: np.ndarray, total: np.ndarray) -> CountingQuotientFilter:
+        """Sorted distinct fingerprints into slots: each at its quotient or, if that is taken, right after the one before."""
+        n = len(values)
+        bits = max(1, int(np.ceil(np.log2(max(n, 1) / LOAD))))
+        quotient = (values >> np.uint64(64 - bits)).astype(np.int64)
+        slot = np.arange(n) + np.maximum.accumulate(quotient - np.arange(n)) if n else quotient
+        size = max(1 << bits, int(slot[-1]) + 1 if n else 0)
+        remainders, counters = np.zeros(size, np.uint64), np.zeros(size, np.int64)
+        occupied, ends = np.zeros(1 << bits, bool), np.zeros(size, bool)
+        remainders[slot], counters[slot] = values & np.uint64((1 << (64 - bits)) - 1), total
+        occupied[quotient] = True
+        ends[slot[np.append(quotient[1:] != quotient[:-1], True)[:n]]] = True
+        return cls(bits, remainders, counters, occupied, ends)
+
+    def __len__(self) -> int:
+        return int((self.counters > 0).sum())
+
+    def items(self) -> tuple[np.ndarray, np.ndarray]:
+        """The fingerprints in order, read back from quotients and remainders, and their counts."""
+        used = np.flatnonzero(self.counters)
+        run = np.cumsum(self.ends[used]) - self.ends[used]
+        quotient = np.flatnonzero(self.occupied)[run].astype(np.uint64)
+        return (quotient << np.uint64(64 - self.bits)) | self.remainders[used], self.counters[used]
+
+    def count(self, fingerprint: int) -> int:
+        """Times that ``fingerprint`` is in: its quotient's run is the one that the same number of ends stands before."""
+        quotient, remainder = fingerprint >> (64 - self.bits), fingerprint & ((1 << (64 - self.bits)) - 1)
+        if not self.occupied[quotient]:
+            return 0
+        run = int(self.occupied[:quotient].sum())
+        ends = np.flatnonzero(self.ends)
+        last = int(ends[run])
+        first = max(quotient, int(ends[run - 1]) + 1 if run else 0)
+        at = first + int(np.searchsorted(self.remainders[first : last + 1], np.uint64(remainder)))
+        return int(self.counters[at]) if at <= last and int(self.remainders[at]) == remainder else 0
 
     def merge(self, other: CountingQuotientFilter) -> CountingQuotientFilter:
-        return self.of(np.concatenate([self.fingerprints, other.fingerprints]), np.concatenate([self.counts, other.counts]))
-
-    def blocks(self) -> Iterator[tuple[int, bytes, bytes]]:
-        """(quotient block, its sorted remainders, their counts)."""
-        quotient = (self.fingerprints >> np.uint64(64 - BLOCK_BITS)).astype(np.int64)
-        cuts = np.flatnonzero(np.diff(quotient)) + 1
-        rest = self.fingerprints & np.uint64((1 << (64 - BLOCK_BITS)) - 1)
-        for a, b in zip([0, *cuts], [*cuts, len(quotient)], strict=True):
+        (a, n), (b, m) = self.items(), other.items()
+        return self.of(np.concatenate([a, b]), np.concatenate([n, m]))
+
+    def blocks(self, bits: int) -> Iterator[tuple[int, bytes, bytes]]:
+        """(block, its sorted remainders, their counts): the filter by the first ``bits`` of the quotient, whatever the filter's own size."""
+        values, counts = self.items()
+        block = (values >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(values), np.int64)
+        cuts = np.flatnonzero(np.diff(block)) + 1
+        rest = values & np.uint64((1 << (64 - bits)) - 1)
+        for a, b in zip([0, *cuts], [*cuts, len(block)], strict=True):
             if b > a:
-                yield int(quotient[a]), rest[a:b].tobytes(), self.counts[a:b].tobytes()
+                yield int(block[a]), rest[a:b].tobytes(), counts[a:b].tobytes()
 
     @classmethod
-    def from_blocks(cls, rows: list[tuple[int, bytes, bytes]]) -> CountingQuotientFilter:
-        prints = [np.frombuffer(r, np.uint64) | (np.uint64(q) << np.uint64(64 - BLOCK_BITS)) for q, r, _ in rows]
+    def from_blocks(cls, rows: list[tuple[int, bytes, bytes]], bits: int) -> CountingQuotientFilter:
+        prints = [np.frombuffer(r, np.uint64) | np.uint64(q << (64 - bits) if bits else 0) for q, r, _ in rows]
         counts = [np.frombuffer(c, np.int64) for _, _, c in rows]
         return cls.of(np.concatenate(prints), np.concatenate(counts))
 
 
+def block_bits(n: int) -> int:
+    """Bits that name a block so that n fingerprints make blocks of about BLOCK_ENTRIES."""
+    return max(4, (n // BLOCK_ENTRIES).bit_length())
+
+
 def normal(text: str | None) -> bytes:
     """UTF-8 of the text with A-Z lower-cased and nothing else changed."""
     return (text or "").encode("utf-8", "surrogatepass").lower()
@@ -75,49 +126,55 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(prints), pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary())], ["doc_id", "row_id", "fp", "sha"])
 
 
-def _filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One filter per partition (or per FILTER_ENTRIES fingerprints of it), as blocks."""
+def _filters(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One filter per partition (or per FILTER_ENTRIES fingerprints of it), as blocks."""
+
+        def ship(cqf: CountingQuotientFilter) -> pa.RecordBatch:
+            q, r, c = zip(*cqf.blocks(bits), strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(r, pa.binary()), pa.array(c, pa.binary())], ["quotient", "remainders", "counts"])
+
+        held = None
+        for b in batches:
+            if b.num_rows:
+                new = CountingQuotientFilter.of(b.column(0).to_numpy().view(np.uint64))
+                held = new if held is None else held.merge(new)
+                if len(held) >= FILTER_ENTRIES:
+                    yield ship(held)
+                    held = None
+        if held is not None:
+            yield ship(held)
 
-    def ship(cqf: CountingQuotientFilter) -> pa.RecordBatch:
-        q, r, c = zip(*cqf.blocks(), strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(r, pa.binary()), pa.array(c, pa.binary())], ["quotient", "remainders", "counts"])
+    return run
 
-    held = None
-    for b in batches:
-        if b.num_rows:
-            new = CountingQuotientFilter.of(b.column(0).to_numpy().view(np.uint64))
-            held = new if held is None else held.merge(new)
-            if len(held.counts) >= FILTER_ENTRIES:
-                yield ship(held)
-                held = None
-    if held is not None:
-        yield ship(held)
 
+def _merged(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of one block arrive together; emits the fingerprints that count above one."""
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of one quotient block arrive together; emits the fingerprints that count above one."""
+        def repeated(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+            values, counts = CountingQuotientFilter.from_blocks(rows, bits).items()
+            return pa.RecordBatch.from_arrays([pa.array(values[counts > 1].view(np.int64)), pa.array(counts[counts > 1])], ["fp", "n"])
 
-    def repeated(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
-        m = CountingQuotientFilter.from_blocks(rows)
-        hot = m.counts > 1
-        return pa.RecordBatch.from_arrays([pa.array(m.fingerprints[hot].view(np.int64)), pa.array(m.counts[hot])], ["fp", "n"])
+        block, rows = None, []
+        for b in batches:
+            for q, r, c in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                if q != block and rows:
+                    yield repeated(rows)
+                    rows = []
+                block = q
+                rows.append((q, r, c))
+        if rows:
+            yield repeated(rows)
 
-    block, rows = None, []
-    for b in batches:
-        for q, r, c in zip(*(x.to_pylist() for x in b.columns), strict=True):
-            if q != block and rows:
-                yield repeated(rows)
-                rows = []
-            block = q
-            rows.append((q, r, c))
-    if rows:
-        yield repeated(rows)
+    return run
 
 
 def repeated_fingerprints(keys: DataFrame) -> DataFrame:
-    """``fp``, ``n`` of the fingerprints that the merged filters count more than once."""
-    parts = keys.select("fp").mapInArrow(_filters, "quotient int, remainders binary, counts binary")
-    return parts.repartition("quotient").sortWithinPartitions("quotient").mapInArrow(_merged, "fp long, n long")
+    """``fp``, ``n`` of the fingerprints that the merged filters count more than once; ``keys`` (fp) is counted first: pass a staged table."""
+    bits = block_bits(keys.count())
+    parts = keys.select("fp").mapInArrow(_filters(bits), "quotient int, remainders binary, counts binary")
+    return parts.repartition("quotient").sortWithinPartitions("quotient").mapInArrow(_merged(bits), "fp long, n long")
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,6 +215,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_exact(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    held = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "dedup-docs")
-    kept = exact_groups(held, "_row").where("kept").select(F.col("doc_id").alias("_row"))
-    return held.join(kept, "_row", "left_semi").drop("_row")
+    row = own_name("_row", docs)
+    held = stage(docs.withColumn(row, F.monotonically_increasing_id()), "dedup-docs")
+    kept = exact_groups(held, row).where("kept").select(F.col("doc_id").alias(row))
+    return held.join(kept, row, "left_semi").select(*docs.columns)
