@@ -2,8 +2,8 @@
 
 A log holds events (conv_id, message, seq, op, role, text). `message` begins a message, `delta`
 appends a streamed piece, `edit` replaces the text, `regenerate` throws the text away for a new one.
-Events are grouped by conversation and message, sorted by sequence and folded, so a long stream of
-one message is spread before its conversation is put together. The conversation is one output row
+Events are partitioned by conversation and message, sorted by sequence and folded in one pass, so a long stream of
+one message is done before its conversation is put together. The conversation is one output row
 and so one value; Spark holds up to 2 GB in it.
 
 A template marks turns by control strings. Inside texts and roles a `~` is put after the first
@@ -20,13 +20,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 #: The template: OPEN role MIDDLE text CLOSE for each turn.
 OPEN, MIDDLE, CLOSE = "[INST]", "[/INST]", "</s>"
 #: A control string as it stands in a text: its first character, the tildes put in, its rest.
 ESCAPE = r"([<\[])(~*)(/?s>|/?INST\])"
 UNESCAPE = r"([<\[])~(~*)(/?s>|/?INST\])"
-MESSAGE = "array<struct<role:string,text:string>>"
+#: Roles whose texts are trained on; deltas by which a text of theirs is streamed in `log_of`.
+TRAINED = ("assistant",)
+PIECES = 4
 
 
 def escape(text: Column) -> Column:
@@ -38,31 +41,47 @@ def unescape(text: Column) -> Column:
 
 
 def log_of(conversations: DataFrame) -> DataFrame:
-    """The event log of finished rows (conv_id, turn, role, text): one `message` event each."""
-    return conversations.select("conv_id", F.col("turn").alias("message"), F.col("turn").alias("seq"), F.lit("message").alias("op"), "role", "text")
+    """An event log that ends in the rows (conv_id, turn, role, text), as a client that streams would have written it.
 
+    A row of a trained role begins empty, streams a first draft, is regenerated and streams its text in PIECES deltas; other rows are
+    begun with a draft and edited to their text. A message's key is (turn, n), n telling rows of one turn apart.
+    """
+    n = F.row_number().over(W.partitionBy("conv_id", "turn").orderBy(F.col("role"), F.col("text")))
+    rows = conversations.select("conv_id", "turn", n.alias("n"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    size = F.length("text")
+    cut = [F.floor(size * i / PIECES).cast("int") for i in range(PIECES + 1)]
+    pieces = [F.substring("text", cut[i] + 1, cut[i + 1] - cut[i]) for i in range(PIECES)]
 
-def _fold(events: Column) -> Column:
-    """The messages of sorted events of one group."""
+    def event(seq: int, op: str, text: Column, role: Column) -> Column:
+        return F.struct(F.lit(seq).cast("long").alias("seq"), F.lit(op).alias("op"), role.alias("role"), text.alias("text"))
 
-    def step(done: Column, e: Column) -> Column:
-        n = F.size(done)
-        last = F.get(done, n - 1)
-        fresh = F.array(F.struct(e["role"].alias("role"), e["text"].alias("text")))
-        text = F.when(e["op"] == "delta", F.concat(last["text"], e["text"])).otherwise(e["text"])
-        role = F.when(e["role"] == "", last["role"]).otherwise(e["role"])
-        changed = F.array(F.struct(role.alias("role"), text.alias("text")))
-        return F.when((e["op"] == "message") | (n == 0), F.concat(done, fresh)).otherwise(F.concat(F.slice(done, 1, F.greatest(n - 1, F.lit(0))), changed))
-
-    return F.aggregate(events, F.array().cast(MESSAGE), step)
+    none, role = F.lit(None).cast("string"), F.col("role")
+    streamed = [event(0, "message", F.lit(""), role), event(1, "delta", pieces[-1], none), event(2, "regenerate", F.lit(""), none)]
+    streamed += [event(3 + i, "delta", p, none) for i, p in enumerate(pieces)]
+    written = [event(0, "message", pieces[0], role), event(1, "edit", F.col("text"), none)]
+    events = F.when(F.col("role").isin(*TRAINED), F.array(*streamed)).otherwise(F.array(*written))
+    log = rows.select("conv_id", F.struct("turn", "n").alias("message"), F.explode(events).alias("e"))
+    return log.select("conv_id", "message", "e.seq", "e.op", "e.role", "e.text")
 
 
 def reconstruct(log: DataFrame) -> DataFrame:
-    """(conv_id, turns array<struct<role, text>>) in order of message."""
-    event = F.struct("seq", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("op", F.lit("message")).alias("op"))
-    folded = log.groupBy("conv_id", "message").agg(_fold(F.array_sort(F.collect_list(event), _by_seq)).alias("parts"))
-    whole = folded.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("message", "parts")), _by_message).alias("m"))
-    return whole.select("conv_id", F.flatten(F.transform("m", lambda x: x["parts"])).alias("turns"))
+    """(conv_id, turns array<struct<role, text>>) in order of message.
+
+    A message's text is that of the last event that sets it (`message`, `edit`, `regenerate`) and of the deltas after it, so each event is read once.
+    """
+    events = log.select("conv_id", "message", "seq", F.coalesce("op", F.lit("message")).alias("op"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    so_far = W.partitionBy("conv_id", "message").orderBy("seq", "role", "text").rowsBetween(W.unboundedPreceding, 0)
+    begun = F.sum(F.when(F.col("op") == "message", 1).otherwise(0)).over(so_far)
+    set_ = F.sum(F.when(F.col("op") == "delta", 0).otherwise(1)).over(so_far)
+    placed = events.withColumn("part", begun).withColumn("state", set_).withColumn("at", F.row_number().over(W.partitionBy("conv_id", "message").orderBy("seq", "role", "text")))
+    states = placed.groupBy("conv_id", "message", "part", "state").agg(
+        F.array_sort(F.collect_list(F.struct("at", "text"))).alias("texts"), F.max(F.when(F.col("role") != "", F.struct("at", "role"))).alias("named")
+    )
+    last = F.max(F.struct("state", "texts")).alias("last")
+    said = states.groupBy("conv_id", "message", "part").agg(last, F.max("named")["role"].alias("role"))
+    said = said.select("conv_id", "message", "part", F.coalesce("role", F.lit("")).alias("role"), F.array_join(F.transform("last.texts", lambda t: t["text"]), "").alias("text"))
+    whole = said.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("message", "part", "role", "text")), _by_message).alias("m"))
+    return whole.select("conv_id", F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
 
 
 def _compare(*pairs: tuple[Column, Column]) -> Column:
@@ -72,35 +91,22 @@ def _compare(*pairs: tuple[Column, Column]) -> Column:
     return out
 
 
-def _by_seq(a: Column, b: Column) -> Column:
-    return _compare((a["seq"], b["seq"]), (a["role"], b["role"]), (a["text"], b["text"]))
-
-
 def _by_message(a: Column, b: Column) -> Column:
-    return _compare((a["message"], b["message"]))
+    return _compare((a["message"], b["message"]), (a["part"], b["part"]))
 
 
-def render(turns: DataFrame, trained: tuple[str, ...] = ("assistant",)) -> DataFrame:
+def render(turns: DataFrame, trained: tuple[str, ...] = TRAINED) -> DataFrame:
     """conv_id, formatted, loss_spans (start and length in code points, escaped text of trained roles)."""
-    pieces = F.transform(
-        "turns",
-        lambda t: F.struct(
-            F.concat(F.lit(OPEN), escape(t["role"]), F.lit(MIDDLE)).alias("head"), escape(t["text"]).alias("body"), t["role"].isin(*trained).alias("loss")
-        ),
-    )
-    start = "struct<at:long,spans:array<struct<start:long,n:long>>>"
-
-    def step(acc: Column, p: Column) -> Column:
-        at, n = acc["at"] + F.length(p["head"]), F.length(p["body"]).cast("long")
-        span = F.array(F.struct(at.alias("start"), n.alias("n")))
-        return F.struct((at + n + len(CLOSE)).alias("at"), F.when(p["loss"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
-
-    shaped = turns.select("conv_id", pieces.alias("p"))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,n:long>>").alias("spans")).cast(start)
-    return shaped.select(
+    each = turns.select("conv_id", F.posexplode("turns").alias("at", "t"))
+    each = each.select("conv_id", "at", F.concat(F.lit(OPEN), escape(F.col("t.role")), F.lit(MIDDLE)).alias("head"), escape(F.col("t.text")).alias("body"), F.col("t.role").isin(*trained).alias("loss"))
+    n, before = F.length("body").cast("long"), W.partitionBy("conv_id").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("head") + n + len(CLOSE)).over(before), F.lit(0)) + F.length("head")
+    piece = F.struct("at", F.concat("head", "body", F.lit(CLOSE)).alias("piece"), F.struct(start.cast("long").alias("start"), n.alias("n")).alias("span"), "loss")
+    whole = each.select("conv_id", piece.alias("p")).groupBy("conv_id").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    return whole.select(
         "conv_id",
-        F.array_join(F.transform("p", lambda x: F.concat(x["head"], x["body"], F.lit(CLOSE))), "").alias("formatted"),
-        F.aggregate("p", zero, step)["spans"].alias("loss_spans"),
+        F.array_join(F.transform("p", lambda x: x["piece"]), "").alias("formatted"),
+        F.transform(F.filter("p", lambda x: x["loss"]), lambda x: x["span"]).alias("loss_spans"),
     )
 
 
