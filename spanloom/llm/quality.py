@@ -5,8 +5,12 @@ the lines before and after it. The field labels every line good or bad; forward-
 line's marginal, and the marginals weighted by the lines' lengths are the document's quality. A last
 logistic step, fitted on the same sample, maps that mean to the label's probability.
 
-Training reads labelled documents outside the held-out fold only: for each label the SAMPLE documents
-whose id has the smallest hash, of at most SAMPLE_BYTES bytes each. Prediction reads whole texts only.
+Labels mark documents, so the lines' labels are latent. They begin as the document's label; after each of PASSES trainings
+the lines that the field is SURE of on the other side take that side, as long as most of the document's length
+keeps its label, and the field is trained again. So chains hold both kinds of lines, and the moves between them are learned.
+
+Training reads labelled documents outside the held-out fold only: for each label the SAMPLE rows of labelled documents of at
+most SAMPLE_BYTES bytes whose id has the smallest hash. Prediction reads whole texts only.
 
 Defined cases: null and empty texts are one empty line; without labelled rows every score is 0.5; with one
 label only, the score is the smoothed share of that label; a null id predicts like any other;
@@ -22,15 +26,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from .chars import BANG, BAR, CLASSES, SPACE, STOP, UPPER, classes, code_points
-from .common import crc32_mod, slices
+from .common import crc32_mod, own_name, slices, stage
 from .crf import Adam, Chains, forward_backward, gold_counts
 
 FOLDS, HELD_OUT = 3, 1
 SAMPLE = 1500
 SAMPLE_BYTES = 1 << 16
 ROUNDS = 120
+#: Trainings with lines labelled anew, rounds of each, and the marginal from which a line takes the other label.
+PASSES, AGAIN, SURE = 2, 60, 0.9
 
 
 def line_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,6 +96,23 @@ def means(post: np.ndarray, counts: np.ndarray, weight: np.ndarray) -> np.ndarra
     return np.add.reduceat(post[:, 1] * weight, starts) / np.add.reduceat(weight, starts)
 
 
+def relabelled(post: np.ndarray, counts: np.ndarray, weight: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Labels of the lines: the document's, but for lines that the field is SURE of on the other side, surest first, up to under half the length."""
+    doc = np.repeat(np.arange(len(counts)), counts)
+    own = labels[doc]
+    other = post[np.arange(len(own)), 1 - own]
+    order = np.lexsort((-other, doc))
+    size = weight[order]
+    ends = np.cumsum(size)
+    starts = np.cumsum(counts) - counts
+    taken = ends - np.repeat(np.concatenate([[0.0], ends])[starts], counts)
+    total = np.add.reduceat(weight, starts)[doc]
+    out = own.copy()
+    flip = order[(other[order] >= SURE) & (2 * taken < total)]
+    out[flip] = 1 - own[flip]
+    return out
+
+
 def _logit(p: np.ndarray) -> np.ndarray:
     p = np.clip(p, 1e-4, 1 - 1e-4)
     return np.log(p / (1 - p))
@@ -100,15 +125,19 @@ class LineField:
         self.mean, self.dev = features.mean(axis=0), features.std(axis=0) + 1e-3
         x = self._scaled(features)
         self.w, self.move, self.begin = np.zeros((x.shape[1], 2)), np.zeros((2, 2)), np.zeros(2)
-        chains = Chains.of(counts)
-        hot, moves, firsts = gold_counts(np.repeat(labels, counts), counts, 2)
+        chains, lines = Chains.of(counts), np.repeat(labels, counts)
         adam, n = Adam(0.05), len(x)
-        for _ in range(ROUNDS):
-            post, seen, begun, _ = forward_backward(x @ self.w, chains, self.move, self.begin, pairs=True)
-            adam.begin()
-            adam.step("w", self.w, x.T @ (hot - post) / n - 1e-4 * self.w)
-            adam.step("move", self.move, (moves - seen) / n - 1e-3 * self.move)
-            adam.step("begin", self.begin, (firsts - begun) / len(counts) - 1e-3 * self.begin)
+        for turn in range(1 + PASSES):
+            if turn:
+                lines = relabelled(forward_backward(x @ self.w, chains, self.move, self.begin)[0], counts, weight, labels)
+            hot, moves, firsts = gold_counts(lines, counts, 2)
+            for _ in range(AGAIN if turn else ROUNDS):
+                post, seen, begun, _ = forward_backward(x @ self.w, chains, self.move, self.begin, pairs=True)
+                adam.begin()
+                adam.step("w", self.w, x.T @ (hot - post) / n - 1e-4 * self.w)
+                adam.step("move", self.move, (moves - seen) / n - 1e-3 * self.move)
+                adam.step("begin", self.begin, (firsts - begun) / len(counts) - 1e-3 * self.begin)
+        self.mixed = int(((np.add.reduceat(lines, np.cumsum(counts) - counts) % counts) > 0).sum())  # documents with lines of both kinds
         z = _logit(means(forward_backward(x @ self.w, chains, self.move, self.begin)[0], counts, weight))
         self.slope, self.shift = 1.0, 0.0
         for _ in range(200):  # Newton would do in fewer; the function is smooth and has two unknowns
@@ -140,21 +169,25 @@ class Constant:
 
 def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches, "text"):
-        texts = b.column(0).to_pylist()
-        features, counts, weight = line_features(texts)
+        features, counts, weight = line_features(b.column(0).to_pylist())
         cuts = np.cumsum(counts)[:-1]
         f, w = np.split(features, cuts), np.split(weight, cuts)
-        yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array([x.tobytes() for x in f], pa.binary()), pa.array([x.tobytes() for x in w], pa.binary())], ["doc_id", "label", "features", "weight"])
+        yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array([x.tobytes() for x in f], pa.binary()), pa.array([x.tobytes() for x in w], pa.binary())], ["rank", "label", "features", "weight"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> LineField | Constant:
-    """Train on a bounded sample of the labelled rows outside the held-out fold."""
-    known = labels.select(F.col("doc_id"), F.col(label).cast("int").alias("label")).where("label in (0, 1) and doc_id is not null").where(crc32_mod(F.col("doc_id"), FOLDS) != HELD_OUT)
-    least = [known.where(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for v in (0, 1)]
-    ids = least[0].unionByName(least[1])
-    few = docs.select("doc_id", "text").where(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(ids), "doc_id")  # 2 * sample rows at most
-    rows = few.select("text", "doc_id", "label").mapInArrow(_sample_features, "doc_id long, label int, features binary, weight binary").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.label, r.features))
+    """Train on a bounded sample of the labelled rows outside the held-out fold: the documents are joined with their labels first."""
+    known = labels.select(F.col("doc_id"), F.col(label).cast("int").alias("label")).where("label in (0, 1) and doc_id is not null").where(crc32_mod(F.col("doc_id"), FOLDS) != HELD_OUT).distinct()
+    fits = docs.select("doc_id", F.xxhash64("text").alias("code"), "text").where(F.octet_length("text") <= SAMPLE_BYTES)
+    marked = stage(fits.select("doc_id", "code").join(known, "doc_id").distinct(), "quality-marked")
+    order = [F.xxhash64(F.col("doc_id").cast("string")), F.col("doc_id").cast("string"), "code"]
+    least = [marked.where(F.col("label") == v).orderBy(*order).limit(sample) for v in (0, 1)]
+    chosen = stage(least[0].unionByName(least[1]), "quality-sample")  # 2 * sample rows at most
+    # a chosen row that is repeated is read once
+    few = fits.join(F.broadcast(chosen), ["doc_id", "code"]).groupBy("doc_id", "code", "label").agg(F.min("text").alias("text"))
+    rank = F.row_number().over(W.partitionBy("label").orderBy(*order))
+    rows = few.withColumn("rank", rank).select("text", "rank", "label").mapInArrow(_sample_features, "rank int, label int, features binary, weight binary").collect()
+    rows.sort(key=lambda r: (r.rank, r.label))
     y = np.array([r.label for r in rows], np.int64)
     if len(set(y.tolist())) < 2:
         return Constant((y.sum() + 1) / (len(y) + 2) if len(y) else 0.5)
@@ -164,33 +197,25 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     return LineField(matrix, counts, np.concatenate([np.frombuffer(r.weight, np.float64) for r in rows]), y)
 
 
-def score_texts(docs: DataFrame, model: LineField | Constant) -> DataFrame:
-    """``docs`` with score added."""
+def score_texts(docs: DataFrame, model: LineField | Constant, name: str = "score") -> DataFrame:
+    """``docs`` with a column ``name`` added."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", 4 << 20):
             scores = held.value.scores(b.column(b.schema.get_field_index("text")).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], [*b.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], [*b.schema.names, name])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, score double")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of ``docs``."""
-    model = fit(docs, labels)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", 4 << 20):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held.value.scores(b.column(1).to_pylist()), pa.float64())], ["doc_id", "score"])
-
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    scored = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, score double")
+    scored = score_texts(docs.select("doc_id", "text"), fit(docs, labels)).drop("text")
     return scored.select("doc_id", (crc32_mod(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject, with all their columns."""
-    return score_texts(docs, fit(docs, labels)).where("score >= 0.5").drop("score")
+    name = own_name("score", docs)
+    return score_texts(docs, fit(docs, labels), name).where(F.col(name) >= 0.5).select(*docs.columns)
