@@ -1,6 +1,6 @@
 """Language identification by a linear-chain conditional random field over words.
 
-A word's emission is the mean of learned weights of its character n-grams (3 and 4 letters, the word's
+A word's emission is the mean of learned weights of its character n-grams (2 to 4 letters, the word's
 ends included, so prefixes and suffixes are among them) plus a lexicon weight of the whole word. With
 learned transitions, forward-backward labels every word, so code-switched text gets a label per word.
 A document's language is the one with the largest letter-weighted sum of marginals; its share is the score.
@@ -24,17 +24,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from .chars import code_points, lower_letters
-from .common import crc32_mod, slices
+from .common import crc32_mod, slices, stage
 from .crf import Adam, Chains, forward_backward, gold_counts
 
 FOLDS, HELD_OUT = 4, 2
-SAMPLE = 80
+SAMPLE = 160
 SAMPLE_BYTES = 1 << 14
-#: Languages that a model tells apart, at most.
+#: Languages that a model tells apart, at most: with more, the sample is the first rows of the languages that come first by name.
 MAX_LANGUAGES = 512
 #: Slots of each table of hashed weights.
 SLOTS = 1 << 16
@@ -45,7 +44,7 @@ ROUNDS = 40
 class Words:
     """Words of several texts: hashed n-grams of each letter, and where words and texts begin."""
 
-    grams: list[np.ndarray]  # slots of the 3- and 4-grams around each letter
+    grams: list[np.ndarray]  # slots of the 2-, 3- and 4-grams around each letter
     starts: np.ndarray  # first letter of each word
     sizes: np.ndarray  # letters of each word
     lexicon: np.ndarray  # slot of each word
@@ -65,10 +64,11 @@ def words_of(texts: list[str | None]) -> Words:
     at = np.flatnonzero(c)
     a, b = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
     z, y, x, w = c[at - 1], c[at], c[at + 1], c[at + 2]
+    two = (y * a + x) * b + np.uint32(97)
     three = (z * a + y) * a + x
     # past the end of a word nothing counts
     four = three * b + np.where(x > 0, w, 0)
-    grams = [_slot(three), _slot(four)]
+    grams = [_slot(two), _slot(three), _slot(four)]
     new = c[at - 1] == 0
     starts = np.flatnonzero(new)
     sizes = np.diff([*starts, len(at)])
@@ -86,14 +86,16 @@ class WordField:
     def __init__(self, names: list[str]):
         k = len(names)
         self.names = names
-        self.tables = [np.zeros((SLOTS, k), np.float32) for _ in range(3)]  # 3-grams, 4-grams, lexicon
+        self.tables = [np.zeros((SLOTS, k), np.float32) for _ in range(4)]  # 2-, 3-, 4-grams, lexicon
         self.move, self.begin = np.zeros((k, k), np.float32), np.zeros(k, np.float32)
 
     def emission(self, w: Words) -> np.ndarray:
         if not len(w.starts):
             return np.zeros((0, len(self.names)), np.float32)
-        rows = self.tables[0][w.grams[0]] + self.tables[1][w.grams[1]]
-        return np.add.reduceat(rows, w.starts, axis=0) / w.sizes[:, None].astype(np.float32) + self.tables[2][w.lexicon]
+        rows = self.tables[0][w.grams[0]]
+        for table, grams in zip(self.tables[1:-1], w.grams[1:], strict=True):
+            rows += table[grams]
+        return np.add.reduceat(rows, w.starts, axis=0) / w.sizes[:, None].astype(np.float32) + self.tables[-1][w.lexicon]
 
     def train(self, w: Words, labels: np.ndarray, lengths: np.ndarray, rounds: int = ROUNDS) -> None:
         k, n = len(self.names), len(labels)
@@ -107,7 +109,7 @@ class WordField:
             error = hot - post
             spread = (error / w.sizes[:, None])[word]
             for i, slot in enumerate([*w.grams, w.lexicon]):
-                weight = spread if i < 2 else error
+                weight = spread if i < len(w.grams) else error
                 grad = np.column_stack([np.bincount(slot, weights=weight[:, j], minlength=SLOTS) for j in range(k)]).astype(np.float32)
                 adam.step(f"t{i}", self.tables[i], grad / n - 1e-6 * self.tables[i])
             adam.step("move", self.move, ((moves - seen) / n - 1e-5 * self.move).astype(np.float32))
@@ -157,16 +159,17 @@ def _picked(w: Words, order: np.ndarray) -> Words:
 def fit(docs: DataFrame, sample: int = SAMPLE) -> WordField | None:
     """Train on the bounded sample; None if no row may be learned from."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES) & (crc32_mod(F.col("doc_id"), FOLDS) != HELD_OUT))
-    ids = known.select("doc_id", F.col("lang").cast("string").alias("lang"))
-    first = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = ids.withColumn("_r", first).where(F.col("_r") <= sample).select("doc_id", "lang").distinct().limit(MAX_LANGUAGES * sample).collect()
-    if not chosen:
+    coded = known.select("doc_id", F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("code"), "text")
+    key = F.col("doc_id").cast("string")
+    first = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64(key), key, "code"))
+    picked = coded.select("doc_id", "lang", "code").distinct().withColumn("_r", first).where(F.col("_r") <= sample)
+    chosen = stage(picked.orderBy("_r", "lang").limit(MAX_LANGUAGES * sample).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), F.col("code").alias("_code")), "language-sample")
+    # MAX_LANGUAGES * sample rows at most; a chosen row that is repeated is read once
+    met = coded.join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang")) & (F.col("code") == F.col("_code")))
+    rows = met.groupBy("doc_id", "lang", "code").agg(F.min("text").alias("text")).collect()
+    rows.sort(key=lambda r: (r.lang, str(r.doc_id), r.code))
+    if not rows:
         return None
-    schema = T.StructType([T.StructField("_id", docs.schema["doc_id"].dataType), T.StructField("_lang", T.StringType())])
-    few = docs.sparkSession.createDataFrame([(r.doc_id, r.lang) for r in chosen], schema)
-    # MAX_LANGUAGES * sample ids at most
-    rows = docs.join(F.broadcast(few), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang"))).where(F.octet_length("text") <= SAMPLE_BYTES).select("doc_id", "lang", "text").collect()
-    rows.sort(key=lambda r: (r.lang, r.doc_id is None, r.doc_id, r.text))
     names = sorted({r.lang for r in rows})
     w = words_of([r.text for r in rows])
     labels = np.repeat([names.index(r.lang) for r in rows], w.counts).astype(np.int64)

@@ -1,5 +1,6 @@
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,3 +57,31 @@ def test_quality_odd(spark, odd_docs, no_docs, real):
     assert {r.predicted for r in quality.score(odd_docs, labels.where("quality = 1")).collect()} == {1}
     assert quality.score(no_docs, real[1]).count() == 0
     assert quality.keep_good(odd_docs, labels.limit(0)).columns == odd_docs.columns
+
+
+def test_sample_is_of_labelled_documents(spark, real):
+    docs, labels = real
+    absent = spark.range(10**6, 10**6 + 40_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    model = quality.fit(docs, labels.select("doc_id", F.col("quality").cast("int"), F.col("toxic").cast("int")).unionByName(absent))
+    assert isinstance(model, quality.LineField) and model.mixed > 0  # and chains with lines of both kinds
+
+
+def test_any_id_type_and_clashing_names(odd_docs, spark):
+    labels = spark.createDataFrame([("3", 1), ("5", 1), ("8", 0), ("13", 0)], "doc_id string, quality int")
+    docs = odd_docs.withColumn("doc_id", F.col("doc_id").cast("string")).withColumn("score", F.lit("mine")).withColumn("label", F.lit(3))
+    assert quality.score(docs, labels).count() == docs.count() and langid.identify(docs).count() == docs.count()
+    kept = quality.keep_good(docs, labels)
+    assert kept.columns == docs.columns and {r.score for r in kept.collect()} <= {"mine"}
+
+
+def test_lines_take_the_other_label_up_to_half():
+    post = np.array([[0.01, 0.99], [0.99, 0.01], [0.98, 0.02], [0.5, 0.5], [0.3, 0.7], [0.01, 0.99]])
+    out = quality.relabelled(post, np.array([4, 2]), np.array([5.0, 3.0, 3.0, 5.0, 9.0, 2.0]), np.array([1, 0]))
+    assert out.tolist() == [1, 0, 0, 1, 0, 1]
+
+
+def test_long_texts(spark):
+    text = "the quick brown fox jumps over the lazy dog and " * 120_000
+    docs = spark.createDataFrame([(1, text, "en"), (2, "und der die das nicht " * 9, "de"), (3, "the and of with that " * 9, "en"), (4, "x\n" * 300_000, "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(2, 1), (3, 0)], "doc_id long, quality int")
+    assert quality.score(docs, labels).count() == 4 and langid.identify(docs).count() == 4
