@@ -7,7 +7,8 @@ logistic step, fitted on the same sample, maps that mean to the label's probabil
 
 Labels mark documents, so the lines' labels are latent. They begin as the document's label; after each of PASSES trainings
 the lines that the field is SURE of on the other side take that side, as long as most of the document's length
-keeps its label, and the field is trained again. So chains hold both kinds of lines, and the moves between them are learned.
+keeps its label, and the field is trained again. To learn the moves between both kinds of lines, documents of
+either label are also joined to one, good first and bad first in turn, whose lines keep their documents' labels.
 
 Training reads labelled documents outside the held-out fold only: for each label the SAMPLE rows of labelled documents of at
 most SAMPLE_BYTES bytes whose id has the smallest hash. Prediction reads whole texts only.
@@ -121,24 +122,26 @@ def _logit(p: np.ndarray) -> np.ndarray:
 class LineField:
     """The trained field: standardisation, weights, moves, first labels and the final logistic step."""
 
-    def __init__(self, features: np.ndarray, counts: np.ndarray, weight: np.ndarray, labels: np.ndarray):
+    def __init__(self, features: np.ndarray, counts: np.ndarray, weight: np.ndarray, labels: np.ndarray, joined: np.ndarray | None = None):
+        """``labels``: of the first documents; those after them are joined ones, whose lines' labels ``joined`` holds."""
         self.mean, self.dev = features.mean(axis=0), features.std(axis=0) + 1e-3
         x = self._scaled(features)
         self.w, self.move, self.begin = np.zeros((x.shape[1], 2)), np.zeros((2, 2)), np.zeros(2)
-        chains, lines = Chains.of(counts), np.repeat(labels, counts)
+        single = counts[: len(labels)]
+        chains, own = Chains.of(counts), int(single.sum())
+        lines, known = np.repeat(labels, single), np.zeros(0, np.int64) if joined is None else joined
         adam, n = Adam(0.05), len(x)
         for turn in range(1 + PASSES):
             if turn:
-                lines = relabelled(forward_backward(x @ self.w, chains, self.move, self.begin)[0], counts, weight, labels)
-            hot, moves, firsts = gold_counts(lines, counts, 2)
+                lines = relabelled(forward_backward(x @ self.w, chains, self.move, self.begin)[0][:own], single, weight[:own], labels)
+            hot, moves, firsts = gold_counts(np.concatenate([lines, known]), counts, 2)
             for _ in range(AGAIN if turn else ROUNDS):
                 post, seen, begun, _ = forward_backward(x @ self.w, chains, self.move, self.begin, pairs=True)
                 adam.begin()
                 adam.step("w", self.w, x.T @ (hot - post) / n - 1e-4 * self.w)
                 adam.step("move", self.move, (moves - seen) / n - 1e-3 * self.move)
                 adam.step("begin", self.begin, (firsts - begun) / len(counts) - 1e-3 * self.begin)
-        self.mixed = int(((np.add.reduceat(lines, np.cumsum(counts) - counts) % counts) > 0).sum())  # documents with lines of both kinds
-        z = _logit(means(forward_backward(x @ self.w, chains, self.move, self.begin)[0], counts, weight))
+        z = _logit(means(forward_backward(x[:own] @ self.w, Chains.of(single), self.move, self.begin)[0], single, weight[:own]))
         self.slope, self.shift = 1.0, 0.0
         for _ in range(200):  # Newton would do in fewer; the function is smooth and has two unknowns
             p = 1 / (1 + np.exp(-(self.slope * z + self.shift)))
@@ -172,7 +175,7 @@ def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         features, counts, weight = line_features(b.column(0).to_pylist())
         cuts = np.cumsum(counts)[:-1]
         f, w = np.split(features, cuts), np.split(weight, cuts)
-        yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array([x.tobytes() for x in f], pa.binary()), pa.array([x.tobytes() for x in w], pa.binary())], ["rank", "label", "features", "weight"])
+        yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([x.tobytes() for x in f], pa.binary()), pa.array([x.tobytes() for x in w], pa.binary())], ["rank", "label", "first", "features", "weight"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> LineField | Constant:
@@ -186,15 +189,22 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     # a chosen row that is repeated is read once
     few = fits.join(F.broadcast(chosen), ["doc_id", "code"]).groupBy("doc_id", "code", "label").agg(F.min("text").alias("text"))
     rank = F.row_number().over(W.partitionBy("label").orderBy(*order))
-    rows = few.withColumn("rank", rank).select("text", "rank", "label").mapInArrow(_sample_features, "rank int, label int, features binary, weight binary").collect()
-    rows.sort(key=lambda r: (r.rank, r.label))
-    y = np.array([r.label for r in rows], np.int64)
+    few = stage(few.select("text", rank.alias("rank"), "label", F.size(F.split("text", "\n", -1)).alias("first")), "quality-texts")
+    good, bad = few.where("label = 1"), few.where("label = 0").select("rank", F.col("text").alias("other"), F.col("first").alias("others"))
+    both, turned = good.join(bad, "rank"), F.col("rank") % 2 == 0
+    text = F.when(turned, F.concat_ws("\n", "text", "other")).otherwise(F.concat_ws("\n", "other", "text"))
+    # label 2: good lines first, 3: bad lines first
+    both = both.select(text.alias("text"), "rank", F.when(turned, 2).otherwise(3).alias("label"), F.when(turned, F.col("first")).otherwise(F.col("others")).alias("first"))
+    rows = few.unionByName(both).mapInArrow(_sample_features, "rank int, label int, first int, features binary, weight binary").collect()
+    rows.sort(key=lambda r: (r.label > 1, r.rank, r.label))
+    y = np.array([r.label for r in rows if r.label < 2], np.int64)
     if len(set(y.tolist())) < 2:
         return Constant((y.sum() + 1) / (len(y) + 2) if len(y) else 0.5)
     features = [np.frombuffer(r.features, np.float32) for r in rows]
     counts = np.array([len(r.weight) // 8 for r in rows], np.int64)
     matrix = np.vstack([f.reshape(c, -1) for f, c in zip(features, counts, strict=True)]).astype(np.float64)
-    return LineField(matrix, counts, np.concatenate([np.frombuffer(r.weight, np.float64) for r in rows]), y)
+    joined = np.concatenate([(np.arange(c) < r.first) == (r.label == 2) for r, c in zip(rows, counts.tolist(), strict=True) if r.label > 1]).astype(np.int64)
+    return LineField(matrix, counts, np.concatenate([np.frombuffer(r.weight, np.float64) for r in rows]), y, joined)
 
 
 def score_texts(docs: DataFrame, model: LineField | Constant, name: str = "score") -> DataFrame:
