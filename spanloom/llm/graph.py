@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import numpy as np
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,9 +28,9 @@ def components(links: DataFrame) -> DataFrame:
         state = new
 
 
-def spanning(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Those of the pairs over n positions that make a spanning forest of them."""
-    root, left, right = np.arange(n), [], []
+def spanning(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]], root: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs over n positions that make a spanning forest of them; ``root``: the first position of what is one already."""
+    root, left, right = np.arange(n) if root is None else root.copy(), [], []
     for q, t in pairs:
         ra, rb = root[q], root[t]
         apart = np.flatnonzero(ra != rb)

@@ -8,8 +8,9 @@ At a similarity of 0.8 a bit differs with a chance of 0.15 (0.19 for the shortes
 four to five standard deviations above the mean. The order puts shingles that are common in a sample last; it
 decides how many pairs meet and never which are linked. Shingles are 64-bit hashes.
 
-Under a shingle of more than RING texts, each text is first compared with one other only; what that links
-need not meet again, so the copies of one text do not meet in all their pairs.
+Under a shingle of more than RING texts, each text is first compared with two others only. What that links need not meet
+again: of the pairs that the walks find between different components, a spanning forest is checked, and only where one of its
+pairs fails are the others of the components at its ends. So the pairs of a group of near-copies grow with its size, not its square.
 
 Defined cases: a text of fewer than five words is one shingle; null and empty texts are alike; of every group of
 linked texts the first row stays; repeated rows and extra columns are carried as they are; an empty table gives an
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from .bktree import BKForest, distance
 from .common import listed, slices, stage
 from .fingerprints import hashed, simhash
-from .graph import components
+from .graph import components, spanning
 
 SHINGLE = 5
 #: Bits by which the fingerprints of a pair may differ.
@@ -42,7 +43,9 @@ SHARD = 4096
 #: Pairs that are held at once.
 MEET = 1 << 18
 #: Bits of the sketch by which pairs are rejected before their texts are brought together.
-WIDE = 2048
+WIDE = 1024
+#: What a row does in its group: stand in the tree, walk it.
+TREE, WALK = 1, 2
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -147,59 +150,71 @@ def _shared(cols: list[np.ndarray], starts: np.ndarray, ends: np.ndarray) -> Ite
     yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (shingle, row, n, fp, size.astype(np.int64), other)], ["shingle", "row", "n", "fp", "size", "other"])
 
 
-def _meet(cols: list[np.ndarray], starts: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of every group that the walks find, that can be similar by their sizes and are not linked yet."""
-    _, _, row, n, fp, group, home = cols
-    n, prints = n.astype(np.int64), fp.view(np.uint64)
-    which = np.repeat(np.arange(len(starts)), ends - starts)
-    order = np.lexsort((prints, which))
-    new = np.ones(len(order), bool)
-    new[1:] = (which[order][1:] != which[order][:-1]) | (prints[order][1:] != prints[order][:-1])
-    first = np.flatnonzero(new)  # rows of one fingerprint in one group share a node
-    last = np.concatenate([first[1:], [len(order)]])
-    forest, place = BKForest.of(prints[order][first], which[order][first])
-    for q, node in forest.walk(prints[order][first], forest.roots[which[order][first]], RADIUS):
-        t = place[node]
-        once = q <= t  # a pair is found from both sides
-        q, t = q[once], t[once]
-        wide = last[t] - first[t]
-        pairs = (last[q] - first[q]) * wide
-        ends_ = np.cumsum(pairs)
-        a = 0
-        while a < len(q):
-            b = max(a + 1, int(np.searchsorted(ends_, (ends_[a - 1] if a else 0) + MEET, side="right")))
-            for at in range(0, int(pairs[a:b].sum()), MEET):  # one node's rows against another's may be many
-                k = np.arange(at, min(at + MEET, int(pairs[a:b].sum())))
-                of = a + np.searchsorted(ends_[a:b] - (ends_[a - 1] if a else 0), k, side="right")
-                k = k - (ends_[of] - pairs[of] - (ends_[a - 1] if a else 0))
-                i, j = order[first[q[of]] + k // wide[of]], order[first[t[of]] + k % wide[of]]
-                ok = (row[i] != row[j]) & ((q[of] != t[of]) | (row[i] < row[j])) & _may(n[i], n[j]) & (group[i] != group[j]) & (home[i] | home[j])
-                i, j = i[ok], j[ok]
-                if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(row[i], row[j])), pa.array(np.maximum(row[i], row[j]))], ["a", "b"])
-            a = b
+def _meet(every: bool) -> Callable:
+    """Pairs (a, b) that the walks of every group find, that sizes and sketches allow and that are not of one component: all, or enough to span what they join."""
+
+    def run(cols: list[np.ndarray], starts: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+        _, _, _, row, n, fp, group, role, wide = cols
+        n, prints = n.astype(np.int64), fp.view(np.uint64)
+        sketch = np.frombuffer(b"".join(wide.tolist()), np.uint64).reshape(len(row), -1)
+        which = np.repeat(np.arange(len(starts)), ends - starts)
+
+        def nodes(part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            """Fingerprints by group of the rows that take this part, the group of each, and its rows: order[first:last]."""
+            mine = np.flatnonzero(role & part)
+            order = mine[np.lexsort((prints[mine], which[mine]))]
+            new = np.ones(len(order), bool)
+            new[1:] = (which[order][1:] != which[order][:-1]) | (prints[order][1:] != prints[order][:-1])
+            first = np.flatnonzero(new)
+            return prints[order][first], which[order][first], order, first, np.concatenate([first[1:], [len(order)]])[: len(first)]
+
+        tree, tree_of, t_order, t_first, t_last = nodes(TREE)
+        walker, walker_of, q_order, q_first, q_last = nodes(WALK)
+        if not len(tree) or not len(walker):
+            return
+        names, number = np.unique(tree_of, return_inverse=True)
+        forest, place = BKForest.of(tree, number)
+        at = np.minimum(np.searchsorted(names, walker_of), len(names) - 1)
+        go = names[at] == walker_of
+        walker, at, q_first, q_last = walker[go], at[go], q_first[go], q_last[go]
+
+        def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for q, node in forest.walk(walker, forest.roots[at], RADIUS):
+                t = place[node]
+                wide_ = t_last[t] - t_first[t]
+                many = (q_last[q] - q_first[q]) * wide_
+                stop = np.cumsum(many)
+                for k in range(0, int(stop[-1]), MEET):  # the rows of one fingerprint against those of another may be many
+                    k = np.arange(k, min(k + MEET, int(stop[-1])))
+                    of = np.searchsorted(stop, k, side="right")
+                    k = k - (stop[of] - many[of])
+                    i, j = q_order[q_first[q[of]] + k // wide_[of]], t_order[t_first[t[of]] + k % wide_[of]]
+                    ok = (group[i] != group[j]) & _may(n[i], n[j])
+                    i, j = i[ok], j[ok]
+                    # of two sets that are similar, at most a ninth of both sizes differs, and a sketch differs by no more
+                    ok = 9 * np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64) <= n[i] + n[j]
+                    if ok.any():
+                        yield i[ok], j[ok]
+
+        if every:
+            found = pairs()
+        else:
+            _, first, of = np.unique(group, return_index=True, return_inverse=True)
+            found = [spanning(len(row), pairs(), first[of])]
+        for i, j in found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(row[i], row[j])), pa.array(np.maximum(row[i], row[j]))], ["a", "b"])
+
+    return run
 
 
 def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Size and parity sketch of WIDE bits."""
+    """Parity sketch of WIDE bits."""
     for b in slices(batches, "text"):
-        sizes, out = [], []
+        out = []
         for t in b.column(1).to_pylist():
-            found = shingles(t)
-            sizes.append(len(found))
-            odd = np.bincount(found.view(np.uint64) >> np.uint64(6) & np.uint64(WIDE - 1), minlength=WIDE) & 1
+            odd = np.bincount(shingles(t).view(np.uint64) >> np.uint64(6) & np.uint64(WIDE - 1), minlength=WIDE) & 1
             out.append(np.packbits(odd.astype(bool)).tobytes())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int32()), pa.array(out, pa.binary())], ["row", "n", "wide"])
-
-
-def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b, n, m, one, two), with whether at most a ninth of both sizes can differ."""
-    for b in batches:
-        if b.num_rows:
-            one, two = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint64).reshape(b.num_rows, -1) for i in (4, 5))
-            apart = np.bitwise_count(one ^ two).sum(axis=1, dtype=np.int64)
-            both = b.column(2).to_numpy().astype(np.int64) + b.column(3).to_numpy()
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(9 * apart <= both)], ["a", "b", "ok"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["row", "wide"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,23 +223,37 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
 
-def _texts_of(held: DataFrame, pairs: DataFrame) -> DataFrame:
-    ids = stage(pairs.select(F.explode(F.array("a", "b")).alias("_row")).distinct(), "near-rows")
-    return held.select("_row", "text").join(listed(ids), "_row", "left_semi")
+def _texts_of(held: DataFrame, ids: DataFrame) -> DataFrame:
+    return held.select("_row", "text").join(listed(stage(ids.toDF("_row").distinct(), "near-rows")), "_row", "left_semi")
 
 
 def verify(held: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b, ok) for the pairs (a, b) of rows: by wide sketches, which reject without loss, and by the texts of those left."""
+    """(a, b, ok) for the pairs (a, b) of rows, by their texts."""
     pairs = stage(pairs.distinct(), "near-pairs")
-    wide = stage(_texts_of(held, pairs).mapInArrow(_wide, "row long, n int, wide binary"), "near-wide")
-    one, two = wide.toDF("a", "n", "one"), wide.toDF("b", "m", "two")
-    met = pairs.join(one, "a").join(two, "b").select("a", "b", "n", "m", "one", "two")
-    met = stage(met.mapInArrow(_close, "a long, b long, ok boolean"), "near-met")
-    left = met.where("ok").select("a", "b")
-    texts = _texts_of(held, left)
+    texts = _texts_of(held, pairs.select(F.explode(F.array("a", "b"))))
     one, two = texts.toDF("a", "one"), texts.toDF("b", "two")
-    checked = left.join(one, "a").join(two, "b").select("a", "b", "one", "two").mapInArrow(_verified, "a long, b long, ok boolean")
-    return stage(met.where("not ok").unionByName(checked), "near-verified")
+    return stage(pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two").mapInArrow(_verified, "a long, b long, ok boolean"), "near-verified")
+
+
+def walked(shared: DataFrame, wide: DataFrame, roots: DataFrame, every: bool = False) -> DataFrame:
+    """Pairs (a, b) that the walks find between rows of different components (row, linked) among those in ``roots``.
+
+    Of a small group all rows walk its tree. Of a large one, the rows outside the component that most of its rows belong to walk its
+    trees: every pair of two components has such a row. Trees have SHARD rows at most and walkers come in packs of SHARD.
+    """
+    placed = shared.select("shingle", "row", "n", "fp", "size").join(roots, "row")
+    small = placed.where(F.col("size") <= RING).withColumn("shard", F.lit(0).cast("long")).withColumn("pack", F.lit(0).cast("long")).withColumn("role", F.lit(TREE | WALK))
+    large = stage(placed.where(F.col("size") > RING), "near-large")
+    counts = large.groupBy("shingle", "linked").agg(F.count(F.lit(1)).alias("k")).groupBy("shingle").agg(F.max(F.struct("k", "linked")).alias("most"), F.sum("k").alias("all"))
+    split = counts.select("shingle", F.col("most.linked").alias("giant"), F.ceil(F.col("all") / SHARD).alias("shards"), F.ceil((F.col("all") - F.col("most.k")) / SHARD).alias("packs")).where("packs > 0")
+    some = large.join(stage(split, "near-split"), "shingle")
+    all_ = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    tree = some.withColumn("shard", F.pmod(F.xxhash64("row"), F.col("shards"))).withColumn("pack", F.explode(all_("packs"))).withColumn("role", F.lit(TREE))
+    walk = some.where("linked <> giant").withColumn("pack", F.pmod(F.xxhash64("row", F.lit(1)), F.col("packs"))).withColumn("shard", F.explode(all_("shards"))).withColumn("role", F.lit(WALK))
+    columns = ["shingle", "shard", "pack", "row", "n", "fp", "linked", "role"]
+    rows = small.select(*columns).unionByName(tree.select(*columns)).unionByName(walk.select(*columns)).join(wide, "row").select(*columns, "wide")
+    rows = rows.repartition("shingle", "shard", "pack").sortWithinPartitions("shingle", "shard", "pack")
+    return rows.mapInArrow(_grouped(_meet(every), 3), "a long, b long")
 
 
 def near_pairs(held: DataFrame) -> DataFrame:
@@ -233,15 +262,24 @@ def near_pairs(held: DataFrame) -> DataFrame:
     rows = held.select("_row", "text").mapInArrow(_prefixes(known), "shingle long, row long, n int, fp long")
     rows = rows.repartition("shingle").sortWithinPartitions("shingle")
     shared = stage(rows.mapInArrow(_grouped(_shared, 1), "shingle long, row long, n int, fp long, size long, other long"), "near-shared")
-    ring = shared.where("other >= 0").select(F.least("row", "other").alias("a"), F.greatest("row", "other").alias("b"))
-    tried = verify(held, ring)
-    roots = stage(components(tried.where("ok").select(F.col("a").alias("u"), F.col("b").alias("v"))), "near-linked")
-    placed = shared.join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("linked", F.coalesce("root", "row"))
-    # every pair of a shingle's shards meets once
-    placed = placed.withColumn("shards", F.ceil(F.col("size") / SHARD).cast("long")).withColumn("own", F.pmod(F.xxhash64("row"), F.col("shards")))
-    placed = placed.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)))
-    low, high = F.least("own", "with"), F.greatest("own", "with")
-    placed = placed.select("shingle", (low * F.col("shards") + high).alias("shard"), "row", "n", "fp", "linked", (F.col("own") == low).alias("home"))
-    placed = placed.repartition("shingle", "shard").sortWithinPartitions("shingle", "shard")
-    rest = placed.mapInArrow(_grouped(_meet, 2), "a long, b long").distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    return tried.where("ok").select("a", "b").unionByName(verify(held, rest).where("ok").select("a", "b"))
+    wide = stage(_texts_of(held, shared.select("row")).mapInArrow(_wide, "row long, wide binary"), "near-wide")
+    members = wide.select("row")
+
+    def joined(tried: DataFrame) -> DataFrame:
+        """(row, linked): the component of every row that shares a shingle."""
+        found = components(tried.where("ok").select(F.col("a").alias("u"), F.col("b").alias("v")))
+        return stage(members.join(found.toDF("row", "root"), "row", "left").select("row", F.coalesce("root", "row").alias("linked")), "near-linked")
+
+    # in large groups, a text meets two others first
+    ring = shared.where("other >= 0").groupBy("row").agg(F.array(F.min("other"), F.max("other")).alias("others")).select("row", F.explode("others").alias("other"))
+    tried = verify(held, ring.select(F.least("row", "other").alias("a"), F.greatest("row", "other").alias("b")))
+    spanned = walked(shared, wide, joined(tried))
+    tried = stage(tried.unionByName(verify(held, spanned.join(tried.select("a", "b"), ["a", "b"], "left_anti"))), "near-tried")
+    # a pair left out of a forest joins what the forest's pairs join, but for pairs that failed: between such components every pair is tried
+    if not tried.where("not ok").isEmpty():
+        roots = joined(tried)
+        failed = tried.where("not ok").select(F.explode(F.array("a", "b")).alias("row")).distinct().join(roots, "row").select("linked").distinct()
+        left = roots.join(stage(failed, "near-failed"), "linked", "left_semi").select("row", "linked")
+        rest = walked(shared, wide, left, every=True).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        tried = tried.unionByName(verify(held, rest))
+    return tried.where("ok").select("a", "b")
