@@ -29,9 +29,10 @@ def overlap_join(left: DataFrame, right: DataFrame, by: Sequence[str], width: fl
 
 
 def overlap_exists(left: DataFrame, right: DataFrame, by: Sequence[str], width: float, anti: bool = False, extra=None) -> DataFrame:
-    """Rows of ``left`` (unique ``id``) that overlap some row of ``right``, or none."""
-    hit = overlap_join(left, right, by, width, extra=extra).select("id").distinct()
-    return left.join(hit, "id", "left_anti" if anti else "left_semi")
+    """Rows of ``left`` that overlap some row of ``right``, or none; repeated and null ids are rows of their own."""
+    keyed = left.withColumn("_key", F.monotonically_increasing_id())
+    hit = overlap_join(keyed, right, by, width, extra=extra).select("_key").distinct()
+    return keyed.join(hit, "_key", "left_anti" if anti else "left_semi").drop("_key")
 
 
 def overlap_seconds() -> Column:
