@@ -9,8 +9,9 @@ four to five standard deviations above the mean. The order puts shingles that ar
 decides how many pairs meet and never which are linked. Shingles are 64-bit hashes.
 
 Under a shingle of more than RING texts, each text is first compared with two others only. What that links need not meet
-again: of the pairs that the walks find between different components, a spanning forest is checked, and only where one of its
-pairs fails are the others of the components at its ends. So the pairs of a group of near-copies grow with its size, not its square.
+again: of the pairs that the walks find between different components, a spanning forest is checked. Where pairs of it
+fail, the components at their ends are spanned again without the failed pairs, and after ROUNDS rounds all pairs that are left
+between such components are checked. So the pairs of a group of near-copies grow with its size as long as few of them fail.
 
 Defined cases: a text of fewer than five words is one shingle; null and empty texts are alike; of every group of
 linked texts the first row stays; repeated rows and extra columns are carried as they are; an empty table gives an
@@ -44,6 +45,8 @@ SHARD = 4096
 MEET = 1 << 18
 #: Bits of the sketch by which pairs are rejected before their texts are brought together.
 WIDE = 1024
+#: Rounds after the first by which failed pairs are replaced; the last one tries every pair that is left.
+ROUNDS = 3
 #: What a row does in its group: stand in the tree, walk it.
 TREE, WALK = 1, 2
 
@@ -151,13 +154,22 @@ def _shared(cols: list[np.ndarray], starts: np.ndarray, ends: np.ndarray) -> Ite
 
 
 def _meet(every: bool) -> Callable:
-    """Pairs (a, b) that the walks of every group find, that sizes and sketches allow and that are not of one component: all, or enough to span what they join."""
+    """Pairs (a, b) that the walks of every group find, that sizes and sketches allow, that are not of one component and have not failed: all, or enough to span what they join."""
 
     def run(cols: list[np.ndarray], starts: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
-        _, _, _, row, n, fp, group, role, wide = cols
+        _, _, _, row, n, fp, group, role, wide, failed = cols
         n, prints = n.astype(np.int64), fp.view(np.uint64)
         sketch = np.frombuffer(b"".join(wide.tolist()), np.uint64).reshape(len(row), -1)
         which = np.repeat(np.arange(len(starts)), ends - starts)
+        # pairs that failed before, as numbers of their places among the rows
+        rows, place_of = np.unique(row, return_inverse=True)
+        failing = [(np.full(len(f), i), np.asarray(f, np.int64)) for i, f in zip(place_of.tolist(), failed.tolist(), strict=True) if f is not None and len(f)]
+        known = np.zeros(0, np.int64)
+        if failing:
+            own, other = (np.concatenate(x) for x in zip(*failing, strict=True))
+            at = np.minimum(np.searchsorted(rows, other), len(rows) - 1)
+            own, at = own[rows[at] == other], at[rows[at] == other]
+            known = np.unique(np.minimum(own, at) * len(rows) + np.maximum(own, at))
 
         def nodes(part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
             """Fingerprints by group of the rows that take this part, the group of each, and its rows: order[first:last]."""
@@ -193,8 +205,13 @@ def _meet(every: bool) -> Callable:
                     i, j = i[ok], j[ok]
                     # of two sets that are similar, at most a ninth of both sizes differs, and a sketch differs by no more
                     ok = 9 * np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64) <= n[i] + n[j]
-                    if ok.any():
-                        yield i[ok], j[ok]
+                    i, j = i[ok], j[ok]
+                    if len(i) and len(known):
+                        code = np.minimum(place_of[i], place_of[j]) * len(rows) + np.maximum(place_of[i], place_of[j])
+                        new = known[np.minimum(np.searchsorted(known, code), len(known) - 1)] != code
+                        i, j = i[new], j[new]
+                    if len(i):
+                        yield i, j
 
         if every:
             found = pairs()
@@ -235,8 +252,8 @@ def verify(held: DataFrame, pairs: DataFrame) -> DataFrame:
     return stage(pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two").mapInArrow(_verified, "a long, b long, ok boolean"), "near-verified")
 
 
-def walked(shared: DataFrame, wide: DataFrame, roots: DataFrame, every: bool = False) -> DataFrame:
-    """Pairs (a, b) that the walks find between rows of different components (row, linked) among those in ``roots``.
+def walked(shared: DataFrame, wide: DataFrame, roots: DataFrame, failed: DataFrame, every: bool = False) -> DataFrame:
+    """Pairs (a, b) that the walks find between rows of different components (row, linked) among those in ``roots``, without the ``failed`` pairs (a, b).
 
     Of a small group all rows walk its tree. Of a large one, the rows outside the component that most of its rows belong to walk its
     trees: every pair of two components has such a row. Trees have SHARD rows at most and walkers come in packs of SHARD.
@@ -251,7 +268,9 @@ def walked(shared: DataFrame, wide: DataFrame, roots: DataFrame, every: bool = F
     tree = some.withColumn("shard", F.pmod(F.xxhash64("row"), F.col("shards"))).withColumn("pack", F.explode(all_("packs"))).withColumn("role", F.lit(TREE))
     walk = some.where("linked <> giant").withColumn("pack", F.pmod(F.xxhash64("row", F.lit(1)), F.col("packs"))).withColumn("shard", F.explode(all_("shards"))).withColumn("role", F.lit(WALK))
     columns = ["shingle", "shard", "pack", "row", "n", "fp", "linked", "role"]
-    rows = small.select(*columns).unionByName(tree.select(*columns)).unionByName(walk.select(*columns)).join(wide, "row").select(*columns, "wide")
+    rows = small.select(*columns).unionByName(tree.select(*columns)).unionByName(walk.select(*columns)).join(wide, "row")
+    lists = stage(failed.groupBy(F.col("a").alias("row")).agg(F.collect_list("b").alias("failed")), "near-failures")
+    rows = rows.join(lists, "row", "left").select(*columns, "wide", "failed")
     rows = rows.repartition("shingle", "shard", "pack").sortWithinPartitions("shingle", "shard", "pack")
     return rows.mapInArrow(_grouped(_meet(every), 3), "a long, b long")
 
@@ -273,13 +292,19 @@ def near_pairs(held: DataFrame) -> DataFrame:
     # in large groups, a text meets two others first
     ring = shared.where("other >= 0").groupBy("row").agg(F.array(F.min("other"), F.max("other")).alias("others")).select("row", F.explode("others").alias("other"))
     tried = verify(held, ring.select(F.least("row", "other").alias("a"), F.greatest("row", "other").alias("b")))
-    spanned = walked(shared, wide, joined(tried))
-    tried = stage(tried.unionByName(verify(held, spanned.join(tried.select("a", "b"), ["a", "b"], "left_anti"))), "near-tried")
-    # a pair left out of a forest joins what the forest's pairs join, but for pairs that failed: between such components every pair is tried
-    if not tried.where("not ok").isEmpty():
+    failures = lambda: tried.where("not ok").select("a", "b")
+    new = verify(held, walked(shared, wide, joined(tried), failures()))
+    tried = stage(tried.unionByName(new), "near-tried")
+    # a pair left out of a forest joins what the forest's pairs join, but where one of these failed: components at the ends of
+    # failed pairs are spanned again without them, and at last all their pairs are tried
+    for turn in range(1, ROUNDS + 1):
+        if tried.where("not ok").isEmpty():
+            break
         roots = joined(tried)
-        failed = tried.where("not ok").select(F.explode(F.array("a", "b")).alias("row")).distinct().join(roots, "row").select("linked").distinct()
-        left = roots.join(stage(failed, "near-failed"), "linked", "left_semi").select("row", "linked")
-        rest = walked(shared, wide, left, every=True).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        tried = tried.unionByName(verify(held, rest))
+        ends = failures().select(F.explode(F.array("a", "b")).alias("row")).distinct().join(roots, "row").select("linked").distinct()
+        left = roots.join(stage(ends, "near-failed"), "linked", "left_semi").select("row", "linked")
+        new = verify(held, walked(shared, wide, left, failures(), every=turn == ROUNDS))
+        if new.isEmpty():
+            break
+        tried = stage(tried.unionByName(new), "near-tried")
     return tried.where("ok").select("a", "b")

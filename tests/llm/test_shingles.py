@@ -60,9 +60,9 @@ def test_near_stage_keeps_one_of_each_group_at_four_fifths(spark):
     assert {r.doc_id for r in P.near(spark, docs, "").collect()} == {0, 2}
 
 
-@pytest.mark.parametrize("shard,ring,sample,common", [(4096, 16, 20_000, 4), (7, 2, 50, 2), (4096, 10**6, 1, 10**6)])
-def test_every_pair_is_found(spark, monkeypatch, shard, ring, sample, common):
-    for name, value in (("SHARD", shard), ("RING", ring), ("SAMPLE", sample), ("COMMON", common)):
+@pytest.mark.parametrize("shard,ring,sample,common,rounds", [(4096, 16, 20_000, 4, 6), (7, 2, 50, 2, 2), (4096, 10**6, 1, 10**6, 1)])
+def test_every_pair_is_found(spark, monkeypatch, shard, ring, sample, common, rounds):
+    for name, value in (("SHARD", shard), ("RING", ring), ("SAMPLE", sample), ("COMMON", common), ("ROUNDS", rounds)):
         monkeypatch.setattr(S, name, value)
     rng = random.Random(shard + ring)
     texts = some_texts(rng, 60)
