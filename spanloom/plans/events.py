@@ -11,8 +11,10 @@ from ..operators import events as op
 from ..sources.tables import spans, table
 from .registry import HOUR, MS, M, _ms, _of, query
 
-WM = W.partitionBy("media_id").orderBy("t0", "t1", "id")
-WC = W.partitionBy("conv_id").orderBy("turn")
+
+def _along():
+    """A recording's events in order."""
+    return W.partitionBy("media_id").orderBy("t0", "t1", "id")
 
 
 @query("""WITH {S}, p AS (SELECT a.id, b.id AS clip FROM s a JOIN s b ON a.media_id = b.media_id AND a.t0 < b.t1 AND b.t0 < a.t1 WHERE a.speaker = 'click' AND b.speaker = 'view')
@@ -52,7 +54,7 @@ def _owned(spark, d):
         "id", F.when(i % 6 == 0, None).otherwise(F.col("speaker")).alias("speaker"), F.col("t0").alias("start"), F.col("t1").alias("end"), F.when(i % 5 == 0, F.filter(both, lambda s: F.lit(False))).otherwise(both).alias("spans"),
         F.when(i % 4 == 0, None).otherwise(i % 2).alias("region"), F.when(i % 7 == 0, "late;speaker_conflict").when(i % 7 == 1, "late").alias("warnings"), (i % 11 == 0).alias("split_before"), (i % 13 == 0).alias("split_after"),
     )
-    return spans(spark, d).select("media_id", "id", event.alias("left"), F.lead(event).over(WM).alias("right")).where("right is not null")
+    return spans(spark, d).select("media_id", "id", event.alias("left"), F.lead(event).over(_along()).alias("right")).where("right is not null")
 
 
 OWNED = """, o AS (SELECT media_id, id, t0, t1, CASE WHEN id % 6 = 0 THEN NULL ELSE speaker END AS sp, CASE WHEN id % 5 = 0 THEN 0 ELSE 2 END AS n, CASE WHEN id % 4 = 0 THEN NULL ELSE id % 2 END AS rg,
@@ -93,7 +95,7 @@ f AS (SELECT media_id, grp, count(*) AS n, bool_or(split) AS split, min(bin) < m
 SELECT media_id, grp, CASE WHEN n < 2 THEN NULL WHEN split THEN 'split' WHEN bins THEN 'bins' WHEN who THEN 'speakers' WHEN tracks THEN 'tracks' WHEN gap THEN 'gap' WHEN long THEN 'long' END AS fault FROM f""")
 def group_merge_faults(spark, d):
     i = F.col("id")
-    g = spans(spark, d).withColumn("grp", F.floor((F.row_number().over(WM) - 1) / 3).cast("long"))
+    g = spans(spark, d).withColumn("grp", F.floor((F.row_number().over(_along()) - 1) / 3).cast("long"))
     events = g.select("media_id", "grp", F.col("t0").alias("start"), F.col("t1").alias("end"), (i % 17 == 0).alias("split_before"), F.when(i % 3 > 0, i % 2).alias("bin"), "speaker", (i % 2 == 0).alias("confirmed"), (i % 19 == 0).alias("overlap"))
     return op.merge_fault(events, ["media_id", "grp"], 200_000.0, 300_000.0)
 
@@ -116,7 +118,7 @@ def section_breaks(spark, d):
     k, t = F.col("turn") % 4, F.col("text")
     said = F.when(k == 0, t).when(k == 1, F.concat(F.lit("2. "), t)).when(k == 2, F.concat(t, F.lit(" with courtesy."))).otherwise(F.concat(F.lit("Answer "), t))
     c = table(spark, d, "conversations").select("conv_id", "turn", said.alias("t"))
-    return c.withColumn("f", F.lead("t").over(WC)).where("f is not null").select("conv_id", "turn", ev.section_break(F.col("t"), F.col("f")).alias("breaks"))
+    return c.withColumn("f", F.lead("t").over(W.partitionBy("conv_id").orderBy("turn"))).where("f is not null").select("conv_id", "turn", ev.section_break(F.col("t"), F.col("f")).alias("breaks"))
 
 
 @query(r"""WITH c AS (SELECT conv_id, turn, rtrim(CASE turn % 3 WHEN 0 THEN text ELSE regexp_replace(text, '[.!?]*$', '') || ' because.' END) AS t FROM conversations)
@@ -174,7 +176,7 @@ r AS (SELECT *, min(t0) OVER w AS o, max(t1) OVER w - 1200 AS z FROM n WINDOW w
 e AS (SELECT id, o + CASE WHEN id % 3 = 0 THEN t0 - o + 30 ELSE t0 - o END AS a, CASE WHEN row_number() OVER (PARTITION BY media_id, region ORDER BY n DESC) = 1 THEN z ELSE o + CASE WHEN id % 3 = 0 THEN t1 - o - 30 ELSE t1 - o END END AS b, z FROM r),
 f AS (SELECT id, a AS t0, least(b, greatest(z, b - 0.05) + 0.15) AS t1 FROM e) SELECT id, {MS.format("t0")}, {MS.format("t1")} FROM f WHERE t1 > t0""")
 def segments_to_timeline(spark, d):
-    s = spans(spark, d).withColumn("n", F.row_number().over(WM)).withColumn("region", F.floor((F.col("n") - 1) / 4))
+    s = spans(spark, d).withColumn("n", F.row_number().over(_along())).withColumn("region", F.floor((F.col("n") - 1) / 4))
     w = W.partitionBy("media_id", "region")
     s = s.withColumn("offset", F.min("t0").over(w)).withColumn("stop", F.max("t1").over(w) - 1200)
     own = F.col("id") % 3 == 0
