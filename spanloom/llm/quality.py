@@ -40,6 +40,8 @@ SAMPLE_BYTES = 1 << 16
 ROUNDS = 120
 #: Trainings with lines labelled anew, rounds of each, and the marginal from which a line takes the other label.
 PASSES, AGAIN, SURE = 2, 60, 0.9
+#: Bytes of texts whose lines are held at once, about: their features take some 30 times as much.
+TEXT_BYTES = 1 << 20
 
 
 def line_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -171,7 +173,7 @@ class Constant:
 
 
 def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches, "text"):
+    for b in slices(batches, "text", TEXT_BYTES):
         features, counts, weight = line_features(b.column(0).to_pylist())
         cuts = np.cumsum(counts)[:-1]
         f, w = np.split(features, cuts), np.split(weight, cuts)
@@ -212,7 +214,7 @@ def score_texts(docs: DataFrame, model: LineField | Constant, name: str = "score
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", 4 << 20):
+        for b in slices(batches, "text", TEXT_BYTES):
             scores = held.value.scores(b.column(b.schema.get_field_index("text")).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], [*b.schema.names, name])
 

@@ -43,6 +43,8 @@ RING = 16
 SHARD = 4096
 #: Pairs that are held at once.
 MEET = 1 << 18
+#: Bytes of texts whose shingles are held at once, about.
+TEXT_BYTES = 2 << 20
 #: Bits of the sketch by which pairs are rejected before their texts are brought together.
 WIDE = 1024
 #: Rounds after the first by which failed pairs are replaced; the last one tries every pair that is left.
@@ -72,7 +74,7 @@ def _may(n: np.ndarray, m: np.ndarray) -> np.ndarray:
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches, "text", 2 << 20):
+    for b in slices(batches, "text", TEXT_BYTES):
         found, n = np.unique(np.concatenate([shingles(t) for t in b.column(1).to_pylist()]), return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], ["shingle", "n"])
 
@@ -90,7 +92,7 @@ def common(held: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def _prefixes(known) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, counts = known.value
-        for b in slices(batches, "text", 2 << 20):
+        for b in slices(batches, "text", TEXT_BYTES):
             hashes = [hashed(t, SHINGLE) for t in b.column(1).to_pylist()]
             sets, prints = [_distinct(x) for x in hashes], np.array([simhash(x) for x in hashes], np.uint64).view(np.int64)
             n = np.array([len(s) for s in sets], np.int64)
@@ -226,7 +228,7 @@ def _meet(every: bool) -> Callable:
 
 def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Parity sketch of WIDE bits."""
-    for b in slices(batches, "text"):
+    for b in slices(batches, "text", TEXT_BYTES):
         out = []
         for t in b.column(1).to_pylist():
             odd = np.bincount(shingles(t).view(np.uint64) >> np.uint64(6) & np.uint64(WIDE - 1), minlength=WIDE) & 1
@@ -235,7 +237,7 @@ def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches, "one"):
+    for b in slices(batches, "one", TEXT_BYTES):
         ok = [similar(shingles(x), shingles(y)) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
