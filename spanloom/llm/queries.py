@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, html, langid, mixing, packing, quality, sharding, simhash, topk
+from . import chat, exact_dedup, hardneg, html, langid, mixing, packing, quality, sharding, simhash, topk, whitening
 from .common import table
 
 
@@ -60,11 +60,30 @@ def op10_topk_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(rows.where(F.col("vec_id") % 50 == 0), rows)
 
 
+def op12_hard_negatives_bitslice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hardneg.labelled(table(spark, sf_dir, "embeddings"))
+    return hardneg.mine(rows.where(F.col("vec_id") % 100 == 0), rows)
+
+def op13_whiten_svd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whole(table(spark, sf_dir, "embeddings"))
+    model = whitening.fit(rows)
+    if model is None:
+        return spark.createDataFrame([], "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double")
+    error = whitening.identity_error(rows, model)
+    explained = F.array(*[F.lit(x) for x in model.explained[: whitening.COMPONENTS]])
+    out = whitening.whiten(rows, model).select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    return out.select(
+        "vec_id", (F.col("at") + 1).cast("int").alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened",
+        F.element_at(explained, F.col("at") + 1).alias("explained"), F.lit(error).alias("identity_error"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_pack_buckets, op2_mix_subset_sum, op3_extract_template, op4_language_crf, op5_quality_crf,
         op6_shard_kdtree, op7_simhash_bktree, op8_exact_quotient, op9_chat_events, op10_topk_threshold,
+        op12_hard_negatives_bitslice, op13_whiten_svd,
     )
 }
 
@@ -92,4 +111,17 @@ ORACLES = {
                    FROM v q, v r WHERE q.vec_id % 50 = 0 AND q.vec_id <> r.vec_id),
              k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM k WHERE rank <= 5""",
+    "op12_hard_negatives_bitslice": """
+        WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label,
+                          list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 256)) AS v FROM embeddings
+                   WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+                     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+             s AS (SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, CAST(list_dot_product(a.v, r.v) AS BIGINT) AS score
+                   FROM v a, v r WHERE a.vec_id % 100 = 0 AND a.vec_id <> r.vec_id),
+             p AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS place FROM s WHERE same),
+             n AS (SELECT s.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+                          row_number() OVER (PARTITION BY s.anchor_id, p.place ORDER BY s.score DESC, s.vec_id) AS rank
+                   FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+                   WHERE p.place <= 5)
+        SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10""",
 }
