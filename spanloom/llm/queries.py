@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, hardneg, html, langid, mixing, packing, quality, sharding, simhash, topk, whitening
+from . import chat, exact_dedup, hardneg, html, langid, mixing, packing, quality, secretscan, sharding, simhash, topk, whitening
 from .common import table
 
 
@@ -60,6 +60,17 @@ def op10_topk_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(rows.where(F.col("vec_id") % 50 == 0), rows)
 
 
+def op11_secrets_guess_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secretscan.scan(table(spark, sf_dir, "documents"))
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("spans", lambda s: s["kind"] != "guess")
+    return out.select(
+        "doc_id", of("assign").alias("n_assign"), of("access").alias("n_access"), of("hex").alias("n_hex"), F.sha2(joined(base), 256).alias("base_sha256"),
+        joined("spans").alias("spans"), of("guess").alias("n_guess"), F.array_max(F.transform("spans", lambda s: s["cost"])).alias("most_guesses"),
+    )
+
+
 def op12_hard_negatives_bitslice(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = hardneg.labelled(table(spark, sf_dir, "embeddings"))
     return hardneg.mine(rows.where(F.col("vec_id") % 100 == 0), rows)
@@ -83,7 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_pack_buckets, op2_mix_subset_sum, op3_extract_template, op4_language_crf, op5_quality_crf,
         op6_shard_kdtree, op7_simhash_bktree, op8_exact_quotient, op9_chat_events, op10_topk_threshold,
-        op12_hard_negatives_bitslice, op13_whiten_svd,
+        op11_secrets_guess_cost, op12_hard_negatives_bitslice, op13_whiten_svd,
     )
 }
 
