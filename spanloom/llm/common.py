@@ -7,8 +7,10 @@ can read them again and a lost executor costs only the tasks it was running.
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -42,14 +44,33 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and fixes its rows."""
+#: Folders staged inside this thread's open ``scratch`` blocks, the innermost last.
+_scratch = threading.local()
+
+
+def stage(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage and fixes its rows. ``lasting``: it outlives the ``scratch`` block."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if getattr(_scratch, "open", None) and not lasting:
+        _scratch.open[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside are deleted at the end; what is needed later must be staged as lasting."""
+    _scratch.open = [*getattr(_scratch, "open", ()), []]
+    try:
+        yield
+    finally:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for name in _scratch.open.pop():
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def own_name(name: str, *dfs: DataFrame) -> str:
     """``name`` with as many underscores before it as it takes to be no column of ``dfs``, whatever the case."""
     taken = {c.lower() for df in dfs for c in df.columns}

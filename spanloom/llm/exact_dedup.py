@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import own_name, slices, stage
+from .common import own_name, scratch, slices, stage
 
 #: Entries of a merged block of the filter, about; blocks are the unit of merging, and there are more of them for more texts.
 BLOCK_ENTRIES = 1 << 18
@@ -213,9 +213,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def drop_exact(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    row = own_name("_row", docs)
+def drop_exact(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: of equal texts the one with the largest id, then hash of the text as it is."""
+    row, place = own_name("_row", docs), own_name("_place", docs)
     held = stage(docs.withColumn(row, F.monotonically_increasing_id()), "dedup-docs")
-    kept = exact_groups(held, row).where("kept").select(F.col("doc_id").alias(row))
+    placed = held.withColumn(place, F.struct(F.col(id_col).alias("id"), F.xxhash64("text").alias("code"), F.col(row).alias("row")))
+    with scratch(docs.sparkSession):
+        kept = stage(exact_groups(placed, place).where("kept").select(F.col("doc_id.row").alias(row)), "dedup-kept", lasting=True)
     return held.join(kept, row, "left_semi").select(*docs.columns)

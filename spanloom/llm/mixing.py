@@ -132,8 +132,11 @@ def mix_plan(sized: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = MAX_
     return goal, plan
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = MAX_REPEATS, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns with size, source, source_size, target, copies (times taken) and taken (words)."""
+def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = MAX_REPEATS, keep: Sequence[str] = ("doc_id",), order: Sequence[str] | None = None) -> DataFrame:
+    """``keep`` columns with size, source, source_size, target, copies (times taken) and taken (words).
+
+    The seeded choice among documents of one size goes by the columns ``order`` of ``keep`` (all of them if not given).
+    """
     base = stage(docs.select(*keep, F.col("source").cast("string").alias("source"), words_in(F.col("text")).alias("size")), "mix-sizes")
     goal, plan = mix_plan(base, weights, cap)
     plan = stage(plan, "mix-plan")
@@ -141,7 +144,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = MAX_REPEAT
     rows = base.join(p, base["source"].eqNullSafe(F.col("_ps")) & (base["size"] == F.col("_z")), "left").drop("_ps", "_z")
     # only lengths of which a part is chosen need an order
     partial = (F.col("chosen") > 0) & (F.col("chosen") < F.col("n"))
-    some = ranked(stage(rows.where(partial), "mix-partial"), ["source", "size"], [*keep, "source", "size"], "_at")
+    some = ranked(stage(rows.where(partial), "mix-partial"), ["source", "size"], [*(order or keep), "source", "size"], "_at")
     none = rows.where(~F.coalesce(partial, F.lit(False))).withColumn("_at", F.lit(0).cast("long"))
     out = some.unionByName(none).join(g, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     copies = F.coalesce(F.col("whole") + (F.col("_at") < F.col("chosen")).cast("int"), F.lit(0))

@@ -4,11 +4,12 @@ Two texts are near-copies if their sets of distinct five-word shingles share fou
 the shingles of all texts in one order, such a pair shares one of the first n - ceil(0.8 n) + 1 shingles of either, so a shard
 is the texts under one of these shingles. The SimHash fingerprints of a shard stand in a BK-tree, which each of
 its texts walks within RADIUS bits; the texts of a pair so found, if its sizes allow the similarity, are compared as a whole.
-At a similarity of 0.8 a bit differs with a chance of 0.15 (0.19 for the shortest texts), so 24 of 64 bits are
-four to five standard deviations above the mean. The order puts shingles that are common in a sample last; it
+Fingerprints are of the distinct shingles, as the similarity is. At a similarity of 0.8 a bit differs with a chance
+of 0.15 (0.19 for the shortest texts), so more than 28 of 64 bits differ with a chance of 1 in 10**8 (1 in 10**6). The order puts shingles that are common in a sample last; it
 decides how many pairs meet and never which are linked. Shingles are 64-bit hashes.
 
-Under a shingle of more than RING texts, each text is first compared with two others only. What that links need not meet
+Texts under a shingle that the sample shows to be frequent are dealt to packs of about PACK, so no task holds such a
+group whole. Under a shingle of more than RING texts, each text is first compared with two others only. What that links need not meet
 again: of the pairs that the walks find between different components, a spanning forest is checked. Where pairs of it
 fail, the components at their ends are spanned again without the failed pairs, and after ROUNDS rounds all pairs that are left
 between such components are checked. So the pairs of a group of near-copies grow with its size as long as few of them fail.
@@ -34,13 +35,13 @@ from .graph import components, spanning
 
 SHINGLE = 5
 #: Bits by which the fingerprints of a pair may differ.
-RADIUS = 24
+RADIUS = 28
 #: Rows of the sample by which common shingles are known, about; its rows that make a shingle common; shingles so kept.
 SAMPLE, COMMON, MOST = 20_000, 4, 100_000
 #: Texts under one shingle that meet in all their pairs at once.
 RING = 16
-#: Texts of one shingle that meet in one task, at most.
-SHARD = 4096
+#: Texts of one shingle that meet in one task, at most; that are numbered in one, about.
+SHARD, PACK = 4096, 1 << 16
 #: Pairs that are held at once.
 MEET = 1 << 18
 #: Bytes of texts whose shingles are held at once, about.
@@ -79,22 +80,22 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], ["shingle", "n"])
 
 
-def common(held: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that are common in a sample, sorted, and how common each is."""
+def common(held: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """Shingles that are common in a sample, sorted, how common each is, and how many rows one of the sample stands for."""
     rate = max(1, held.count() // SAMPLE)
     counts = held.where(F.pmod(F.xxhash64("_row"), F.lit(rate)) == 0).select("_row", "text").mapInArrow(_sampled, "shingle long, n long")
     rows = counts.groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON).orderBy(F.desc("n"), "shingle").limit(MOST).toArrow()
     found, n = rows.column(0).to_numpy().astype(np.int64), rows.column(1).to_numpy().astype(np.int64)
     order = np.argsort(found)
-    return found[order], n[order]
+    return found[order], n[order], rate
 
 
 def _prefixes(known) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, counts = known.value
+        names, counts, rate = known.value
         for b in slices(batches, "text", TEXT_BYTES):
-            hashes = [hashed(t, SHINGLE) for t in b.column(1).to_pylist()]
-            sets, prints = [_distinct(x) for x in hashes], np.array([simhash(x) for x in hashes], np.uint64).view(np.int64)
+            sets = [shingles(t) for t in b.column(1).to_pylist()]
+            prints = np.array([simhash(x.view(np.uint64)) for x in sets], np.uint64).view(np.int64)
             n = np.array([len(s) for s in sets], np.int64)
             every, starts = np.concatenate(sets), np.cumsum(n) - n
             often = np.zeros(len(every), np.int64)
@@ -106,7 +107,8 @@ def _prefixes(known) -> Callable:
             first = np.arange(len(every)) - starts[owner] < (n - (4 * n + 4) // 5 + 1)[owner]
             at, who = order[first], owner[first]
             row = b.column(0).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (every[at], row[who], n[who].astype(np.int32), prints[who])], ["shingle", "row", "n", "fp"])
+            packs = (often[at] * rate // PACK + 1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (every[at], row[who], n[who].astype(np.int32), prints[who], packs)], ["shingle", "row", "n", "fp", "packs"])
 
     return run
 
@@ -139,9 +141,12 @@ def _grouped(emit: Callable, keys: int) -> Callable:
 
 
 def _shared(cols: list[np.ndarray], starts: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows of shingles that two texts or more have, with the group's size and, in large groups, one other text to compare first."""
-    shingle, row, n, fp = cols
-    size = np.repeat(ends - starts, ends - starts)
+    """Rows of shingles that two texts or more have, with the group's size and, in large groups, one other text to compare first.
+
+    Of a group in several packs this is the pack's size, or more than RING.
+    """
+    shingle, _, row, n, fp, packs = cols
+    size = np.maximum(np.repeat(ends - starts, ends - starts), np.where(packs > 1, RING + 1, 0))
     keep = size > 1
     other = np.full(len(row), -1, np.int64)
     for a, b in zip(starts, ends, strict=True):
@@ -280,9 +285,10 @@ def walked(shared: DataFrame, wide: DataFrame, roots: DataFrame, failed: DataFra
 def near_pairs(held: DataFrame) -> DataFrame:
     """Pairs (a, b) of similar texts of ``held`` (staged; columns _row, text), enough to span every group of linked texts."""
     known = held.sparkSession.sparkContext.broadcast(common(held))
-    rows = held.select("_row", "text").mapInArrow(_prefixes(known), "shingle long, row long, n int, fp long")
-    rows = rows.repartition("shingle").sortWithinPartitions("shingle")
-    shared = stage(rows.mapInArrow(_grouped(_shared, 1), "shingle long, row long, n int, fp long, size long, other long"), "near-shared")
+    rows = held.select("_row", "text").mapInArrow(_prefixes(known), "shingle long, row long, n int, fp long, packs int")
+    rows = rows.select("shingle", F.pmod(F.xxhash64("row"), F.col("packs")).cast("int").alias("pack"), "row", "n", "fp", "packs")
+    rows = rows.repartition("shingle", "pack").sortWithinPartitions("shingle", "pack")
+    shared = stage(rows.mapInArrow(_grouped(_shared, 2), "shingle long, row long, n int, fp long, size long, other long"), "near-shared")
     wide = stage(_texts_of(held, shared.select("row")).mapInArrow(_wide, "row long, wide binary"), "near-wide")
     members = wide.select("row")
 

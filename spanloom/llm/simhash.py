@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bktree import BKForest
-from .common import listed, own_name, slices, stage
+from .common import listed, own_name, scratch, slices, stage
 from .fingerprints import fingerprint
 from .graph import components, spanning
 from .shingles import near_pairs
@@ -162,10 +162,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return printed.join(stage(all_, "simhash-groups"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near(docs: DataFrame) -> DataFrame:
-    """One row of every group of texts linked at a similarity of 0.8 or more on five-word shingles, with all its columns."""
+def drop_near(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """One row of every group of texts linked at a similarity of 0.8 or more on five-word shingles, with all its columns: the one with the smallest id, then hash of the text."""
     row = own_name("_row", docs)
     held = stage(docs.withColumn(row, F.monotonically_increasing_id()), "near-docs")
-    found = components(near_pairs(held.select(F.col(row).alias("_row"), "text")).select(F.col("a").alias("u"), F.col("b").alias("v")))
-    gone = stage(found.where("node <> root").select(F.col("node").alias(row)), "near-dropped")
+    with scratch(docs.sparkSession):
+        found = components(near_pairs(held.select(F.col(row).alias("_row"), "text")).select(F.col("a").alias("u"), F.col("b").alias("v")))
+        found = found.where("node <> root").unionByName(found.select(F.col("root").alias("node"), "root").distinct())
+        place = held.select(F.col(row).alias("node"), F.struct(F.col(id_col).alias("id"), F.xxhash64("text").alias("code"), F.col(row).alias("row")).alias("place"))
+        # of every group, all rows but the first one
+        placed = found.join(place, "node")
+        first = placed.groupBy("root").agg(F.min("place").alias("first")).select(F.col("first.row").alias("stays"))
+        gone = found.join(first, F.col("node") == F.col("stays"), "left_anti").select(F.col("node").alias(row))
+        gone = stage(gone, "near-dropped", lasting=True)
     return held.join(listed(gone), row, "left_anti").select(*docs.columns)

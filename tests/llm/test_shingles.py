@@ -73,6 +73,45 @@ def test_every_pair_is_found(spark, monkeypatch, shard, ring, sample, common, ro
     assert len(kept) == len(want) and all(len(kept & g) == 1 for g in want)
 
 
+def test_texts_that_differ_in_repeats_are_linked(spark):
+    """Repeated words and lines weigh nothing in the similarity, so they must not keep fingerprints apart."""
+    rng, texts = random.Random(11), []
+    for k in range(20):
+        words = [f"v{rng.randrange(10**5)}" for _ in range(120)]
+        texts += [" ".join(words + ["again"] * 8), " ".join(words + ["again"] * (100 + 40 * k))]
+    line = "this line of eight words stands many times\n"
+    for k in range(20):
+        body = "\n".join(" ".join(f"u{rng.randrange(10**5)}" for _ in range(12)) for _ in range(15)) + "\n"
+        texts += [body + line * 2, body + line * (50 + 20 * k)]
+    want = groups(texts)
+    assert len(want) == 40
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], DOCS).repartition(3)
+    assert {r.doc_id for r in D.drop_near(docs).collect()} == {min(g) for g in want}
+
+
+def test_frequent_shingles_are_dealt_to_packs(spark, monkeypatch):
+    monkeypatch.setattr(S, "PACK", 16)
+    rng = random.Random(12)
+    texts = some_texts(rng, 200)
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], DOCS).repartition(3)
+    kept = {r.doc_id for r in D.drop_near(docs).collect()}
+    want = groups(texts)
+    assert len(kept) == len(want) and kept == {min(g) for g in want}
+
+
+def test_what_stays_does_not_depend_on_the_order_of_rows(spark):
+    rng = random.Random(13)
+    texts = some_texts(rng, 40)
+    rows = [(i, t, "en", "a", 1) for i, t in enumerate(texts)] + [(None, texts[0], "en", "a", 1), (3, texts[3], "en", "a", 1)]
+    kept = set()
+    for turn, parts in enumerate((1, 3, 7)):
+        random.Random(turn).shuffle(rows)
+        docs = spark.createDataFrame(rows, DOCS).repartition(parts)
+        once = P.exact(spark, docs, "")
+        kept.add((frozenset((r.doc_id, r.text) for r in once.collect()), frozenset((r.doc_id, r.text) for r in P.near(spark, once, "").collect()), frozenset(tuple(sorted((r.doc_id or -1, r.text) for r in P.mixed(spark, once, "").where("text is not null").collect())))))
+    assert len(kept) == 1
+
+
 def test_odd(odd_docs, no_docs):
     texts = [r.text for r in odd_docs.collect()]
     assert D.drop_near(odd_docs).count() == len(groups(texts)) and D.drop_near(odd_docs).columns == odd_docs.columns
