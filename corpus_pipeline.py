@@ -24,14 +24,14 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a similarity of 0.8 or more on five-word shingles."""
+    """One document of each group linked by a similarity of 0.8 or more on five-word shingles, the one with the smallest doc_id."""
     return simhash.drop_near(docs.select(*COLUMNS))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    held = stage(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "mix-docs")
-    taken = mixing.mix(held, keep=("_row",)).where("copies > 0").select("_row", "copies")
+    """Documents as often as the mix takes them; the choice among documents of one size goes by doc_id and text."""
+    held = stage(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()).withColumn("_code", F.xxhash64("text")), "mix-docs")
+    taken = mixing.mix(held, keep=("_row", "doc_id", "_code"), order=("doc_id", "_code")).where("copies > 0").select("_row", "copies")
     return held.join(taken, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
