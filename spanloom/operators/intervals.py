@@ -28,11 +28,18 @@ def overlap_join(left: DataFrame, right: DataFrame, by: Sequence[str], width: fl
     return joined.drop("_b", "_first", "r__first")
 
 
-def overlap_exists(left: DataFrame, right: DataFrame, by: Sequence[str], width: float, anti: bool = False, extra=None) -> DataFrame:
-    """Rows of ``left`` that overlap some row of ``right``, or none; repeated and null ids are rows of their own."""
-    keyed = left.withColumn("_key", F.monotonically_increasing_id())
-    hit = overlap_join(keyed, right, by, width, extra=extra).select("_key").distinct()
-    return keyed.join(hit, "_key", "left_anti" if anti else "left_semi").drop("_key")
+def overlap_exists(left: DataFrame, right: DataFrame, by: Sequence[str], width: float, anti: bool = False, extra: Column | None = None) -> DataFrame:
+    """Rows of ``left`` that overlap some row of ``right``, or none; repeated and null ids are rows of their own.
+
+    Rows are known by their values and counted, not numbered, so both uses of ``left`` agree whatever order its rows come in. Columns
+    must be comparable (no maps).
+    """
+    counted = left.groupBy(*left.columns).agg(F.count(F.lit(1)).alias("_n"))
+    hit = overlap_join(counted, right, by, width, extra=extra).select(*left.columns, "_n").distinct()
+    if anti:
+        theirs = hit.toDF(*[f"_h_{c}" for c in hit.columns])
+        hit = counted.join(theirs, [F.col(c).eqNullSafe(F.col(f"_h_{c}")) for c in left.columns], "left_anti")
+    return hit.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).drop("_n")
 
 
 def overlap_seconds() -> Column:

@@ -44,3 +44,14 @@ def test_semi_and_anti_with_repeated_and_null_ids(spark):
     right = spark.createDataFrame([(7, 1, 0.0, 2.0)], "id int, m int, t0 double, t1 double")
     assert sorted(r.t0 for r in iv.overlap_exists(left, right, ["m"], 1.0).collect()) == [0.0, 0.5]
     assert sorted(r.t0 for r in iv.overlap_exists(left, right, ["m"], 1.0, anti=True).collect()) == [5.0, 8.0]
+
+
+def test_semi_and_anti_on_shuffled_rows(spark):
+    """Rows behind a shuffle or an aggregate come in another order each time they are read."""
+    rows = spark.range(20_000).select(F.col("id"), (F.col("id") % 7).alias("m"), (F.col("id") * 10.0).alias("t0"), (F.col("id") * 10.0 + 1).alias("t1"))
+    right = spark.range(200).select(((F.col("id") * 97) % 7).alias("m"), (F.col("id") * 970.0).alias("t0"), (F.col("id") * 970.0 + 0.5).alias("t1"))
+    want = {97 * i for i in range(200)}
+    for left in (rows.repartition(16), rows.groupBy("id", "m", "t0").agg(F.max("t1").alias("t1")).repartition(5)):
+        assert {r.id for r in iv.overlap_exists(left, right, ["m"], 50.0).collect()} == want
+        got = [r.id for r in iv.overlap_exists(left, right, ["m"], 50.0, anti=True).collect()]
+        assert len(got) == 19_800 and not want & set(got)
