@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -105,78 +104,21 @@ def check_grouping(groups: DataFrame, members: DataFrame, by: Sequence[str]) ->
     return j.groupBy(*by, "grp").agg(F.count_if(F.col("pos").isNull()).alias("unknown"), F.count_if("_again").alias("repeated"), F.count_if("_cross").alias("crosses"))
 
 
-def assign_turns(question: np.ndarray, reply: np.ndarray, address: np.ndarray, ends: np.ndarray, gap: np.ndarray) -> np.ndarray:
-    """Speaker numbers of segments from what their texts look like and the pauses after them (nan: none known).
+def text_speakers(segments: DataFrame, by: Sequence[str], parties: int = 2, pause: float = 0.25) -> DataFrame:
+    """by, id, speaker_no of segments (id, t0, t1, text) by what the texts look like: the parties take turns.
 
-    Questions and the answers after them are set first, then addressed people, then both sides of pauses, then what
-    follows a sentence and a pause; the rest continues. Where that leaves one speaker for more than three segments, pauses alternate.
-    """
-    n = len(question)
-    who, spare = np.full(n, -1), 0
-    pause = np.where(np.isnan(gap) | (gap > 10), 999.0, gap)
-
-    def fresh(i: int) -> None:
-        if who[i] < 0:
-            who[i] = fresh.top + 1
-            fresh.top = max(fresh.top, who[i])
-
-    fresh.top = -1
-    for i in np.flatnonzero(question[:-1]):
-        fresh(i)
-        if who[i + 1] < 0:
-            who[i + 1] = who[i] + 1
-            fresh.top = max(fresh.top, who[i + 1])
-        stop = i + 2
-        while stop < n and reply[stop]:
-            stop += 1
-        tail = who[i + 2 : stop]
-        tail[tail < 0] = who[i + 1]
-    for i in np.flatnonzero(address):
-        fresh(i)
-    for i in np.flatnonzero(pause[:-1] >= 0.25):
-        if who[i] >= 0 or who[i + 1] >= 0:
-            fresh(i)
-            fresh(i + 1)
-        elif reply[i] != reply[i + 1]:
-            # these numbers are counted on their own and may meet numbers given before
-            who[i], who[i + 1] = spare, spare + 1
-            spare += 2
-            fresh.top = max(fresh.top, who[i + 1])
-    for i in np.flatnonzero(ends[:-1] & (pause[:-1] > 0.25)):
-        fresh(i)
-        fresh(i + 1)
-    if n and who[0] < 0:
-        who[0] = 0
-    known = np.maximum.accumulate(np.where(who >= 0, np.arange(n), 0))
-    who = who[known]
-    if n > 3 and len(np.unique(who)) < 2:
-        clean = np.sort(gap[(gap > 0) & (gap < 10)])
-        long = max(0.15, 1.5 * (clean[len(clean) // 2] if len(clean) else 0.5))
-        turn = (pause >= 0.25) & ends if ends.any() else pause >= long
-        k = np.concatenate([[0], np.cumsum(turn[:-1])])
-        # the first speaker is 0, and the ones after it go round 1, 2, 0
-        who = k % 3
-    return np.unique(who, return_inverse=True)[1]
-
-
-def text_speakers(segments: DataFrame, by: Sequence[str]) -> DataFrame:
-    """by, id, speaker_no of segments (id, t0, t1, text) by what the texts look like.
-
-    The texts are judged in the JVM; the kernel of a key sees five narrow columns. A null text shows nothing.
+    A turn begins after a question or an address, and after a pause where the text before it ends a sentence or only one of the two
+    is a short reply. A pause beyond ten seconds parts all. A null text shows nothing.
     """
     w = W.partitionBy(*by).orderBy(*ORDER)
     text = F.coalesce("text", F.lit(""))
-    head = F.regexp_replace(text, r"^\s+", "")
-    flags = [text.rlike(QUESTION).alias("question"), head.rlike(REPLY).alias("reply"), text.rlike(ADDRESS).alias("address"), text.rlike(SENTENCE_END).alias("ends")]
-    narrow = segments.select(*by, *ORDER, *flags, (F.lead("t0").over(w) - F.col("t1")).alias("gap"))
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(ORDER))
-        marks = [pdf[c].to_numpy(bool) for c in ("question", "reply", "address", "ends")]
-        return pdf[[*by, "id"]].assign(speaker_no=assign_turns(*marks, pdf["gap"].to_numpy(float)))
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in segments.select(*by, "id").schema)
-    return narrow.groupBy(*by).applyInPandas(one, f"{schema}, speaker_no long")
+    shown = {"asks": text.rlike(QUESTION) | text.rlike(ADDRESS), "reply": F.regexp_replace(text, r"^\s+", "").rlike(REPLY), "ends": text.rlike(SENTENCE_END)}
+    seen = segments.select(*by, *ORDER, *[c.alias(n) for n, c in shown.items()])
+    before = {n: F.lag(n).over(w) for n in ("t1", *shown)}
+    gap = F.col("t0") - before["t1"]
+    begins = before["asks"] | (gap > 10) | ((gap >= pause) & (before["ends"] | (F.col("reply") != before["reply"])))
+    turn = F.sum("_begins").over(w)
+    return seen.withColumn("_begins", F.coalesce(begins, F.lit(False)).cast("int")).select(*by, "id", (turn % parties).alias("speaker_no"))
 
 
 def paragraphs(cues: DataFrame, by: Sequence[str], gap: float = 2.0) -> DataFrame:

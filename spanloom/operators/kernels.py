@@ -56,13 +56,14 @@ def _hull_iou(a0, a1, b0, b1) -> np.ndarray:
 
 
 def warp_path(cost: np.ndarray) -> list[tuple[int, int]]:
-    """Cheapest monotone path through ``cost``; among equal steps back: up, then left, then diagonal."""
+    """Cheapest monotone path through a cost matrix, by anti-diagonals; of equal steps back the one up goes first, then the one to the left."""
     m, n = cost.shape
     total = np.full((m + 1, n + 1), np.inf)
     total[0, 0] = 0.0
-    for i in range(m):
-        for j in range(n):
-            total[i + 1, j + 1] = cost[i, j] + min(total[i, j + 1], total[i + 1, j], total[i, j])
+    for d in range(m + n - 1):
+        i = np.arange(max(0, d - n + 1), min(m, d + 1))
+        j = d - i
+        total[i + 1, j + 1] = cost[i, j] + np.minimum(np.minimum(total[i, j + 1], total[i + 1, j]), total[i, j])
     path, at = [], (m, n)
     while at[0] and at[1]:
         i, j = at
@@ -72,19 +73,13 @@ def warp_path(cost: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _groups(path: list[tuple[int, int]]) -> list[tuple[list[int], list[int]]]:
-    """Path steps as groups: a step that keeps the left row extends the right side, then one that keeps the right row the left side."""
-    out, k = [], 0
-    while k < len(path):
-        left, right = [path[k][0]], [path[k][1]]
-        while k + 1 < len(path) and path[k + 1] == (left[-1], right[-1] + 1):
-            k += 1
-            right.append(path[k][1])
-        while k + 1 < len(path) and path[k + 1] == (left[-1] + 1, right[-1]):
-            k += 1
-            left.append(path[k][0])
-        out.append((left, right))
-        k += 1
-    return out
+    """Left and right rows of each group of a path: a group grows to the right, then to the left, and a diagonal step or a turn back ends it."""
+    at = np.array(path)
+    step = np.diff(at, axis=0)
+    stays = step == 0  # by column: the step keeps the left row, the right row
+    turns_back = stays[:, 0] & np.concatenate([[False], stays[:-1, 1]])[: len(step)]
+    pieces = np.split(at, 1 + np.flatnonzero(~stays.any(axis=1) | turns_back))
+    return [(np.unique(p[:, 0]).tolist(), np.unique(p[:, 1]).tolist()) for p in pieces]
 
 
 def _both(left: DataFrame, right: DataFrame, by: Sequence[str], gap: float) -> DataFrame:

@@ -138,9 +138,11 @@ def _turns(spark, d):
     return table(spark, d, "conversations").select(F.col("conv_id").alias("media_id"), t.alias("id"), "role", "text", (ms / 1000.0).alias("t0"), ((ms + 2900 - t % 4 * 150) / 1000.0).alias("t1"))
 
 
-@query()
+@query(rf"""WITH c AS (SELECT conv_id AS media_id, turn AS id, text, turn * 3000 + turn // 3 * 2500 AS a, turn * 3000 + turn // 3 * 2500 + 2900 - turn % 4 * 150 AS z FROM conversations),
+f AS (SELECT *, regexp_matches(coalesce(text, ''), '{di.QUESTION}') OR regexp_matches(coalesce(text, ''), '{di.ADDRESS.removeprefix("(?U)")}') AS asks, regexp_matches(ltrim(coalesce(text, '')), '{di.REPLY}') AS reply, regexp_matches(coalesce(text, ''), '{di.SENTENCE_END}') AS ends FROM c),
+l AS (SELECT *, a / 1000 - lag(z / 1000) OVER w AS gap, lag(asks) OVER w AS pa, lag(reply) OVER w AS pr, lag(ends) OVER w AS pe FROM f WINDOW w AS (PARTITION BY media_id ORDER BY a, z, id))
+SELECT media_id, id, CAST(sum(CASE WHEN pa OR gap > 10 OR (gap >= 0.25 AND (pe OR reply <> pr)) THEN 1 ELSE 0 END) OVER (PARTITION BY media_id ORDER BY a, z, id) % 2 AS BIGINT) AS speaker_no FROM l""")
 def text_speakers(spark, d):
-    """Speakers by the look of the texts, in five passes that depend on one another (tests hold it against a loop)."""
     return di.text_speakers(_turns(spark, d), M)
 
 

@@ -1,9 +1,7 @@
-import math
 import random
 import re
 from collections import Counter
 
-import numpy as np
 import pytest
 
 from spanloom.config import Settings, overlay
@@ -11,63 +9,13 @@ from spanloom.operators import dialogue as D
 from spanloom.operators import words as O
 
 
-def by_loop(question, reply, address, ends, gap):
-    n, who, spare = len(question), [-1] * len(question), 0
-    if n <= 1:
-        return [0] * n
-    fresh = lambda: max([w for w in who if w >= 0], default=-1) + 1
-    wait = [999 if math.isnan(g) or g > 10 else g for g in gap]
-    for i in range(n - 1):
-        if question[i]:
-            who[i] = fresh() if who[i] < 0 else who[i]
-            who[i + 1] = who[i] + 1 if who[i + 1] < 0 else who[i + 1]
-            for j in range(i + 2, n):
-                if not reply[j]:
-                    break
-                who[j] = who[i + 1] if who[j] < 0 else who[j]
-    for i in range(n):
-        who[i] = fresh() if address[i] and who[i] < 0 else who[i]
-    for i in range(n - 1):
-        if wait[i] >= 0.25:
-            if who[i] >= 0 and who[i + 1] < 0:
-                who[i + 1] = fresh()
-            elif who[i] < 0 and who[i + 1] >= 0:
-                who[i] = fresh()
-            elif who[i] < 0 and reply[i] != reply[i + 1]:
-                who[i], who[i + 1], spare = spare, spare + 1, spare + 2
-    for i in range(n - 1):
-        if ends[i] and wait[i] > 0.25:
-            who[i] = fresh() if who[i] < 0 else who[i]
-            who[i + 1] = fresh() if who[i + 1] < 0 else who[i + 1]
-    for i in range(n):
-        if who[i] < 0:
-            who[i] = who[i - 1] if i else 0
-    if len(set(who)) < 2 and n > 3:
-        clean = sorted(g for g in gap if 0 < g < 10)
-        long = max(0.15, (clean[len(clean) // 2] if clean else 0.5) * 1.5)
-        now, then = 0, 1
-        for i in range(n):
-            who[i] = now
-            if i < n - 1 and ((wait[i] >= 0.25 and ends[i]) or (not any(ends) and wait[i] >= long)):
-                now, then = then, (then + 1) % 3
-    order = sorted(set(who))
-    return [order.index(w) for w in who]
-
-
-def test_turns_match_a_loop():
-    rng = random.Random(3)
-    for case in range(2000):
-        n, rate = rng.randrange(1, 14), rng.choice([0.0, 0.1, 0.4])
-        marks = [np.array([rng.random() < rate for _ in range(n)]) for _ in range(4)]
-        gap = np.array([rng.choice([0.0, 0.1, 0.25, 0.3, 0.6, 20.0, -1.0]) for _ in range(n - 1)] + [math.nan])
-        assert list(D.assign_turns(*marks, gap)) == by_loop(*[m.tolist() for m in marks], gap.tolist()), case
-
-
 def test_text_speakers(spark):
     rows = [("m", 1, 0.0, 1.0, "Could you help?"), ("m", 2, 1.1, 2.0, "With what"), ("m", 3, 2.1, 3.0, "Yes"), ("m", 4, 3.1, 4.0, None), ("n", 1, 0.0, 1.0, "alone")]
     got = D.text_speakers(spark.createDataFrame(rows, "media_id string, id long, t0 double, t1 double, text string"), ["media_id"])
     assert sorted(map(tuple, got.collect())) == [("m", 1, 0), ("m", 2, 1), ("m", 3, 1), ("m", 4, 1), ("n", 1, 0)]
-    assert got.where("false").count() == 0
+    rows = [("m", 1, 0.0, 1.0, "One."), ("m", 2, 1.3, 2.0, "Two"), ("m", 3, 2.3, 3.0, "Yes"), ("m", 4, 3.05, 4.0, "Dr. Who"), ("m", 5, 4.0, 5.0, "well"), ("m", 6, 16.0, 17.0, "late")]
+    got = D.text_speakers(spark.createDataFrame(rows, "media_id string, id long, t0 double, t1 double, text string"), ["media_id"], parties=9)
+    assert [r.speaker_no for r in got.orderBy("id").collect()] == [0, 1, 2, 2, 3, 4]
 
 
 def anchors_by_loop(left, right):
