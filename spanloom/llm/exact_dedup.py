@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import own_name, scratch, slices, stage
+from .common import listed, own_name, scratch, slices, stage
 
 #: Entries of a merged block of the filter, about; blocks are the unit of merging, and there are more of them for more texts.
 BLOCK_ENTRIES = 1 << 18
@@ -192,14 +192,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keys = stage(with_id.mapInArrow(_keys, f"doc_id {id_type}, row_id long, fp long, sha binary"), "dedup-keys")
     repeats = stage(repeated_fingerprints(keys), "dedup-repeats")
     # byte verification: rows of repeated fingerprints are grouped by their very bytes
-    texts = source.select("text").mapInArrow(_texts, "fp long, bytes binary").join(repeats.select("fp"), "fp", "left_semi")
+    few = listed(repeats.select("fp"))  # broadcast where it is short, or all texts would be shuffled
+    texts = source.select("text").mapInArrow(_texts, "fp long, bytes binary").join(few, "fp", "left_semi")
     proved = texts.groupBy("fp", "bytes").agg(F.count(F.lit(1)).alias("size")).select("fp", F.unhex(F.sha2("bytes", 256)).alias("sha"), "size")
     # rows of one fingerprint and digest must be one run of equal bytes
     proved = proved.groupBy("fp", "sha").agg(F.sum("size").alias("group_size"), F.count(F.lit(1)).alias("runs")).where(
         F.when(F.col("runs") == 1, True).otherwise(F.raise_error(F.lit("two texts share a SHA-256 digest")).cast("boolean"))
     )
     best = F.max(F.struct("doc_id", "row_id")).alias("best")
-    shared = keys.join(repeats.select("fp"), "fp", "left_semi").groupBy("fp", "sha").agg(best).join(proved, ["fp", "sha"])
+    shared = keys.join(few, "fp", "left_semi").groupBy("fp", "sha").agg(best).join(proved, ["fp", "sha"])
     shared = shared.select("fp", "sha", F.col("best.doc_id").alias("keep_id"), F.col("best.row_id").alias("keep_row"), "group_size")
     # written first: Spark can then split a hot fingerprint's rows in the join, or broadcast a small table
     out = keys.join(stage(shared, "dedup-groups"), ["fp", "sha"], "left")
@@ -220,4 +221,4 @@ def drop_exact(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     placed = held.withColumn(place, F.struct(F.col(id_col).alias("id"), F.xxhash64("text").alias("code"), F.col(row).alias("row")))
     with scratch(docs.sparkSession):
         kept = stage(exact_groups(placed, place).where("kept").select(F.col("doc_id.row").alias(row)), "dedup-kept", lasting=True)
-    return held.join(kept, row, "left_semi").select(*docs.columns)
+    return held.join(listed(kept), row, "left_semi").select(*docs.columns)

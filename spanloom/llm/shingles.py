@@ -41,7 +41,7 @@ SAMPLE, COMMON, MOST = 20_000, 4, 100_000
 #: Texts under one shingle that meet in all their pairs at once.
 RING = 16
 #: Texts of one shingle that meet in one task, at most; that are numbered in one, about.
-SHARD, PACK = 4096, 1 << 16
+SHARD, PACK = 1 << 14, 1 << 16
 #: Pairs that are held at once.
 MEET = 1 << 18
 #: Bytes of texts whose shingles are held at once, about.
