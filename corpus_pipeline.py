@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm import exact_dedup, mixing, packing, quality, simhash
-from spanloom.llm.common import shared_dir, stage, table
+from spanloom.llm.common import listed, shared_dir, stage, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -32,6 +32,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; the choice among documents of one size goes by doc_id and text."""
     held = stage(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()).withColumn("_code", F.xxhash64("text")), "mix-docs")
     taken = mixing.mix(held, keep=("_row", "doc_id", "_code"), order=("doc_id", "_code")).where("copies > 0").select("_row", "copies")
+    taken = listed(stage(taken, "mix-taken"))
     return held.join(taken, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
