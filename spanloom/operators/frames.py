@@ -66,3 +66,58 @@ def bursts(frames: DataFrame, by: Sequence[str], around: int, times: float, most
     w = W.partitionBy(*by).orderBy("k").rowsBetween(-around, around)
     marked = frames.withColumn("_m", F.percentile("rms", F.lit(0.5)).over(w))
     return runs_where(marked, by, F.col("rms") > times * F.col("_m"), 1).where(F.col("frames") <= most)
+
+
+def _quantile(ordered: Column, share: float) -> Column:
+    """Of a sorted array, between its neighbours where it falls between two."""
+    at = (F.size(ordered) - 1) * F.lit(share)
+    low = F.floor(at).cast("int")
+    a, b = F.get(ordered, low), F.get(ordered, F.least(low + 1, F.size(ordered) - 1))
+    return a + (b - a) * (at - low)
+
+
+def noise_profile(
+    frames: DataFrame, by: Sequence[str], hop: float, window: int = 4, least: int = 4, close_db: float = 3.0, shortest: float = 2.0, fallback_db: float = -35.0, floor: float = 1e-6, ceiling: float = 0.5, most: int | None = None,
+) -> DataFrame:
+    """Noise of recordings as intervals (t0, t1, rms, mad, db, stable, frames) from frames (k from 0, rms) every ``hop`` seconds.
+
+    Windows of ``window`` frames start every half window. A window's noise is the lower quartile of its decibels (``fallback_db`` under ``least``
+    frames, then not stable); rms is the median and mad 1.4826 times the median deviation. A window within ``close_db`` of the interval so far joins
+    it, means being weighted by frames; another one begins an interval if it ends ``shortest`` after it or is the last, else it is passed over. A
+    recording shorter than ``shortest`` is one fallback interval. ``most``: windows of a recording that are looked at (all, if not given).
+    """
+    step = max(1, window // 2)
+    x = frames.select(*by, "k", F.greatest(F.lit(floor), F.least(F.lit(ceiling), F.col("rms"))).alias("rms"))
+    last = F.floor(F.col("k") / step).cast("long")
+    starts = F.filter(F.sequence(F.greatest(F.lit(0).cast("long"), last - -(-window // step)), last), lambda s: s * step + window > F.col("k"))
+    placed = x.withColumn("n", F.explode(starts))
+    placed = placed if most is None else placed.where(F.col("n") < most)
+    g = placed.groupBy(*by, "n").agg(F.array_sort(F.collect_list("rms")).alias("r"), F.max("k").alias("top"))
+    median = _quantile(F.col("r"), 0.5)
+    g = g.withColumn("_m", median).withColumn("_d", F.array_sort(F.transform("r", lambda v: F.abs(v - F.col("_m")))))
+    size = F.size("r")
+    db = _quantile(F.transform("r", lambda v: 20.0 * F.log10(v)), 0.25)
+    rows = g.select(
+        *by, "n", (F.col("n") * step * F.lit(hop)).alias("t0"), ((F.col("n") * step + size) * F.lit(hop)).alias("t1"), F.col("_m").alias("rms"), F.when(size > 1, _quantile(F.col("_d"), 0.5) * 1.4826).otherwise(0.0).alias("mad"),
+        F.when(size >= least, db).otherwise(F.lit(fallback_db)).alias("db"), (size >= least).alias("stable"), size.cast("long").alias("frames"), F.col("top"),
+    )
+    fields = ("t0", "t1", "rms", "mad", "db", "stable", "frames")
+    lists = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("n", *fields))).alias("w"), ((F.max("top") + 1) * F.lit(hop)).alias("long"))
+    lists = lists.withColumn("w", F.transform("w", lambda i: F.struct(*[i[f] for f in fields], (i["n"] == F.element_at("w", -1)["n"]).alias("final"))))
+    shape = F.slice("w", F.lit(1), F.lit(1))
+
+    def join(a: Column, b: Column) -> Column:
+        n = a["frames"] + b["frames"]
+        mean = lambda c: ((a[c] * a["frames"] + b[c] * b["frames"]) / n).alias(c)
+        return F.struct(a["t0"].alias("t0"), b["t1"].alias("t1"), mean("rms"), F.greatest(a["mad"], b["mad"]).alias("mad"), mean("db"), (a["stable"] & b["stable"]).alias("stable"), n.alias("frames"), b["final"].alias("final"))
+
+    def fold(out: Column, i: Column) -> Column:
+        prev = F.element_at(out, -1)
+        near, far = F.abs(i["db"] - prev["db"]) < close_db, (i["t1"] - prev["t1"] >= shortest) | i["final"]
+        return F.when(near, F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(join(prev, i)))).when(far, F.concat(out, F.array(i))).otherwise(out)
+
+    folded = F.aggregate(F.slice("w", F.lit(2), F.size("w")), shape, fold)
+    brief = F.array(F.struct(
+        F.lit(0.0).alias("t0"), F.col("long").alias("t1"), F.lit(floor).alias("rms"), F.lit(0.0).alias("mad"), F.lit(fallback_db).alias("db"), F.lit(False).alias("stable"), F.lit(0).cast("long").alias("frames"), F.lit(True).alias("final"),
+    ))
+    return lists.select(*by, F.inline(F.when(F.col("long") < shortest, brief).otherwise(folded))).drop("final")
