@@ -140,24 +140,34 @@ def _grouped(emit: Callable, keys: int) -> Callable:
     return run
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A hash of each number."""
+    y = x.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    y = (y ^ (y >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return y ^ (y >> np.uint64(32))
+
+
 def _shared(cols: list[np.ndarray], starts: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Rows of shingles that two texts or more have, with the group's size and, in large groups, one other text to compare first.
 
-    Of a group in several packs this is the pack's size, or more than RING.
+    Of a group in several packs this is the pack's size, or more than RING. ``sig`` is one hash of the group's rows: near-copies share many
+    shingles, whose groups have the same rows and need to meet once.
     """
     shingle, _, row, n, fp, packs = cols
     size = np.maximum(np.repeat(ends - starts, ends - starts), np.where(packs > 1, RING + 1, 0))
     keep = size > 1
+    mixed = _mixed(row)
+    sig = np.add.reduceat(mixed, starts) ^ _mixed(np.bitwise_xor.reduceat(mixed, starts).view(np.int64)) ^ np.where(packs[starts] > 1, _mixed(shingle[starts]), np.uint64(0))
+    sig = np.repeat(sig, ends - starts).view(np.int64)
     other = np.full(len(row), -1, np.int64)
     for a, b in zip(starts, ends, strict=True):
         if b - a > RING:
             # another order under each shingle, so that a text meets others
-            mixed = (row[a:b] ^ shingle[a]).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            order = a + np.argsort(mixed ^ (mixed >> np.uint64(29)), kind="stable")
+            order = a + np.argsort(_mixed(row[a:b] ^ shingle[a]), kind="stable")
             i, j = order[:-1], order[1:]
             ok = _may(n[i].astype(np.int64), n[j].astype(np.int64)) & (distance(fp[i].view(np.uint64), fp[j].view(np.uint64)) <= RADIUS)
             other[i[ok]] = row[j[ok]]
-    yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (shingle, row, n, fp, size.astype(np.int64), other)], ["shingle", "row", "n", "fp", "size", "other"])
+    yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (shingle, row, n, fp, size.astype(np.int64), other, sig)], ["shingle", "row", "n", "fp", "size", "other", "sig"])
 
 
 def _meet(every: bool) -> Callable:
@@ -265,7 +275,7 @@ def walked(shared: DataFrame, wide: DataFrame, roots: DataFrame, failed: DataFra
     Of a small group all rows walk its tree. Of a large one, the rows outside the component that most of its rows belong to walk its
     trees: every pair of two components has such a row. Trees have SHARD rows at most and walkers come in packs of SHARD.
     """
-    placed = shared.select("shingle", "row", "n", "fp", "size").join(roots, "row")
+    placed = shared.select("shingle", "row", "n", "fp", "size").join(listed(roots), "row")
     small = placed.where(F.col("size") <= RING).withColumn("shard", F.lit(0).cast("long")).withColumn("pack", F.lit(0).cast("long")).withColumn("role", F.lit(TREE | WALK))
     large = stage(placed.where(F.col("size") > RING), "near-large")
     counts = large.groupBy("shingle", "linked").agg(F.count(F.lit(1)).alias("k")).groupBy("shingle").agg(F.max(F.struct("k", "linked")).alias("most"), F.sum("k").alias("all"))
@@ -288,7 +298,11 @@ def near_pairs(held: DataFrame) -> DataFrame:
     rows = held.select("_row", "text").mapInArrow(_prefixes(known), "shingle long, row long, n int, fp long, packs int")
     rows = rows.select("shingle", F.pmod(F.xxhash64("row"), F.col("packs")).cast("int").alias("pack"), "row", "n", "fp", "packs")
     rows = rows.repartition("shingle", "pack").sortWithinPartitions("shingle", "pack")
-    shared = stage(rows.mapInArrow(_grouped(_shared, 2), "shingle long, row long, n int, fp long, size long, other long"), "near-shared")
+    shared = stage(rows.mapInArrow(_grouped(_shared, 2), "shingle long, row long, n int, fp long, size long, other long, sig long"), "near-shared")
+    # groups of the same rows have the same shingles, so each of their rows takes the same one of them
+    partner = F.when(F.col("other") >= 0, F.col("other"))
+    once = [F.min(c).alias(c) for c in ("shingle", "n", "fp", "size")] + [F.min(partner).alias("low"), F.max(partner).alias("high")]
+    shared = stage(shared.groupBy("row", "sig").agg(*once), "near-groups")
     wide = stage(_texts_of(held, shared.select("row")).mapInArrow(_wide, "row long, wide binary"), "near-wide")
     members = wide.select("row")
 
@@ -298,7 +312,7 @@ def near_pairs(held: DataFrame) -> DataFrame:
         return stage(members.join(found.toDF("row", "root"), "row", "left").select("row", F.coalesce("root", "row").alias("linked")), "near-linked")
 
     # in large groups, a text meets two others first
-    ring = shared.where("other >= 0").groupBy("row").agg(F.array(F.min("other"), F.max("other")).alias("others")).select("row", F.explode("others").alias("other"))
+    ring = shared.where("low is not null").groupBy("row").agg(F.array(F.min("low"), F.max("high")).alias("others")).select("row", F.explode("others").alias("other"))
     tried = verify(held, ring.select(F.least("row", "other").alias("a"), F.greatest("row", "other").alias("b")))
     failures = lambda: tried.where("not ok").select("a", "b")
     new = verify(held, walked(shared, wide, joined(tried), failures()))
