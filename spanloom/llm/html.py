@@ -12,7 +12,8 @@ inside that, to the gap after the template tag that came last. Each slot is meas
 host (plain text, link text, distinct texts) and judged once for the host. Where slots stand in article or main
 elements (which always cut), these slots are the content. Elsewhere the body is the deepest template element with more
 than half of the host's plain text, and all slots are content but those of a branch beside the body that holds mostly links
-(a menu) or texts that recur from page to page (notices, adverts). Text that is itself part of the template is not content. Elements that say they are menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or
+(a menu) or texts that recur from page to page (notices, adverts). Text that is itself part of the template is not content outside article and main; inside them a
+heading that every page repeats belongs to the article. Elements that say they are menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or
 comments are left out of any slot, whether they stand on every page or on one.
 
 A host with fewer than PAGES pages shows no classes; each of its pages is cut by its own elements, by the same rules.
@@ -316,7 +317,7 @@ def content(page: Page, tags: frozenset[int] | set[int], texts: frozenset[int] |
         shown: set[int] = set()
         for at, slot, _ in page.slots(tags):
             element, text = page.nodes[at]
-            if slot not in dropped and not (skip and text_number(page.path[element], text) in skip):
+            if slot not in dropped and not (skip and not page.main[element] and text_number(page.path[element], text) in skip):
                 shown.add(at)
         out: dict[int, list[str]] = {}
         for at, (element, text) in enumerate(page.nodes):

@@ -115,3 +115,12 @@ def test_empty_and_odd(spark):
 def test_template_text_of_small_hosts(spark, pages):
     rows = [(i, "http://h/", f"<body><div class='top'>Welcome</div><div><div class='par'>text {i} alone</div></div><div>All rights reserved</div></body>") for i in range(pages)]
     assert extract(spark, rows) == {i: f"text {i} alone" for i in range(pages)}
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 12])
+def test_headings_that_every_article_repeats_stay(spark, n):
+    """What stands in an article is kept on hosts of any size; what every page repeats outside of it is not."""
+    page = "<html><body><div>All our papers</div><article><h1>Title {0}</h1><h2>Introduction</h2><p>Text {0} of it.</p><h2>Method</h2><p>How {0} was done.</p></article><div>Imprint</div></body></html>"
+    rows = spark.createDataFrame([(i, "http://h.example/%d" % i, page.format(i)) for i in range(n)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in H.extract(rows).collect()}
+    assert got == {i: f"Title {i}\n\nIntroduction\n\nText {i} of it.\n\nMethod\n\nHow {i} was done." for i in range(n)}
