@@ -22,16 +22,16 @@ def map_speakers(turns: DataFrame, events: DataFrame, by: Sequence[str], width:
     """
     met = iv.overlap_join(events.where("label is not null").select(*by, "label", "t0", "t1"), turns.select(*by, "speaker", "t0", "t1"), by, width)
     shared = met.groupBy(*by, F.col("r_speaker").alias("speaker"), "label").agg(F.sum(iv.overlap_seconds()).alias("s")).where("s > 0")
-    pairs = shared.groupBy(*by).agg(F.reverse(F.array_sort(F.collect_list(F.struct("s", "speaker", "label")))).alias("pairs"))
-    known = turns.groupBy(*by).agg(F.count_distinct("speaker").alias("n"))
-    none = F.slice("pairs", F.lit(1), F.lit(0))
+    pairs = shared.groupBy(*by).agg(F.reverse(F.array_sort(F.collect_list(F.struct("s", "speaker", "label")))).alias("_pairs"))
+    known = turns.groupBy(*by).agg(F.count_distinct("speaker").alias("_n"))
+    none = F.slice("_pairs", F.lit(1), F.lit(0))
 
     def take(out: Column, p: Column) -> Column:
         taken = F.exists(out, lambda o: (o["speaker"] == p["speaker"]) | (o["label"] == p["label"]))
         return F.when(taken, out).otherwise(F.concat(out, F.array(p)))
 
-    held = pairs.withColumn("m", F.aggregate("pairs", none, take)).join(known, list(by)).where(F.size("m") == F.col("n"))
-    return held.select(*by, F.inline(F.transform("m", lambda p: F.struct(p["speaker"], p["label"]))))
+    held = pairs.withColumn("_taken", F.aggregate("_pairs", none, take)).join(known, list(by)).where(F.size("_taken") == F.col("_n"))
+    return held.select(*by, F.inline(F.transform("_taken", lambda p: F.struct(p["speaker"], p["label"]))))
 
 
 def fuse_speakers(events: DataFrame, turns: DataFrame, by: Sequence[str], width: float) -> DataFrame:
