@@ -132,14 +132,14 @@ class CovarianceDistance:
             for b in batches:
                 x = np.array([v for v in b.column(0).to_pylist() if v is not None and len(v) == dims and all(e is not None for e in v)], float).reshape(-1, dims)
                 n, total, products = n + len(x), total + x.sum(axis=0), products + x.T @ x
-            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.tolist()]), pa.array([products.ravel().tolist()])], ["n", "total", "products"])
+            yield pa.RecordBatch.from_arrays([pa.array([[float(n), *total, *products.ravel()]])], ["sums"])
 
-        parts = vectors.select(F.col(column).cast("array<double>")).mapInArrow(sums, "n long, total array<double>, products array<double>")
-        added = lambda c, k: F.array(*[F.sum(F.get(c, F.lit(i))) for i in range(k)])
-        r = parts.agg(F.sum("n").alias("n"), added("total", dims).alias("t"), added("products", dims * dims).alias("p")).first()
-        if not r.n or r.n < 2:
+        parts = vectors.select(F.col(column).cast("array<double>")).mapInArrow(sums, "sums array<double>")
+        added = parts.select(F.posexplode("sums").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x")).orderBy("at").collect()  # 1 + dims + dims * dims numbers
+        if not added or added[0].x < 2:
             return None
-        return cls(r.n, np.array(r.t), np.array(r.p).reshape(dims, dims), ridge)
+        r = np.array([a.x for a in added])
+        return cls(int(r[0]), r[1 : dims + 1], r[dims + 1 :].reshape(dims, dims), ridge)
 
     def add_distance(self, pairs: DataFrame, a: str, b: str | None = None, name: str = "distance") -> DataFrame:
         """``pairs`` with the distance of two vector columns, or of one from the mean."""

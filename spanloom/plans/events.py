@@ -123,7 +123,7 @@ def section_breaks(spark, d):
 
 @query(r"""WITH c AS (SELECT conv_id, turn, rtrim(CASE turn % 3 WHEN 0 THEN text ELSE regexp_replace(text, '[.!?]*$', '') || ' because.' END) AS t FROM conversations)
 SELECT conv_id, turn, coalesce(length(t) >= 2 AND regexp_matches(t, '[.!?。！？]$') AND len(regexp_split_to_array(trim(t), '\s+')) >= 5 AND regexp_replace(lower(regexp_extract(t, '(\S+)$', 1)), '[.!?。！？,，;；:：]+$', '') IN
- ('because', 'and', 'but', 'or', 'so', 'if', 'when', 'that', 'which', 'who', 'very', 'quite', 'really', 'too', 'just', 'only', 'even', 'to', 'for', 'with', 'then', 'now', 'well', 'yes', 'no'), false) AS doubtful FROM c""")
+ ({LOOSE}), false) AS doubtful FROM c""".replace("{LOOSE}", ", ".join(f"'{w}'" for w in ev.LOOSE_ENDS)))
 def doubtful_stops(spark, d):
     t = F.when(F.col("turn") % 3 == 0, F.col("text")).otherwise(F.concat(F.regexp_replace("text", "[.!?]*$", ""), F.lit(" because.")))
     return table(spark, d, "conversations").select("conv_id", "turn", ev.doubtful_stop(t).alias("doubtful"))
@@ -236,11 +236,13 @@ def volume_surges(spark, d):
     return r.select("media_id", F.round("a", 6).alias("rms"), ev.surge(F.col("a"), F.col("b")).alias("surge"), ev.rolls_back(F.col("a"), F.col("b")).alias("rolls_back"))
 
 
-@query("""WITH v AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings), m AS (SELECT avg(x) AS mx, avg(y) AS my, stddev_pop(x) AS sx, stddev_pop(y) AS sy, count(*) AS n, covar_pop(x, y) AS c FROM v),
+@query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), v AS (SELECT vec_id, list_sum(list_filter(e, lambda x, i: i % 2 = 1)) AS x, list_sum(list_filter(e, lambda x, i: i % 2 = 0)) AS y FROM e), m AS (SELECT avg(x) AS mx, avg(y) AS my, stddev_pop(x) AS sx, stddev_pop(y) AS sy, count(*) AS n, covar_pop(x, y) AS c FROM v),
 k AS (SELECT *, n / (n - 1.0) + 1e-6 AS d, c / sx / sy * n / (n - 1.0) AS o FROM m), z AS (SELECT vec_id, (x - mx) / sx AS a, (y - my) / sy AS b, d, o FROM v, k),
 q AS (SELECT vec_id, sqrt(greatest(0, (d * a * a - 2 * o * a * b + d * b * b) / (d * d - o * o))) AS dist FROM z) SELECT vec_id, round(dist, 5) AS distance, round(exp(-dist / sqrt(2.0)), 5) AS similarity FROM q""")
 def covariance_distances(spark, d):
-    v = table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 2).cast("array<double>").alias("v"))
+    """Of the sums over the odd and the even places of each whole vector; a test holds wider vectors against numpy."""
+    side = lambda k: F.aggregate(F.filter(F.col("embedding").cast("array<double>"), lambda x, i: i % 2 == k), F.lit(0.0), lambda a, x: a + x)
+    v = table(spark, d, "embeddings").select("vec_id", F.array(side(0), side(1)).alias("v"))
     fitted = op.CovarianceDistance.fit(v, "v", 2)
     return fitted.add_distance(v, "v").select("vec_id", F.round("distance", 5).alias("distance"), F.round(ev.covariance_similarity(F.col("distance"), 2), 5).alias("similarity"))
 
