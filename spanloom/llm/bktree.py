@@ -15,7 +15,7 @@ import numpy as np
 #: An edge is 64 at most.
 EDGES = 128
 #: (query, node) pairs that are walked at once.
-FRONT = 1 << 18
+FRONT = 1 << 16
 
 
 def distance(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
@@ -78,9 +78,13 @@ class BKForest:
 
     def walk(self, queries: np.ndarray, root: np.ndarray, radius: int, seen: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(query, node) of the pairs within ``radius``, each query going down the tree with that root along the edges within the radius."""
-        todo = [(np.arange(a, min(a + FRONT, len(queries))), root[a : a + FRONT]) for a in range(0, len(queries), FRONT)]
+        todo = [iter([(np.arange(a, min(a + FRONT, len(queries))), root[a : a + FRONT]) for a in range(0, len(queries), FRONT)])]
         while todo:
-            q, node = todo.pop()
+            part = next(todo[-1], None)
+            if part is None:
+                todo.pop()
+                continue
+            q, node = part
             if seen is not None:
                 seen.append(len(q))
             d = distance(queries[q], self.prints[node])
@@ -88,18 +92,22 @@ class BKForest:
             if hit.any():
                 yield q[hit], node[hit]
             more = np.flatnonzero(self.parents[node])
-            if not len(more):
-                continue
-            q, node, d = q[more], node[more], d[more]
-            low = np.searchsorted(self.link, node * EDGES + np.maximum(d - radius, 0))
-            n = np.searchsorted(self.link, node * EDGES + np.minimum(d + radius, 64) + 1) - low
-            ends = np.cumsum(n)
-            a = 0
-            while a < len(n):  # in slices, so that what is held stays bounded
-                b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + FRONT, side="right")))
-                size = n[a:b]
-                total = int(size.sum())
-                if total:
-                    within = np.arange(total) - np.repeat(np.cumsum(size) - size, size)
-                    todo.append((np.repeat(q[a:b], size), np.repeat(low[a:b], size) + within))
-                a = b
+            if len(more):
+                q, node, d = q[more], node[more], d[more]
+                low = np.searchsorted(self.link, node * EDGES + np.maximum(d - radius, 0))
+                n = np.searchsorted(self.link, node * EDGES + np.minimum(d + radius, 64) + 1) - low
+                todo.append(_below(q, low, n))
+
+
+def _below(q: np.ndarray, low: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query, node) of the ``n`` children from ``low`` of every query's node, about FRONT at a time; a slice is made when it is asked for."""
+    ends = np.cumsum(n)
+    a = 0
+    while a < len(n):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + FRONT, side="right")))
+        size = n[a:b]
+        total = int(size.sum())
+        if total:
+            within = np.arange(total) - np.repeat(np.cumsum(size) - size, size)
+            yield np.repeat(q[a:b], size), np.repeat(low[a:b], size) + within
+        a = b

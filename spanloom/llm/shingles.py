@@ -43,7 +43,7 @@ RING = 16
 #: Texts of one shingle that meet in one task, at most; that are numbered in one, about.
 SHARD, PACK = 1 << 14, 1 << 16
 #: Pairs that are held at once.
-MEET = 1 << 18
+MEET = 1 << 16
 #: Bytes of texts whose shingles are held at once, about.
 TEXT_BYTES = 2 << 20
 #: Bits of the sketch by which pairs are rejected before their texts are brought together.
