@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Mapping
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -131,3 +134,44 @@ def segment_fault(text: Column, no_speech: Column, logprob: Column, compression:
         F.when(bare == "", "empty").when(bare.isin(phrases), "training phrase").when((no_speech >= 0.6) & (logprob < -1.0), "no speech")
         .when((compression > 2.4) & repeats_token(text), "repetition")
     )
+
+
+#: Number words with the list numbers they stand for, marks beside words, spellings that recognisers get wrong.
+NUMBER_WORDS = {w: f"{i}." for i, w in enumerate("one two three four five six seven eight nine ten".split(), 1)}
+BESIDE_WORDS = ".,!?;:，。！？；："
+SPELLINGS = {"mahood": "Mehood", "lusty": "Lestie", "lesti": "Lestie", "suzy": "Susie", "shao shi": "Xiao Xi"}
+
+
+def _lookup(pairs: Mapping[str, str], key: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for p in pairs.items() for x in p]), key)
+
+
+def numbered(text: Column) -> Column:
+    """A leading number word as a list number: before a capital or in six words at most, or alone; else the text as it is."""
+    word = F.regexp_extract(text, rf"(?iU)^({'|'.join(NUMBER_WORDS)})\s+\w", 1)
+    rest = F.regexp_replace(F.substring(text, F.length(word) + 1, F.length(text)), r"(?U)^\s+|\s+$", "")
+    few = F.size(F.regexp_extract_all(text, F.lit(r"(?U)\S+"), F.lit(0)))
+    bare = F.regexp_replace(text, f"[{BESIDE_WORDS}]+$", "")
+    alone = _lookup(NUMBER_WORDS, F.lower(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), f"[{BESIDE_WORDS}]+$", ""), r"(?U)^\s+", "")))
+    listed = (word != "") & (rest.rlike(r"^\p{Lu}") | (few <= 6))
+    return F.when(listed, F.concat_ws(" ", _lookup(NUMBER_WORDS, F.lower(word)), rest)).when(alone.isNotNull() & (few == 1), F.concat(alone, F.substring(text, F.length(bare) + 1, F.length(text)))).otherwise(text)
+
+
+def corrected(text: Column, spellings: Mapping[str, str]) -> Column:
+    """Known wrong spellings replaced: phrases anywhere (those of most words first), then words, which keep their case and the marks after them."""
+    for phrase in sorted((k for k in spellings if " " in k), key=lambda k: -len(k.split())):
+        text = F.regexp_replace(text, "(?iu)" + re.escape(phrase), spellings[phrase].replace("\\", "\\\\").replace("$", "\\$"))
+
+    def word(w: Column) -> Column:
+        right = _lookup(spellings, F.lower(F.btrim(w, F.lit(BESIDE_WORDS))))
+        upper = w.rlike(r"\p{Lu}") & ~w.rlike(r"\p{Ll}")
+        cased = F.when(upper, F.upper(right)).when(w.rlike(r"^\p{Lu}"), F.concat(F.upper(F.substring(right, 1, 1)), F.substring(right, F.lit(2), F.length(right)))).otherwise(right)
+        return F.when(right.isNull(), w).otherwise(F.concat(cased, F.regexp_extract(w, f"([{BESIDE_WORDS}]*)$", 1)))
+
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(r"(?U)\S+"), F.lit(0)), word), " ")
+
+
+def normalized(text: Column, spellings: Mapping[str, str] = SPELLINGS) -> Column:
+    """A recognised text with list numbers, known spellings, a final stop after a letter or digit, and single spaces; blank texts as they are."""
+    fixed = corrected(numbered(text), spellings) if spellings else F.array_join(F.regexp_extract_all(numbered(text), F.lit(r"(?U)\S+"), F.lit(0)), " ")
+    return F.when(text.rlike(r"(?U)\S"), F.when(fixed.rlike(r"[\p{L}\p{N}]$"), F.concat(fixed, F.lit("."))).otherwise(fixed)).otherwise(text)

@@ -57,3 +57,16 @@ def segment_filter(spark, d):
     k = F.col("turn")
     fault = tx.segment_fault(F.col("text"), (k % 5) / 5.0, -(k % 3) * 0.75, F.lit(None).cast("double"))
     return table(spark, d, "conversations").select("conv_id", "turn", fault.alias("fault"))
+
+
+@query(r"""WITH c AS (SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN 'One ' || text WHEN 1 THEN 'two  small words' WHEN 2 THEN 'Three!' WHEN 3 THEN text || ' lesti, SUZY' ELSE text END AS t FROM conversations WHERE text IS NOT NULL),
+n AS (SELECT *, regexp_extract(t, '(?i)^(One|Two|Three|Four|Five|Six|Seven|Eight|Nine|Ten)\s+[\pL\pN_]', 1) AS w, len(regexp_extract_all(t, '\S+')) AS few FROM c),
+m AS (SELECT *, MAP {'one': '1.', 'two': '2.', 'three': '3.'}[lower(w)] AS no, MAP {'one': '1.', 'two': '2.', 'three': '3.'}[lower(rtrim(trim(t), '.,!?;:'))] AS alone, trim(substr(t, length(w) + 1)) AS rest FROM n),
+r AS (SELECT conv_id, turn, t, CASE WHEN w <> '' AND (regexp_matches(rest, '^\p{Lu}') OR few <= 6) THEN no || ' ' || rest WHEN alone IS NOT NULL AND few = 1 THEN alone || substr(t, length(rtrim(t, '.,!?;:')) + 1) ELSE t END AS x FROM m),
+f AS (SELECT conv_id, turn, t, array_to_string(list_transform(regexp_extract_all(x, '\S+'), lambda w: CASE lower(rtrim(w, '.,')) WHEN 'lesti' THEN CASE WHEN regexp_matches(w, '\p{Lu}') AND NOT regexp_matches(w, '\p{Ll}') THEN 'LESTIE' ELSE 'Lestie' END || regexp_extract(w, '([.,]*)$', 1)
+WHEN 'suzy' THEN CASE WHEN regexp_matches(w, '\p{Lu}') AND NOT regexp_matches(w, '\p{Ll}') THEN 'SUSIE' ELSE 'Susie' END || regexp_extract(w, '([.,]*)$', 1) ELSE w END), ' ') AS x FROM r)
+SELECT conv_id, turn, CASE WHEN regexp_matches(t, '\S') THEN CASE WHEN regexp_matches(x, '[\pL\pN]$') THEN x || '.' ELSE x END ELSE t END AS text FROM f""")
+def normalized_texts(spark, d):
+    k, t = F.col("turn") % 5, F.col("text")
+    said = F.when(k == 0, F.concat(F.lit("One "), t)).when(k == 1, "two  small words").when(k == 2, "Three!").when(k == 3, F.concat(t, F.lit(" lesti, SUZY"))).otherwise(t)
+    return table(spark, d, "conversations").where("text is not null").select("conv_id", "turn", tx.normalized(said).alias("text"))

@@ -49,3 +49,14 @@ def test_segment_fault(spark):
     assert ask(spark, fault(None, None, None), "...", "Thanks for watching!", "hello") == ["empty", "training phrase", None]
     assert ask(spark, fault(0.7, -1.5, None), "hello") == ["no speech"]
     assert ask(spark, fault(0.1, -0.5, 3.0), "go go go", "go home") == ["repetition", None]
+
+
+def test_normalized_texts(spark):
+    cases = {
+        "One answer within three rings": "1. answer within three rings.", "one Answer that goes on for very long words": "1. Answer that goes on for very long words.", "two of the many words that follow here": "two of the many words that follow here.",
+        "Two": "2.", "three!": "3.!", " Ten, ": "10.", "  ": "  ", "": "", "MAHOOD and suzy, met  Lusty": "MEHOOD and Susie, met Lestie.", "Shao Shi\tcame!": "Xiao Xi came!", "好的": "好的.", "onerous": "onerous.", "five 天气 好": "5. 天气 好.",
+    }
+    df = spark.createDataFrame(list(cases), "string").toDF("t").select("t", tx.normalized(F.col("t")).alias("n"), tx.normalized(F.col("t"), {}).alias("safe"))
+    got = {r.t: (r.n, r.safe) for r in df.collect()}
+    assert {t: g[0] for t, g in got.items()} == cases
+    assert got["MAHOOD and suzy, met  Lusty"][1] == "MAHOOD and suzy, met Lusty." and spark.range(1).select(tx.normalized(F.lit(None).cast("string"))).first()[0] is None
