@@ -311,4 +311,4 @@ def json_props_rollup(spark, d):
     return e.groupBy("event_type", "k").agg(F.count(F.lit(1)).alias("n")).withColumn("key_hash", F.sha2("event_type", 256))
 
 
-from . import assembly, attribution, dialogue, energy, events, feedback, textual, timeline, unions, voices  # noqa: E402, F401  registers their queries
+from . import assembly, attribution, dialogue, energy, events, feedback, keys, textual, timeline, unions, voices  # noqa: E402, F401  registers their queries
