@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import clusters as cl
 from ..operators import frames as fr
 from ..operators import speakers as sp
 from ..sources.tables import table
@@ -65,3 +66,10 @@ SELECT media_id, {MS.format("t0")}, {MS.format("t1")}, round(rms, 6) AS rms, rou
 def noise_profile(spark, d):
     p = fr.noise_profile(frames(spark, d), M, 0.5, 8, 4, 3.0, 2.0, 5.0, 1.0, 40.0)
     return p.select("media_id", *_ms("t0", "t1"), *[F.round(c, 6).alias(c) for c in ("rms", "mad", "db")], "stable", "frames")
+
+
+@query()
+def voice_groups(spark, d):
+    """Vectors grouped within their label by average linkage; tests hold the operator against all pairwise distances."""
+    v = table(spark, d, "embeddings").select(F.col("label").alias("media_id"), F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    return cl.voice_groups(v, M, below=0.8).select("media_id", "id", "cluster", F.round("silhouette", 6).alias("silhouette"))
