@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 
 from ..operators import frames as fr
 from ..operators import kernels as kn
+from ..operators import spectrum as su
 from ..sources.tables import spans, table
 from .registry import HOUR, M, _of, query
 
@@ -99,3 +100,24 @@ def sequence_ratio_turns(spark, d):
     ratio = F.pandas_udf(kn.sequence_ratio, "double")
     n = table(spark, d, "conversations").select("conv_id", "turn", "text", F.lead("text").over(w).alias("n")).where("n IS NOT NULL")
     return n.select("conv_id", "turn", F.round(ratio("text", "n"), 6).alias("ratio"))
+
+
+def _blocks(spark, d, size):
+    f = frames(spark, d).select("media_id", F.floor(F.col("k") / size).alias("block"), "k", (F.col("rms") / 100).alias("x"))
+    return f.groupBy("media_id", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda v: v["x"]).alias("samples"))
+
+
+@query("WITH {S}, " + FRAMES + """, n AS (SELECT media_id, count(*) AS n, (count(*) - 32) // 8 * 8 AS last FROM f GROUP BY media_id)
+SELECT f.media_id, k, round(CASE WHEN n < 32 OR (k >= 1 AND k <= last + 30) THEN rms / 100 ELSE 0 END, 6) AS sample FROM f JOIN n USING (media_id)""")
+def spectral_roundtrip(spark, d):
+    """Samples to spectra and back: what whole frames cover is the signal again."""
+    b = _blocks(spark, d, 64)
+    out = su.restored(su.spectra(b, M, 64, 32, 8), b, M, 64, 32, 8)
+    return out.select("media_id", "block", F.posexplode("samples").alias("at", "x")).select("media_id", (F.col("block") * 64 + F.col("at")).alias("k"), F.round("x", 6).alias("sample"))
+
+
+@query()
+def spectral_gate(spark, d):
+    """Noise of the first frames taken out of all; a test holds the operator against numpy over whole signals."""
+    out = su.spectral_gate(_blocks(spark, d, 64), M, 64, -6.0, 4, 32, 8)
+    return out.select("media_id", "block", F.posexplode("samples").alias("at", "x")).select("media_id", (F.col("block") * 64 + F.col("at")).alias("k"), F.round("x", 6).alias("sample"))
