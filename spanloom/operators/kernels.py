@@ -127,19 +127,25 @@ def align(left: DataFrame, right: DataFrame, by: Sequence[str], gap: float = 2.0
     return both.where("mixed").drop("mixed").groupBy(*by, "stretch").applyInPandas(one, schema).unionByName(alone)
 
 
+def nearness(a0: float, a1: float, b0: float, b1: float, reach: float) -> float:
+    """1 for equal times, 0 where starts and ends together are ``2 * reach`` apart or more."""
+    return max(0.0, 1 - (abs(a0 - b0) + abs(a1 - b1)) / (2 * reach))
+
+
 def greedy_match(left: DataFrame, right: DataFrame, by: Sequence[str], reach: float = 3.0) -> DataFrame:
-    """Each left cue in time order takes the best free right cue that starts within 2 * ``reach``: by, id, r_id, score.
+    """Each left cue in time order takes the best free right cue whose start and end are ``2 * reach`` away together at most: by, id, r_id, score.
 
-    Score: 0.6 text ratio + 0.4 nearness of the starts, above one half to count; at equal scores the earlier cue.
+    Score: 0.6 text ratio + 0.4 nearness in time, above one half to count; at equal scores the earlier cue.
     """
     keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in left.select(*by).schema)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["t0", "t1", "id"])
         key, rows = [pdf[c].iloc[0] for c in by], []
-        free = list(pdf[pdf.side == 1][["id", "t0", "text"]].itertuples(index=False))
+        free = list(pdf[pdf.side == 1][["id", "t0", "t1", "text"]].itertuples(index=False))
         for a in pdf[pdf.side == 0].itertuples(index=False):
-            near = [(0.6 * SequenceMatcher(None, a.text, b.text).ratio() + 0.4 * max(0.0, 1 - abs(a.t0 - b.t0) / reach), -k) for k, b in enumerate(free) if abs(a.t0 - b.t0) <= 2 * reach]
+            close = [(k, b) for k, b in enumerate(free) if abs(a.t0 - b.t0) + abs(a.t1 - b.t1) <= 2 * reach]
+            near = [(0.6 * SequenceMatcher(None, a.text, b.text).ratio() + 0.4 * nearness(a.t0, a.t1, b.t0, b.t1, reach), -k) for k, b in close]
             score, place = max(near, default=(0.0, 0))
             if score > 0.5:
                 rows.append([*key, a.id, free.pop(-place).id, score])
@@ -150,6 +156,21 @@ def greedy_match(left: DataFrame, right: DataFrame, by: Sequence[str], reach: fl
     return both.groupBy(*by, "stretch").applyInPandas(one, f"{keys}, id bigint, r_id bigint, score double")
 
 
+def match_events(left: DataFrame, right: DataFrame, by: Sequence[str], reach: float = 3.0) -> DataFrame:
+    """by, id, r_id, score: keys with as many left as right cues are matched place by place, others greedily; a score above one half counts."""
+    w = W.partitionBy(*by).orderBy("t0", "t1", "id")
+    placed = [df.select(*by, "id", "t0", "t1", F.coalesce("text", F.lit("")).alias("text"), F.row_number().over(w).alias("_n")) for df in (left, right)]
+    sizes = [df.groupBy(*by).agg(F.count(F.lit(1)).alias(name)) for df, name in ((left, "_l"), (right, "_r"))]
+    same = sizes[0].join(sizes[1], list(by)).where("_l = _r").select(*by)
+    r = placed[1].select(*by, "_n", F.col("id").alias("r_id"), F.col("t0").alias("_t0"), F.col("t1").alias("_t1"), F.col("text").alias("_text"))
+    apart = F.abs(F.col("t0") - F.col("_t0")) + F.abs(F.col("t1") - F.col("_t1"))
+    ratio = F.pandas_udf(sequence_ratio, "double")
+    score = ratio("text", "_text") * 0.6 + F.greatest(F.lit(0.0), 1 - apart / (2 * reach)) * 0.4
+    zipped = placed[0].join(r, [*by, "_n"]).join(same, list(by), "left_semi").withColumn("score", score).where("score > 0.5").select(*by, "id", "r_id", "score")
+    rest = [df.join(same, list(by), "left_anti") for df in (left, right)]
+    return zipped.unionByName(greedy_match(*rest, by, reach))
+
+
 def joined_text(a: str, b: str) -> str:
     """b appended to a without the longest end of a (2 characters or more) that b starts with; the longer if one holds the other."""
     if b in a:

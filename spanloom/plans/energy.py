@@ -87,6 +87,12 @@ def greedy_matching(spark, d):
     return kn.greedy_match(_cues(_of(spark, d, "click")), _cues(_of(spark, d, "view")), M, 6 * HOUR).select("media_id", "id", "r_id", F.round("score", 6).alias("score"))
 
 
+@query()
+def event_matching(spark, d):
+    """Cues of two sides by place where they are as many, else greedily; a test holds the operator against a loop."""
+    return kn.match_events(_cues(_of(spark, d, "click")), _cues(_of(spark, d, "view")), M, 6 * HOUR).select("media_id", "id", "r_id", F.round("score", 6).alias("score"))
+
+
 @query()
 def overlap_dedup(spark, d):
     """Overlapping spans of one speaker reduced to one."""
