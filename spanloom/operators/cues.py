@@ -24,6 +24,11 @@ WORD = "struct<text:string,start:double,end:double>"
 PIECE = f"struct<text:string,start:double,end:double,words:array<{WORD}>>"
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: Spark would compute a column anew for each of its uses inside a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def utterances(text: Column) -> Column:
     """Texts that end with one mark each; a piece after an abbreviation belongs to it."""
     raw = F.filter(F.transform(F.regexp_extract_all(text, F.lit(f"[^{MARKS}]*[{MARKS}]|[^{MARKS}]+$"), F.lit(0)), lambda p: F.regexp_replace(p, r"(?U)^\s+|\s+$", "")), lambda p: p != "")
@@ -42,26 +47,36 @@ def match_words(text: Column, words: Column, start: Column, end: Column) -> Colu
     Only words within the estimated time, widened by half of it on both sides, are tried; tokens without one are passed over.
     """
     margin = (end - start) * 0.5
-    tried = F.filter(words, lambda w: (w["start"] >= start - margin) & (w["end"] <= end + margin))
-    state = lambda rest, out: F.struct(rest.alias("rest"), out.alias("out"))
+    bare = lambda w: F.lower(F.btrim(w["text"], F.lit(BESIDE)))
+    tried = F.transform(F.filter(words, lambda w: (w["start"] >= start - margin) & (w["end"] <= end + margin)), lambda w: F.struct(w.alias("word"), bare(w).alias("bare")))
+    state = lambda next_, out: F.struct(next_.alias("next"), out.alias("out"))
+
+    def matched(tried: Column) -> Column:
+        def step(acc: Column, token: Column) -> Column:
+            # the place of the first fitting word from the next one on
+            fits = F.array_position(F.transform(F.slice(tried, acc["next"], F.size(tried)), lambda w: F.contains(w["bare"], token) | F.contains(token, w["bare"])), F.lit(True)).cast("int")
+            return _let(fits, lambda at: F.when(at > 0, state(acc["next"] + at, F.concat(acc["out"], F.array(acc["next"] + at - 1)))).otherwise(acc))
 
-    def step(acc: Column, token: Column) -> Column:
-        bare = lambda w: F.lower(F.btrim(w["text"], F.lit(BESIDE)))
-        at = F.array_position(F.transform(acc["rest"], lambda w: F.contains(bare(w), token) | F.contains(token, bare(w))), F.lit(True)).cast("int")
-        found = state(F.slice(acc["rest"], at + 1, F.size(acc["rest"])), F.concat(acc["out"], F.array(F.element_at(acc["rest"], at))))
-        return F.when(at > 0, found).otherwise(acc)
+        tokens = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)[\w']+"), F.lit(0))
+        places = F.aggregate(tokens, state(F.lit(1), F.array().cast("array<int>")), step, lambda acc: acc["out"])
+        return F.transform(places, lambda at: F.element_at(tried, at)["word"])
 
-    tokens = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)[\w']+"), F.lit(0))
-    return F.aggregate(tokens, state(tried, F.array().cast(f"array<{WORD}>")), step, lambda acc: acc["out"])
+    return _let(tried, matched)
 
 
 def timed(parts: Column, words: Column, t0: Column, t1: Column, chars: Column) -> Column:
     """Utterances as struct<text, start, end, words>: times of their first and last word, else by their share of the characters."""
     state = lambda at, out: F.struct(at.alias("at"), out.alias("out"))
-    total = F.greatest(F.lit(1), chars)
+    return _let(F.greatest(F.lit(1), chars), lambda total: F.aggregate(parts, state(F.lit(0), F.array().cast(f"array<{PIECE}>")), _timing(words, t0, t1, total, state), lambda acc: acc["out"]))
+
+
+def _timing(words: Column, t0: Column, t1: Column, total: Column, state):
+    """A step of ``timed``."""
 
     def step(acc: Column, p: Column) -> Column:
-        upto = acc["at"] + display_chars(p)
+        return _let(acc["at"] + display_chars(p), lambda upto: placed(acc, p, upto))
+
+    def placed(acc: Column, p: Column, upto: Column) -> Column:
         a, z = acc["at"] / total * (t1 - t0), upto / total * (t1 - t0)
         # matched once, by a one-element array
         piece = F.transform(F.array(match_words(p, words, a, z)), lambda m: F.struct(
@@ -69,7 +84,7 @@ def timed(parts: Column, words: Column, t0: Column, t1: Column, chars: Column) -
         ))
         return state(upto, F.concat(acc["out"], piece))
 
-    return F.aggregate(parts, state(F.lit(0), F.array().cast(f"array<{PIECE}>")), step, lambda acc: acc["out"])
+    return step
 
 
 def grouped(pieces: Column, shortest: float, longest: float) -> Column:
@@ -103,7 +118,12 @@ def forced(text: Column, words: Column, t0: Column, t1: Column, target: Column)
 
     Separators inside a cut have no length of their own. A rest of four characters or less, or under a quarter of all, joins the last cut.
     """
-    total = F.greatest(F.lit(1), display_chars(text))
+    known = F.struct(F.greatest(F.lit(1), display_chars(text)).alias("total"), target.alias("target"))
+    return _let(known, lambda k: _cuts(text, words, t0, t1, k["total"], k["target"]))
+
+
+def _cuts(text: Column, words: Column, t0: Column, t1: Column, total: Column, target: Column) -> Column:
+    """``forced`` with the number of characters known."""
     when = lambda at: t0 + at / total * (t1 - t0)
     state = lambda out, now, at, from_: F.struct(out.alias("out"), now.alias("now"), at.alias("at"), from_.alias("from"))
     strip = lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", "")
@@ -111,19 +131,21 @@ def forced(text: Column, words: Column, t0: Column, t1: Column, target: Column)
     last = lambda out: F.element_at(out, -1)
     swapped = lambda out, piece: F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(piece))
 
-    def separator(acc: Column, p: Column) -> Column:
-        upto = acc["at"] + display_chars(p)
+    def separator(acc: Column, p: Column, upto: Column) -> Column:
         longer = F.struct(F.concat(rstrip(last(acc["out"])["text"]), p).alias("text"), last(acc["out"])["start"].alias("start"), when(upto).alias("end"), last(acc["out"])["words"].alias("words"))
         out = F.when(F.size(acc["out"]) > 0, swapped(acc["out"], longer)).otherwise(acc["out"])
         return F.when(strip(acc["now"]) == "", state(out, acc["now"], upto, upto)).otherwise(state(acc["out"], F.concat(acc["now"], p), acc["at"], acc["from"]))
 
-    def word(acc: Column, p: Column) -> Column:
-        upto, now = acc["at"] + display_chars(p), F.concat(acc["now"], p)
+    def word(acc: Column, p: Column, upto: Column) -> Column:
+        now = F.concat(acc["now"], p)
         a, z = acc["from"] / total * (t1 - t0), upto / total * (t1 - t0)
         inside = F.filter(words, lambda w: (w["start"] >= a) & (w["end"] <= z + 0.001))
         piece = F.struct(strip(now).alias("text"), F.greatest(t0, t0 + a).alias("start"), F.least(t1, t0 + z).alias("end"), inside.alias("words"))
         return F.when((upto - acc["from"] >= target) | (upto >= total), state(F.concat(acc["out"], F.array(piece)), F.lit(""), upto, upto)).otherwise(state(acc["out"], now, upto, acc["from"]))
 
+    def step(acc: Column, p: Column) -> Column:
+        return _let(acc["at"] + display_chars(p), lambda upto: F.when(p.rlike(f"(?U)^{WEAK}$"), separator(acc, p, upto)).otherwise(word(acc, p, upto)))
+
     def end(acc: Column) -> Column:
         rest, out = strip(acc["now"]), acc["out"]
         n = display_chars(rest)
@@ -135,9 +157,9 @@ def forced(text: Column, words: Column, t0: Column, t1: Column, target: Column)
 
     parts = F.regexp_extract_all(text, F.lit(f"(?U){WEAK}|[^,，;；\\s—…]+"), F.lit(0))
     start = state(F.array().cast(f"array<{PIECE}>"), F.lit(""), F.lit(0), F.lit(0))
-    cut = F.aggregate(parts, start, lambda acc, p: F.when(p.rlike(f"(?U)^{WEAK}$"), separator(acc, p)).otherwise(word(acc, p)), end)
+    cut = F.aggregate(parts, start, step, end)
     whole = F.array(F.struct(text.alias("text"), t0.alias("start"), t1.alias("end"), words.alias("words")))
-    return F.when(F.size(cut) > 0, cut).otherwise(whole)
+    return _let(cut, lambda c: F.when(F.size(c) > 0, c).otherwise(whole))
 
 
 def split_long(cues: DataFrame, by: Sequence[str], shortest: float = 0.8, longest: float = 5.0, lines: int = 2, cjk: int = 20, latin: int = 42) -> DataFrame:
@@ -154,13 +176,13 @@ def split_long(cues: DataFrame, by: Sequence[str], shortest: float = 0.8, longes
     piece = lambda text, t0, t1, words, cut, from_: F.struct(text.alias("text"), t0.alias("start"), t1.alias("end"), words.alias("words"), cut.alias("cut"), from_.alias("origin"))
     whole = piece(F.col("text"), F.col("t0"), F.col("t1"), F.col("words"), ~fits, F.col("t0"))
 
-    def group(g: Column) -> Column:
-        own = F.slice("_timed", g["first"], g["n"])
+    def group(own: Column, g: Column) -> Column:
         return piece(F.array_join(F.transform(own, lambda u: u["text"]), " "), own[0]["start"], F.element_at(own, -1)["end"], F.flatten(F.transform(own, lambda u: u["words"])), g["forced"], F.col("t0"))
 
     several = ~fits & (F.size("_parts") > 1)
-    some = some.withColumn("_timed", F.when(several, timed(F.col("_parts"), F.col("words"), F.col("t0"), F.col("t1"), F.col("_chars"))))
-    some = some.withColumn("_groups", F.when(several, F.transform(grouped(F.col("_timed"), shortest, longest), group)).otherwise(F.array(whole)))
+    pieces = timed(F.col("_parts"), F.col("words"), F.col("t0"), F.col("t1"), F.col("_chars"))
+    cut_up = _let(pieces, lambda p: F.transform(grouped(p, shortest, longest), lambda g: _let(F.slice(p, g["first"], g["n"]), lambda own: group(own, g))))
+    some = some.withColumn("_groups", F.when(several, cut_up).otherwise(F.array(whole)))
     rows = some.select(*keys, F.posexplode("_groups").alias("_p", "_g")).select(*keys, "_p", "_g.*")
     cut = F.when(F.col("cut"), forced(F.col("text"), F.col("words"), F.col("start"), F.col("end"), F.floor(most(F.col("text")) / 2))).otherwise(F.array(F.struct("text", "start", "end", "words")))
     rows = rows.select(*keys, "_p", F.posexplode(cut).alias("_q", "_c")).select(*keys, "_p", "_q", F.col("_c.text").alias("text"), F.col("_c.start").alias("t0"), F.col("_c.end").alias("t1"), F.col("_c.words").alias("words"))
