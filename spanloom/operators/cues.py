@@ -134,7 +134,7 @@ def _cuts(text: Column, words: Column, t0: Column, t1: Column, total: Column, ta
     def separator(acc: Column, p: Column, upto: Column) -> Column:
         longer = F.struct(F.concat(rstrip(last(acc["out"])["text"]), p).alias("text"), last(acc["out"])["start"].alias("start"), when(upto).alias("end"), last(acc["out"])["words"].alias("words"))
         out = F.when(F.size(acc["out"]) > 0, swapped(acc["out"], longer)).otherwise(acc["out"])
-        return F.when(strip(acc["now"]) == "", state(out, acc["now"], upto, upto)).otherwise(state(acc["out"], F.concat(acc["now"], p), acc["at"], acc["from"]))
+        return F.when(acc["now"] == "", state(out, acc["now"], upto, upto)).otherwise(state(acc["out"], F.concat(acc["now"], p), acc["at"], acc["from"]))
 
     def word(acc: Column, p: Column, upto: Column) -> Column:
         now = F.concat(acc["now"], p)
@@ -144,7 +144,8 @@ def _cuts(text: Column, words: Column, t0: Column, t1: Column, total: Column, ta
         return F.when((upto - acc["from"] >= target) | (upto >= total), state(F.concat(acc["out"], F.array(piece)), F.lit(""), upto, upto)).otherwise(state(acc["out"], now, upto, acc["from"]))
 
     def step(acc: Column, p: Column) -> Column:
-        return _let(acc["at"] + display_chars(p), lambda upto: F.when(p.rlike(f"(?U)^{WEAK}$"), separator(acc, p, upto)).otherwise(word(acc, p, upto)))
+        upto = acc["at"] + p["n"]
+        return F.when(p["weak"], separator(acc, p["text"], upto)).otherwise(word(acc, p["text"], upto))
 
     def end(acc: Column) -> Column:
         rest, out = strip(acc["now"]), acc["out"]
@@ -156,6 +157,7 @@ def _cuts(text: Column, words: Column, t0: Column, t1: Column, total: Column, ta
         return F.when(rest == "", out).when(small, swapped(out, joined)).otherwise(F.concat(out, F.array(tail)))
 
     parts = F.regexp_extract_all(text, F.lit(f"(?U){WEAK}|[^,，;；\\s—…]+"), F.lit(0))
+    parts = F.transform(parts, lambda p: F.struct(p.alias("text"), display_chars(p).alias("n"), p.rlike(f"(?U)^{WEAK}").alias("weak")))
     start = state(F.array().cast(f"array<{PIECE}>"), F.lit(""), F.lit(0), F.lit(0))
     cut = F.aggregate(parts, start, step, end)
     whole = F.array(F.struct(text.alias("text"), t0.alias("start"), t1.alias("end"), words.alias("words")))
