@@ -102,11 +102,26 @@ def recent_flips(history: DataFrame, by: Sequence[str], order: Sequence[Column],
     return n.withColumn("state", F.when(F.col("flips") >= 3, "lock").when(F.col("flips") >= 2, "oscillating").otherwise("stable"))
 
 
+def _exact_total(value: str) -> tuple[Column, Column]:
+    """The sum of doubles that stand for decimals of ten places or fewer, free of the order of rows (null if some value is none), and their count."""
+    x = F.col(value).cast("double")
+    d = F.col(value).try_cast("decimal(28,10)")
+    near = F.coalesce(F.abs(d.cast("double") - x) <= F.abs(x) * 1e-15, F.lit(False))
+    return F.when(F.bool_and(near | x.isNull()), F.sum(F.when(near, d))), F.count(x)
+
+
 def shadow_verdict(runs: DataFrame, by: Sequence[str], base: str, trial: str, least: int, gain: float) -> DataFrame:
-    """Whether paired runs favour the trial: enough runs and a relative gain of the mean of at least ``gain``."""
-    m = runs.groupBy(*by).agg(F.count(F.when(F.col(base).isNotNull() & F.col(trial).isNotNull(), 1)).alias("runs"), F.avg(base).alias("base"), F.avg(trial).alias("trial"))
-    g = F.when(F.col("base") > 0, (F.col("trial") - F.col("base")) / F.col("base")).otherwise(0.0)
-    return m.withColumn("gain", g).withColumn("verdict", F.when(F.col("runs") < least, "wait").when(F.col("gain") >= gain, "upgrade").otherwise("keep"))
+    """Whether paired runs favour the trial: enough runs and a relative gain of the mean of at least ``gain``.
+
+    The gain of decimals comes from exact sums by one division, so a tie with ``gain`` or half of a last digit falls the same way in any order of rows.
+    """
+    (b, nb), (t, nt) = _exact_total(base), _exact_total(trial)
+    m = runs.groupBy(*by).agg(F.count(F.when(F.col(base).isNotNull() & F.col(trial).isNotNull(), 1)).alias("runs"), F.avg(base).alias("base"), F.avg(trial).alias("trial"), b.alias("_b"), t.alias("_t"), (nb == nt).alias("_paired"))
+    plain = (F.col("trial") - F.col("base")) / F.col("base")
+    exact = (F.col("_t") - F.col("_b")).cast("double") / F.col("_b").cast("double")
+    g = F.when(F.col("base") > 0, F.when(F.col("_paired") & (F.col("_b") > 0), F.coalesce(exact, plain)).otherwise(plain)).otherwise(0.0)
+    m = m.withColumn("gain", g).drop("_b", "_t", "_paired")
+    return m.withColumn("verdict", F.when(F.col("runs") < least, "wait").when(F.col("gain") >= gain, "upgrade").otherwise("keep"))
 
 
 def margin_accept(ranked: DataFrame, query: str, score: str, best: float = 0.70, over_mean: float = 0.08, over_next: float = 0.05) -> DataFrame:
