@@ -124,25 +124,40 @@ def shadow_verdict(runs: DataFrame, by: Sequence[str], base: str, trial: str, le
     return m.withColumn("verdict", F.when(F.col("runs") < least, "wait").when(F.col("gain") >= gain, "upgrade").otherwise("keep"))
 
 
-def margin_accept(ranked: DataFrame, query: str, score: str, best: float = 0.70, over_mean: float = 0.08, over_next: float = 0.05) -> DataFrame:
-    """Accept a query's first hit (rank 1..k) if it is good, above the mean of its k hits and clear of the second."""
-    g = ranked.groupBy(query).agg(F.max(F.when(F.col("rank") == 1, F.col(score))).alias("top1"), F.max(F.when(F.col("rank") == 2, F.col(score))).alias("top2"), F.avg(score).alias("mean"))
+def margin_accept(ranked: DataFrame, query: str, score: str, best: float = 0.70, over_mean: float = 0.08, over_next: float = 0.05, label: str | None = None) -> DataFrame:
+    """Accept a query's first hit (rank 1..k) if it is good, above the mean of its k hits and clear of the second; ``nearest`` is the first hit's ``label``."""
+    first = [] if label is None else [F.max(F.when(F.col("rank") == 1, F.col(label))).alias("nearest")]
+    g = ranked.groupBy(query).agg(*first, F.max(F.when(F.col("rank") == 1, F.col(score))).alias("top1"), F.max(F.when(F.col("rank") == 2, F.col(score))).alias("top2"), F.avg(score).alias("mean"))
     ok = (F.col("top1") >= best) & (F.col("top1") >= F.col("mean") + over_mean) & F.coalesce(F.col("top1") - F.col("top2") >= over_next, F.lit(True))
     return g.withColumn("accepted", ok)
 
 
+#: Blocks of centroids that are broadcast, at most; parts that the vectors under a block are dealt to beyond.
+BROADCAST_BLOCKS, PARTS = 16, 32
+
+
 def nearest_centroids(vectors: DataFrame, centroids: DataFrame, k: int, block: int = 256) -> DataFrame:
     """The ``k`` centroids (label, c) most similar to each vector (vec_id, v): vec_id, label, cosine, rank.
 
-    Centroids meet the vectors in blocks of about ``block``, each one array and one equi-join key; only the best k of a block go on.
+    Centroids meet the vectors in blocks of about ``block``, each one array; only the best k of a block go on. A few blocks are broadcast, so
+    vectors stay where they are; of more, each is dealt with its vectors to PARTS tasks. Lengths are taken once for each vector and centroid.
     """
-    from ..functions.vector import cosine
+    from ..functions.vector import dot, norm
 
     n = max(1, -(-centroids.count() // block))
-    blocks = centroids.withColumn("_b", F.pmod(F.xxhash64("label"), F.lit(n)).cast("int")).groupBy("_b").agg(F.collect_list(F.struct("label", "c")).alias("_cs"))
-    met = vectors.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(blocks, "_b")
-    hits = F.transform("_cs", lambda c: F.struct((-cosine(F.col("v"), c["c"])).alias("away"), c["label"].alias("label")))
-    best = met.select("vec_id", F.inline(F.slice(F.array_sort(hits), 1, k)))
+    sized = centroids.select("label", "c", norm(F.col("c")).alias("size"))
+    blocks = sized.groupBy(F.pmod(F.xxhash64("label"), F.lit(n)).cast("int").alias("_b")).agg(F.collect_list(F.struct("label", "c", "size")).alias("_cs"))
+    own = vectors.select("vec_id", "v", norm(F.col("v")).alias("_size"))
+    if n <= BROADCAST_BLOCKS:
+        met = own.crossJoin(F.broadcast(blocks))
+    else:
+        parts = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+        dealt = own.withColumn("_part", F.pmod(F.xxhash64("vec_id"), F.lit(PARTS)).cast("int")).withColumn("_b", parts(n))
+        met = dealt.join(blocks.withColumn("_part", parts(PARTS)), ["_b", "_part"])
+    # 0 where a vector is zero
+    near = lambda c: F.when(F.col("_size") * c["size"] == 0, F.lit(0.0)).otherwise(dot(F.col("v"), c["c"]) / (F.col("_size") * c["size"]))
+    hits = F.transform("_cs", lambda c: F.struct((-near(c)).alias("away"), c["label"].alias("label")))
+    best = met.select("vec_id", F.inline(F.slice(F.sort_array(hits), 1, k)))
     r = best.withColumn("rank", F.row_number().over(W.partitionBy("vec_id").orderBy("away", "label"))).where(F.col("rank") <= k)
     return r.select("vec_id", "label", (-F.col("away")).alias("cosine"), "rank")
 

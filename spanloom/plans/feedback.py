@@ -113,6 +113,5 @@ def centroid_margin(spark, d):
     mean = v.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x"))
     c = mean.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("c"))
     hits = fb.nearest_centroids(v.select("vec_id", "v"), c, 3)
-    first = hits.where("rank = 1").select("vec_id", F.col("label").alias("nearest"))
-    m = fb.margin_accept(hits, "vec_id", "cosine", best=0.3)
-    return m.join(first, "vec_id").select("vec_id", "nearest", F.round("top1", 5).alias("top1"), "accepted")
+    m = fb.margin_accept(hits, "vec_id", "cosine", best=0.3, label="label")
+    return m.select("vec_id", "nearest", F.round("top1", 5).alias("top1"), "accepted")

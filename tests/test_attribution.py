@@ -49,3 +49,22 @@ def test_gain_of_decimals_is_exact_in_any_order_of_rows(spark):
         assert {(r.gain, r.verdict) for r in got} == {(0.04, "upgrade")} and len(got) == 12
     plain = feedback.shadow_verdict(spark.createDataFrame([(1, 1 / 3, 2 / 3), (1, float("inf"), 1.0), (2, 1 / 3, 2 / 3), (2, None, None)], "k int, base double, trial double"), ["k"], "base", "trial", 1, 0.04)
     assert {r.k: (r.runs, round(r.gain, 9) if r.k == 2 else None) for r in plain.collect()} == {1: (2, None), 2: (1, 1.0)}
+
+
+def test_nearest_centroids_are_broadcast_or_dealt(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    v, c = rng.normal(size=(30, 5)), rng.normal(size=(40, 5))
+    v[4] = 0
+    vectors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id int, v array<double>")
+    centroids = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(c)], "label int, c array<double>")
+    size = np.linalg.norm(v, axis=1)[:, None] * np.linalg.norm(c, axis=1)
+    near = np.where(size == 0, 0, v @ c.T / np.where(size == 0, 1, size)).round(12)
+    want = {(i, int(label), rank) for i in range(30) for rank, label in enumerate(np.lexsort((np.arange(40), -near[i]))[:3], 1)}
+    for block in (256, 2):  # of one label a block, 20 blocks are beyond those that are broadcast
+        hits = feedback.nearest_centroids(vectors, centroids, 3, block)
+        assert {(r.vec_id, r.label, r["rank"]) for r in hits.collect()} == want
+    # a block's vectors never meet under one key
+    plan = feedback.nearest_centroids(vectors, centroids, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoopJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning(_b" not in plan.split("BroadcastExchange")[0]
