@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .cues import _let
+
 ORDER = ("t0", "t1", "id")
 
 
@@ -24,21 +26,24 @@ def union_words(words: DataFrame, by: Sequence[str], share: float = 0.5, toleran
 
     In order of time, a word that repeats one kept so far goes, or takes its place if it is surer, then longer, then of a shorter id;
     of several that it repeats the one kept longest counts. An alias always names a word that stays. Only words of one text can repeat
-    each other, and only where they touch, so each fold sees one text's touching words.
+    each other, and only where they touch, so each fold sees one text's touching words, whole: those that stay need no join to be found again.
     """
     norm = F.lower(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", ""))
     w = W.partitionBy(*by, "_norm").orderBy(*ORDER)
     reach = F.max("t1").over(w.rowsBetween(W.unboundedPreceding, -1))
     seen = words.withColumn("_norm", norm).withColumn("_new", F.coalesce((F.col("t0") - reach > tolerance).cast("int"), F.lit(0))).withColumn("_island", F.sum("_new").over(w))
-    item = F.struct(*ORDER, F.coalesce("confidence", F.lit(0.0)).cast("double").alias("confidence"), "language")
-    islands = seen.groupBy(*by, "_norm", "_island").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    rest = [c for c in words.columns if c not in (*by, *ORDER, "language")]
+    item = F.struct(*ORDER, F.coalesce("confidence", F.lit(0.0)).cast("double").alias("_sure"), "language", F.struct(*rest).alias("_rest"))
+    islands = seen.groupBy(*by, "_norm", "_island").agg(F.sort_array(F.collect_list(item)).alias("items"))
     kind = islands.schema["items"].dataType.elementType
     alias = lambda a, b: F.struct(a.cast("string").alias("id"), b.cast("string").alias("canonical"))
     state = lambda kept, gone: F.struct(kept.alias("kept"), gone.alias("gone"))
-    rank = lambda x: F.struct(x["confidence"], x["t1"] - x["t0"], -F.length(x["id"].cast("string")))
+    rank = lambda x: F.struct(x["_sure"], x["t1"] - x["t0"], -F.length(x["id"].cast("string")))
 
     def step(acc: Column, x: Column) -> Column:
-        old = F.get(F.filter(acc["kept"], lambda k: _same(k, x, share, tolerance)), F.lit(0))
+        return _let(F.get(F.filter(acc["kept"], lambda k: _same(k, x, share, tolerance)), F.lit(0)), lambda old: decided(acc, x, old))
+
+    def decided(acc: Column, x: Column, old: Column) -> Column:
         wins = rank(x) > rank(old)
         rest = F.filter(acc["kept"], lambda k: k["id"] != old["id"])
         # what stood for the word that goes now stands for the one that comes
@@ -53,10 +58,10 @@ def union_words(words: DataFrame, by: Sequence[str], share: float = 0.5, toleran
     # a word alone needs no fold
     alone = F.size("items") == 1
     folded = islands.withColumn("_s", F.when(alone, state(F.col("items"), none["gone"])).otherwise(F.aggregate("items", none, step)))
-    kept = folded.select(*by, F.explode("_s.kept.id").alias("id"))
+    kept = folded.select(*by, F.explode("_s.kept").alias("_w")).select(*by, *[F.col(f"_w.{c}") for c in (*ORDER, "language")], *[F.col(f"_w._rest.{c}") for c in rest]).select(*words.columns)
     gone = folded.select(*by, F.inline("_s.gone"))
     id_type = words.schema["id"].dataType
-    return words.join(kept, [*by, "id"], "left_semi"), gone.select(*by, F.col("id").cast(id_type).alias("id"), F.col("canonical").cast(id_type).alias("canonical"))
+    return kept, gone.select(*by, F.col("id").cast(id_type).alias("id"), F.col("canonical").cast(id_type).alias("canonical"))
 
 
 def rewire_segments(segments: DataFrame, words: DataFrame, aliases: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -66,7 +71,7 @@ def rewire_segments(segments: DataFrame, words: DataFrame, aliases: DataFrame, b
     """
     named = segments.select(*by, "n", F.col("id").alias("segment"), F.explode("words").alias("id")).join(aliases, [*by, "id"], "left")
     named = named.select(*by, "n", "segment", F.coalesce("canonical", "id").alias("id")).join(words.select(*by, *ORDER), [*by, "id"])
-    lists = named.groupBy(*by, "n", "segment").agg(F.array_sort(F.collect_set(F.struct(*ORDER))).alias("_w"))
+    lists = named.groupBy(*by, "n", "segment").agg(F.sort_array(F.collect_set(F.struct(*ORDER))).alias("_w"))
     ids = F.transform("_w", lambda x: x["id"])
     once = lists.withColumn("words", ids).withColumn("_k", F.row_number().over(W.partitionBy(*by, "words").orderBy("n"))).where("_k = 1")
     again = F.row_number().over(W.partitionBy(*by, "segment").orderBy("n"))
@@ -82,7 +87,7 @@ def merge_groups(events: DataFrame, by: Sequence[str], reason: str = "merge") ->
     """
     item = F.struct("t0", "id", "t1", "text", "speaker", "status", "word_ids", "spans")
     grouped = events.groupBy(*by).agg(
-        F.array_sort(F.collect_list(item)).alias("items"), F.min("p0").alias("p0"), F.max("p1").alias("p1"),
+        F.sort_array(F.collect_list(item)).alias("items"), F.min("p0").alias("p0"), F.max("p1").alias("p1"),
     )
     counted = events.where("speaker is not null").groupBy(*by, "speaker").agg(F.count(F.lit(1)).alias("n"))
     most = counted.groupBy(*by).agg(F.max_by("speaker", F.struct("n", -F.col("speaker"))).alias("_most"))

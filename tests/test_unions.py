@@ -84,3 +84,12 @@ def test_projection_states(spark):
     assert (fixed[2].state, fixed[2].start, fixed[2].end) == ("one_repair", 20.5, 22.5) and fixed[0].start == 0.8
     assert (fixed[5].state, fixed[5].warnings, fixed[5].states) == ("fallback", ["no_start", "no_end", "repair_failed"], ["proposed", "projected", "merged", "fallback"])
     assert all(b in P.STATES[a] for r in fixed.values() for a, b in zip(r.states, r.states[1:], strict=False))
+
+
+def test_words_that_stay_are_not_joined_again(spark):
+    words = [(1, "a", 0.0, 0.5, "hi", 0.9, "en", 7), (1, "b", 0.1, 0.5, "hi", None, None, 8), (1, "c", 3.0, 3.5, None, None, None, None), (1, "d", 0.0, 0.5, "other", 0.1, "de", 9)]
+    df = spark.createDataFrame(words, WORDS + ", place int")
+    kept, aliases = U.union_words(df, ["m"])
+    assert kept.columns == df.columns and sorted(map(tuple, kept.collect())) == sorted(w for w in words if w[1] != "b")
+    assert [(r.id, r.canonical) for r in aliases.collect()] == [("b", "a")]
+    assert "Join" not in kept._jdf.queryExecution().executedPlan().toString()
