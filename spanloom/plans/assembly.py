@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..operators import assembly as op
 from ..operators import cues as cu
@@ -196,12 +195,10 @@ def build_fragments(spark, d):
 
 @query()
 def split_long_cues(spark, d):
-    """Turns of conversations as cues cut to readable ones: folds over each cue's utterances and parts, held by tests against a loop."""
+    """Turns of conversations as cues cut to readable ones: loops over each cue's utterances and parts, held by tests against a loop."""
     w = _words(spark, d)
-    start = F.min("t0").over(W.partitionBy("media_id", "turn"))
-    w = w.withColumn("_a", start).withColumn("w", F.struct("k", "text", (F.col("t0") - F.col("_a")).alias("start"), (F.col("t1") - F.col("_a")).alias("end")))
-    cues = w.groupBy("media_id", "turn").agg(F.min("t0").alias("t0"), F.max("t1").alias("t1"), F.array_sort(F.collect_list("w")).alias("w"))
-    words = F.transform("w", lambda x: F.struct(x["text"], x["start"], x["end"]))
+    cues = w.groupBy("media_id", "turn").agg(F.min("t0").alias("t0"), F.max("t1").alias("t1"), F.sort_array(F.collect_list(F.struct("k", "text", F.col("t0").alias("a"), F.col("t1").alias("z")))).alias("w"))
+    words = F.transform("w", lambda x: F.struct(x["text"], (x["a"] - F.col("t0")).alias("start"), (x["z"] - F.col("t0")).alias("end")))
     cues = cues.select("media_id", F.col("turn").alias("id"), "t0", "t1", F.array_join(F.transform("w", lambda x: x["text"]), " ").alias("text"), words.alias("words"))
     c = cu.split_long(cues, M)
     return c.select("media_id", "cue", "id", *_ms("t0", "t1"), "text", F.size("words").alias("n_words"))

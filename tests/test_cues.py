@@ -115,3 +115,21 @@ def test_short_null_and_unbroken_cues(spark):
     got = C.split_long(spark.createDataFrame(rows, CUES), ["m"]).orderBy("cue").collect()
     assert [(r.id, r.t0, r.t1) for r in got[:3]] == [(1, 0.0, 2.0), (2, 3.0, 20.0), (3, 30.0, 50.0)] and [r.cue for r in got] == list(range(1, len(got) + 1))
     assert "".join(r.text.replace(" ", "") for r in got[3:]) == "第一句话。第二句话。" * 5 and all(r.t1 - r.t0 <= 5 for r in got[3:])
+
+
+def test_cuts_are_computed_once(spark):
+    """A filter on lists that are never empty would compute every cut twice."""
+    rows = [(1, 1, 0.0, 30.0, "one two, three. Four five dr. Six seven", [("one", 0.0, 1.0), ("Four", 9.0, 9.5)])]
+    plan = C.split_long(spark.createDataFrame(rows, CUES), ["m"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_words_come_back_as_they_were_and_missing_times_stay(spark):
+    words = [("one", None, 1.0), None, (None, 2.0, 3.0), ("Four", 9.0, 9.5)]
+    rows = [(1, 1, None, 30.0, "one two. Four" * 10, words), (1, 2, 50.0, 90.0, "\u3000Four words. more", words), (1, 3, 95.0, 96.0, "short", words)]
+    got = C.split_long(spark.createDataFrame(rows, CUES), ["m"]).orderBy("cue").collect()
+    assert [(r.id, round(r.t0, 3), r.t1, r.text) for r in got if r.id != 1] == [(2, 59.0, 59.5, "Four words."), (2, 76.667, 50 + 14 / 15 * 40, "more"), (3, 95.0, 96.0, "short")]
+    assert [(w and tuple(w)) for w in got[-1].words] == words
+    # with a start missing, each utterance keeps what is known
+    one = [r for r in got if r.id == 1]
+    assert len(one) == 11 and all(r.t0 is None and r.t1 == 30.0 and not r.words for r in one)
