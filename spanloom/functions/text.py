@@ -104,11 +104,10 @@ def wrap_middle(text: Column, most: int, reach: int = 10) -> Column:
 
 def join_tokens(words: Column) -> Column:
     """Words as one text, spaced except beside marks and characters of scripts without spaces."""
-    tight_left, tight_right = F.lit("[" + "".join("\\" + c for c in CLOSING) + "]"), F.lit("[" + "".join("\\" + c for c in OPENING) + "]")
+    tight_left, tight_right = ("[" + CJK[1:-1] + "".join("\\" + c for c in marks) + "]" for marks in (CLOSING, OPENING))
 
     def add(acc: Column, w: Column) -> Column:
-        head, tail = F.substring(w, 1, 1), F.right(acc, F.lit(1))
-        glued = head.rlike(CJK) | tail.rlike(CJK) | F.regexp_like(head, tight_left) | F.regexp_like(tail, tight_right)
+        glued = F.substring(w, 1, 1).rlike(tight_left) | F.right(acc, F.lit(1)).rlike(tight_right)
         return F.when(w == "", acc).when(acc == "", w).when(glued, F.concat(acc, w)).otherwise(F.concat_ws(" ", acc, w))
 
     return F.aggregate(F.transform(words, lambda w: F.trim(w)), F.lit(""), add)

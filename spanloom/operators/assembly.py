@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 
 from ..functions.text import join_tokens
 from . import intervals as iv
+from .cues import _let
 
 ORDER = ("t0", "t1", "id")
 T_SPANS = "array<struct<start:double,end:double,clip:string,evidence:array<string>>>"
@@ -41,24 +42,24 @@ def _speakers(words: DataFrame, by: Sequence[str], width: float, segments: DataF
     else:
         # of several segments that name a word the last one counts
         named = segments.select(*by, "n", F.when(F.col("speaker") >= 0, F.col("speaker")).alias("_s"), F.explode("words").alias("id"))
-        words = words.join(named.groupBy(*key).agg(F.max_by(F.struct("_s"), "n").alias("_of")), key, "left").withColumn("_segment", F.col("_of._s")).drop("_of")
+        words = words.join(named.groupBy(*key).agg(F.max_by("_s", "n").alias("_segment")), key, "left")
     layers = [t.select(*by, F.lit(k).alias("layer"), "speaker", "t0", "t1") for k, t in enumerate((exclusive, turns)) if t is not None]
-    sets = F.array().cast("array<int>")
     if layers:
         every = layers[0] if len(layers) == 1 else layers[0].unionByName(layers[1])
         open_ = words.where(word.isNull() & F.col("_segment").isNull()).select(*by, "id", ((F.col("t0") + F.col("t1")) / 2).alias("t"))
         met = iv.stab_join(open_, every, by, width).where("t < r_t1")
-        heard = met.groupBy(*key).agg(*[F.collect_set(F.when(F.col("r_layer") == k, F.col("r_speaker"))).alias(f"_h{k}") for k in (0, 1)])
+        # the least and the largest speaker tell none, one and several apart, and need no sets, which Spark sorts for
+        found = lambda k: F.when(F.col("r_layer") == k, F.col("r_speaker"))
+        heard = met.groupBy(*key).agg(*[f(found(k)).alias(f"_h{k}{n}") for k in (0, 1) for n, f in (("a", F.min), ("z", F.max))])
         words = words.join(heard, key, "left")
     else:
-        words = words.withColumn("_h0", sets).withColumn("_h1", sets)
+        words = words.withColumns({f"_h{k}{n}": F.lit(None).cast("int") for k in (0, 1) for n in "az"})
     nobody = F.lit(None).cast("int")
     said = lambda who, source, conflict=False: F.struct(who.cast("int").alias("speaker"), F.lit(source).alias("source"), F.lit(conflict).alias("conflict"))
     out = F.when(word.isNotNull(), said(word, "word")).when(F.col("_segment").isNotNull(), said(F.col("_segment"), "segment"))
     for k, source in ((0, "exclusive_turn"), (1, "turn")):
-        n = F.coalesce(F.size(f"_h{k}"), F.lit(0))
-        out = out.when(n == 1, said(F.element_at(f"_h{k}", 1), source)).when(n > 1, said(nobody, "mixed", True))
-    return words.withColumn("said", out.otherwise(said(nobody, "unknown"))).drop("_segment", "_h0", "_h1")
+        out = out.when(F.col(f"_h{k}a") == F.col(f"_h{k}z"), said(F.col(f"_h{k}a"), source)).when(F.col(f"_h{k}a") < F.col(f"_h{k}z"), said(nobody, "mixed", True))
+    return words.withColumn("said", out.otherwise(said(nobody, "unknown"))).drop("_segment", "_h0a", "_h0z", "_h1a", "_h1z")
 
 
 def allocate_words(
@@ -178,29 +179,33 @@ def build_events(words: DataFrame, by: Sequence[str], max_gap: float = 0.8, max_
     held = words.withColumn("bin", none) if bins is None else words.join(best_bins(words, bins, by, width), [*by, "id"], "left")
     w = _in_order(by)
     held = held.withColumn("_new", (~follows(by, max_gap, max_evidence_gap)).cast("int")).withColumn("_run", F.sum("_new").over(w))
-    inner = W.partitionBy(*by, "_run").orderBy(*ORDER)
-    # inside a run the group's bin is the last one seen, as any other one has begun a group; a run that begins without one has none
-    began, last = F.first("bin.id").over(inner), F.last("bin.id", ignorenulls=True).over(inner.rowsBetween(W.unboundedPreceding, -1))
-    cut = F.coalesce((F.col("bin.id") != last) & began.isNotNull(), F.lit(False)).cast("int")
-    held = held.withColumn("_cut", cut).withColumn("_group", F.sum(F.greatest("_new", "_cut")).over(w))
+    if bins is None:
+        held = held.withColumn("_part", F.lit(0).cast("long"))
+    else:
+        inner = W.partitionBy(*by, "_run").orderBy(*ORDER)
+        # inside a run the group's bin is the last one seen, as any other one has begun a group; a run that begins without one has none
+        began, last = F.first("bin.id").over(inner), F.last("bin.id", ignorenulls=True).over(inner.rowsBetween(W.unboundedPreceding, -1))
+        held = held.withColumn("_cut", F.coalesce((F.col("bin.id") != last) & began.isNotNull(), F.lit(False)).cast("int")).withColumn("_part", F.sum("_cut").over(inner))
+    group = ["_run", "_part"]
     fields = [*ORDER, "text", "speaker", "speaker_source", "spans", "evidence", "warnings", "aligned0", "aligned1", "start_ok", "end_ok", "bin"]
     items, i0, i1 = F.col("items"), F.col("items")[0], F.element_at("items", -1)
-    grouped = held.groupBy(*by, "_group").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("items"))
+    grouped = held.groupBy(*by, *group).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("items"))
 
     def proved(i: Column) -> Column:
         inside = F.transform(i["evidence"], lambda e: F.struct(F.greatest(i["t0"], e["start"]).alias("start"), F.least(i["t1"], e["end"]).alias("end"), e["clip"].alias("clip"), F.array(e["id"]).alias("evidence")))
         return F.filter(inside, lambda s: s["start"] < s["end"])
 
-    evidence, plain = F.flatten(F.transform(items, proved)), F.flatten(F.transform(items, lambda i: i["spans"]))
+    plain = F.flatten(F.transform(items, lambda i: i["spans"]))
+    proof = _let(F.flatten(F.transform(items, proved)), lambda evidence: F.when(F.size(evidence) > 0, evidence).otherwise(plain))
     fine = F.coalesce(i0["start_ok"] & i1["end_ok"], F.lit(False))
     warnings = F.array_distinct(F.concat(F.flatten(F.transform(items, lambda i: i["warnings"])), F.when(fine, _texts()).otherwise(_texts("timing_degraded"))))
     status = F.when(i0["speaker"].isNotNull(), "known").when(F.exists(items, lambda i: i["speaker_source"] == "mixed"), "mixed").otherwise("unknown")
-    numbered = grouped.withColumn("event", F.row_number().over(W.partitionBy(*by).orderBy("_group"))).withColumn("_alone", F.count(F.lit(1)).over(W.partitionBy(*by, i0["bin"]["id"])) == 1)
+    numbered = grouped.withColumn("event", F.row_number().over(W.partitionBy(*by).orderBy(*group))).withColumn("_alone", F.count(F.lit(1)).over(W.partitionBy(*by, i0["bin"]["id"])) == 1)
     own = F.when(F.col("_alone"), i0["bin"])
     return numbered.select(
         *by, "event", F.coalesce(i0["aligned0"], i0["t0"]).alias("t0"), F.coalesce(i1["aligned1"], i1["t1"]).alias("t1"), join_tokens(F.transform(items, lambda i: i["text"])).alias("text"),
         F.transform(items, lambda i: F.struct(i["id"], i["text"], i["t0"], i["t1"])).alias("words"), i0["speaker"].alias("speaker"), status.alias("speaker_status"), i0["speaker_source"].alias("speaker_source"),
-        _merged_spans(F.when(F.size(evidence) > 0, evidence).otherwise(plain)).alias("spans"), warnings.alias("warnings"), (F.col("event") > 1).alias("split_before"),
+        _merged_spans(proof).alias("spans"), warnings.alias("warnings"), (F.col("event") > 1).alias("split_before"),
         own["id"].alias("bin"), own["start"].alias("bin0"), own["end"].alias("bin1"), F.when(fine, "boundary_decision").otherwise("timing_degraded").alias("time_source"),
     )
 
@@ -208,7 +213,8 @@ def build_events(words: DataFrame, by: Sequence[str], max_gap: float = 0.8, max_
 def _parts(items: Column, state: Column, add, ends) -> Column:
     """Consecutive slices of an array, as struct<first, n>: a slice ends after an item where ``ends(state, item)`` holds of the state with the item added.
 
-    ``add(state, item)`` gives the state of a slice with one more item, ``state`` that of none.
+    ``add(state, item)`` gives the state of a slice with one more item, ``state`` that of none. Take the slices of lists that are not empty by
+    ``explode_outer``: Spark would compute those of ``explode`` twice, to filter out empty lists first.
     """
     piece = lambda first, n: F.struct(first.alias("first"), n.alias("n"))
     acc = lambda out, first, n, s: F.struct(out.alias("out"), first.alias("first"), n.alias("n"), s.alias("s"))
@@ -239,10 +245,10 @@ def merge_micro_events(events: DataFrame, by: Sequence[str], max_bin_gap: float
     joins = F.coalesce(joins & (gap >= 0) & (gap <= max_bin_gap) & (step >= -0.01) & (step <= max_word_gap), F.lit(False))
     chained = seen.withColumn("_chain", F.sum((~joins).cast("int")).over(w)).withColumn("_next", F.lead("_chars").over(w))
     fields = [c for c in events.columns if c not in by and c != "event"]
-    chains = chained.groupBy(*by, "_chain").agg(F.array_sort(F.collect_list(F.struct("event", "_chars", "_next", *fields))).alias("items"))
+    chains = chained.groupBy(*by, "_chain").agg(F.sort_array(F.collect_list(F.struct("event", "_chars", "_next", *fields))).alias("items"))
     # a part ends before an event unless that event or the part is short
     parts = _parts(F.col("items"), F.lit(0), lambda s, i: s + i["_chars"], lambda s, i: F.least(s, F.coalesce(i["_next"], F.lit(0))) > max_chars)
-    pieces = chains.withColumn("_p", F.explode(parts)).withColumn("items", F.slice("items", F.col("_p.first"), F.col("_p.n")))
+    pieces = chains.withColumn("_p", F.explode_outer(parts)).withColumn("items", F.slice("items", F.col("_p.first"), F.col("_p.n")))
     items, i0, i1 = F.col("items"), F.col("items")[0], F.element_at("items", -1)
     words = F.flatten(F.transform(items, lambda i: i["words"]))
     bins = F.concat_ws("+", F.filter(F.transform(items, lambda i: i["bin"]), lambda b: b.isNotNull()))
@@ -273,11 +279,11 @@ def build_fragments(words: DataFrame, by: Sequence[str], long_pause: float = 0.6
     seen = words.withColumn("_hard", hard).withColumn("_gap", gap).withColumn("_soft", F.coalesce(gap >= pause, F.lit(False)))
     seen = seen.withColumn("_next", F.lead("_hard").over(w)).withColumn("_new", (F.col("_hard").isNotNull() | F.coalesce(F.lag("_soft").over(w), F.lit(False))).cast("int"))
     fields = [*ORDER, "speaker", "confirmed", "language", "_gap", "_soft", "_next"]
-    islands = seen.withColumn("_island", F.sum("_new").over(w)).groupBy(*by, "_island").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("items"))
+    islands = seen.withColumn("_island", F.sum("_new").over(w)).groupBy(*by, "_island").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("items"))
     none = F.struct(F.lit(0).alias("n"), F.lit(None).cast("double").alias("from"))
     full = lambda s, i: (s["n"] >= max_words) | (i["t1"] - s["from"] >= max_seconds)
     parts = _parts(F.col("items"), none, lambda s, i: F.struct((s["n"] + 1).alias("n"), F.coalesce(s["from"], i["t0"]).alias("from")), full)
-    pieces = islands.withColumn("_p", F.explode(parts)).withColumn("items", F.slice("items", F.col("_p.first"), F.col("_p.n")))
+    pieces = islands.withColumn("_p", F.explode_outer(parts)).withColumn("items", F.slice("items", F.col("_p.first"), F.col("_p.n")))
     items, i0, i1 = F.col("items"), F.col("items")[0], F.element_at("items", -1)
     soft = F.when(F.size(items) >= max_words, "max_words").when(i1["t1"] - i0["t0"] >= max_seconds, "max_duration").when(i1["_soft"], "sentence_pause")
     who = F.filter(F.transform(items, lambda i: i["speaker"]), lambda s: s.isNotNull())

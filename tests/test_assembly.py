@@ -159,3 +159,15 @@ def test_longest_turn(spark):
     points = spark.createDataFrame([(1, "a", 1.0), (1, "b", 9.0)], "m int, id string, t double")
     turns = spark.createDataFrame([(1, 1, 0.0, 2.0), (1, 2, 0.5, 4.0), (1, 3, 8.0, 9.0)], "m int, speaker int, t0 double, t1 double")
     assert [(r.id, r.speaker) for r in A.turn_at(points, turns, ["m"], 2.0).collect()] == [("a", 2)]
+
+
+def test_slices_are_computed_once_and_sets_only_where_needed(spark):
+    """A filter on lists that are never empty would compute the slices twice; events without bins need no windows of bins."""
+    planned = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    turns = [(1, 1, 0.0, 2.0)]
+    a = allocated(spark, [(1, "a", "x", 0.8, 1.2, None)], [(1, "p", 0.0, 1.0)], exclusive=turns, turns=turns)
+    bins = spark.createDataFrame([(1, "b1", 0.0, 1.0)], SPANS)
+    plain, binned = A.build_events(a, ["m"]), A.build_events(a, ["m"], bins=bins)
+    assert planned(a).count("collect_set(") == 2
+    assert planned(plain).count("Window [") < planned(binned).count("Window [")
+    assert planned(A.merge_micro_events(binned, ["m"])).count("aggregate(items") == 1
