@@ -14,6 +14,9 @@ again: of the pairs that the walks find between different components, a spanning
 fail, the components at their ends are spanned again without the failed pairs, and after ROUNDS rounds all pairs that are left
 between such components are checked. So the pairs of a group of near-copies grow with its size as long as few of them fail.
 
+Variants of one text share many shingles, under each of which nearly the same texts meet. Such groups are put together before
+they are walked (see ``merged``), so a text is dealt once for each set of texts that it meets, not for each shingle.
+
 Defined cases: a text of fewer than five words is one shingle; null and empty texts are alike; of every group of
 linked texts the first row stays; repeated rows and extra columns are carried as they are; an empty table gives an
 empty result.
@@ -38,6 +41,8 @@ SHINGLE = 5
 RADIUS = 28
 #: Rows of the sample by which common shingles are known, about; its rows that make a shingle common; shingles so kept.
 SAMPLE, COMMON, MOST = 20_000, 4, 100_000
+#: One in so many rows tells which of the shingles that texts would meet under are common all the same; shingles so kept.
+SHARE, LISTED = 4, 1_000_000
 #: Texts under one shingle that meet in all their pairs at once.
 RING = 16
 #: Texts of one shingle that meet in one task, at most; that are numbered in one, about.
@@ -80,35 +85,66 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], ["shingle", "n"])
 
 
-def common(held: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
-    """Shingles that are common in a sample, sorted, how common each is, and how many rows one of the sample stands for."""
-    rate = max(1, held.count() // SAMPLE)
-    counts = held.where(F.pmod(F.xxhash64("_row"), F.lit(rate)) == 0).select("_row", "text").mapInArrow(_sampled, "shingle long, n long")
-    rows = counts.groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON).orderBy(F.desc("n"), "shingle").limit(MOST).toArrow()
+def _often(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that COMMON rows or more of ``counts`` (shingle, n) have, sorted, and how many each."""
+    rows = counts.groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON).orderBy(F.desc("n"), "shingle").limit(most).toArrow()
     found, n = rows.column(0).to_numpy().astype(np.int64), rows.column(1).to_numpy().astype(np.int64)
     order = np.argsort(found)
-    return found[order], n[order], rate
+    return found[order], n[order]
+
+
+def common(held: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Common shingles, sorted, and how many rows have each, about.
+
+    A sample of SAMPLE rows tells them less and less finely as the table grows. So of a fixed share of all rows, the shingles that texts
+    would meet under by that sample are counted, and those that turn out common are added: groups do not grow with the table for want of an order.
+    """
+    rate = max(1, held.count() // SAMPLE)
+    texts = held.select("_row", "text")
+    names, n = _often(texts.where(F.pmod(F.xxhash64("_row"), F.lit(rate)) == 0).mapInArrow(_sampled, "shingle long, n long"), MOST)
+    n = n * rate
+    if rate > SHARE:
+        known = held.sparkSession.sparkContext.broadcast((names, n))
+        more, m = _often(texts.where(F.pmod(F.xxhash64("_row", F.lit(1)), F.lit(SHARE)) == 0).mapInArrow(_counted(known), "shingle long, n long"), LISTED)
+        new = ~np.isin(more, names)
+        names, n = np.concatenate([names, more[new]]), np.concatenate([n, m[new] * SHARE])
+        order = np.argsort(names)
+        names, n = names[order], n[order]
+    return names, n
+
+
+def _first(sets: list[np.ndarray], names: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles under which the sets meet, the number of the set of each, and how many rows have it, about (0: few)."""
+    n = np.array([len(s) for s in sets], np.int64)
+    every, starts = np.concatenate(sets), np.cumsum(n) - n
+    often = np.zeros(len(every), np.int64)
+    if len(names):
+        at = np.minimum(np.searchsorted(names, every), len(names) - 1)
+        often = np.where(names[at] == every, counts[at], 0)
+    owner = np.repeat(np.arange(len(n)), n)
+    order = np.lexsort((every, often, owner))
+    at = order[np.arange(len(every)) - starts[owner] < (n - (4 * n + 4) // 5 + 1)[owner]]
+    return every[at], owner[at], often[at]
+
+
+def _counted(known) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text", TEXT_BYTES):
+            found, n = np.unique(_first([shingles(t) for t in b.column(1).to_pylist()], *known.value)[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], ["shingle", "n"])
+
+    return run
 
 
 def _prefixes(known) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, counts, rate = known.value
         for b in slices(batches, "text", TEXT_BYTES):
             sets = [shingles(t) for t in b.column(1).to_pylist()]
             prints = np.array([simhash(x.view(np.uint64)) for x in sets], np.uint64).view(np.int64)
-            n = np.array([len(s) for s in sets], np.int64)
-            every, starts = np.concatenate(sets), np.cumsum(n) - n
-            often = np.zeros(len(every), np.int64)
-            if len(names):
-                at = np.minimum(np.searchsorted(names, every), len(names) - 1)
-                often = np.where(names[at] == every, counts[at], 0)
-            owner = np.repeat(np.arange(len(n)), n)
-            order = np.lexsort((every, often, owner))
-            first = np.arange(len(every)) - starts[owner] < (n - (4 * n + 4) // 5 + 1)[owner]
-            at, who = order[first], owner[first]
-            row = b.column(0).to_numpy()
-            packs = (often[at] * rate // PACK + 1).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (every[at], row[who], n[who].astype(np.int32), prints[who], packs)], ["shingle", "row", "n", "fp", "packs"])
+            n = np.array([len(s) for s in sets], np.int32)
+            found, who, often = _first(sets, *known.value)
+            packs = (often // PACK + 1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (found, b.column(0).to_numpy()[who], n[who], prints[who], packs)], ["shingle", "row", "n", "fp", "packs"])
 
     return run
 
@@ -269,6 +305,27 @@ def verify(held: DataFrame, pairs: DataFrame) -> DataFrame:
     return stage(pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two").mapInArrow(_verified, "a long, b long, ok boolean"), "near-verified")
 
 
+def merged(shared: DataFrame) -> DataFrame:
+    """Groups of ``shared`` (shingle, row, n, fp, size), where many have nearly the same rows as one: every pair of rows of one group is still in one.
+
+    Every row names the largest of its groups, and groups of which more than half the rows name the same one are put together, where
+    the rows together have no more pairs than the groups have one by one.
+    """
+    named = shared.groupBy("row").agg(F.max(F.struct("size", "shingle")).alias("largest")).select("row", F.col("largest.shingle").alias("into"))
+    votes = shared.select("shingle", "row").join(named, "row").groupBy("shingle", "into").agg(F.count(F.lit(1)).alias("k"))
+    votes = votes.groupBy("shingle").agg(F.max(F.struct("k", "into")).alias("most"), F.sum("k").alias("all")).where(2 * F.col("most.k") > F.col("all"))
+    moves = stage(votes.select("shingle", F.col("most.into").alias("into"), (F.col("all").cast("double") * F.col("all")).alias("pairs")), "near-moves")
+    union = shared.join(listed(moves.select("shingle", "into")), "shingle").groupBy("into", "row").agg(F.min("n").alias("n"), F.min("fp").alias("fp"))
+    union = stage(union, "near-unions")
+    sizes = union.groupBy("into").agg(F.count(F.lit(1)).alias("size"))
+    worth = sizes.join(moves.groupBy("into").agg(F.sum("pairs").alias("pairs"), F.count(F.lit(1)).alias("k")), "into")
+    worth = listed(stage(worth.where((F.col("k") > 1) & (F.col("size").cast("double") * F.col("size") <= F.col("pairs"))).select("into", "size"), "near-worth"))
+    gone = listed(stage(moves.join(worth, "into").select("shingle"), "near-moved"))
+    # a name of their own, as the group that gave its name may have gone elsewhere
+    together = union.join(worth, "into").select(F.xxhash64("into", F.lit(1)).alias("shingle"), "row", "n", "fp", "size")
+    return stage(shared.select("shingle", "row", "n", "fp", "size").join(gone, "shingle", "left_anti").unionByName(together), "near-met")
+
+
 def walked(shared: DataFrame, wide: DataFrame, roots: DataFrame, failed: DataFrame, every: bool = False) -> DataFrame:
     """Pairs (a, b) that the walks find between rows of different components (row, linked) among those in ``roots``, without the ``failed`` pairs (a, b).
 
@@ -314,6 +371,7 @@ def near_pairs(held: DataFrame) -> DataFrame:
     # in large groups, a text meets two others first
     ring = shared.where("low is not null").groupBy("row").agg(F.array(F.min("low"), F.max("high")).alias("others")).select("row", F.explode("others").alias("other"))
     tried = verify(held, ring.select(F.least("row", "other").alias("a"), F.greatest("row", "other").alias("b")))
+    shared = merged(shared)
     failures = lambda: tried.where("not ok").select("a", "b")
     new = verify(held, walked(shared, wide, joined(tried), failures()))
     tried = stage(tried.unionByName(new), "near-tried")

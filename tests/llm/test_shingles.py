@@ -1,3 +1,5 @@
+import collections
+import itertools
 import random
 import re
 
@@ -116,3 +118,43 @@ def test_odd(odd_docs, no_docs):
     texts = [r.text for r in odd_docs.collect()]
     assert D.drop_near(odd_docs).count() == len(groups(texts)) and D.drop_near(odd_docs).columns == odd_docs.columns
     assert D.drop_near(no_docs).count() == 0
+
+
+def test_merged_groups_hold_every_pair(spark):
+    rng, rows = random.Random(15), []
+    for family in range(5):
+        members = list(range(100 * family, 100 * family + 30))
+        for g in range(40):
+            rows += [(1000 * family + g, r) for r in rng.sample(members, rng.randrange(2, 30))]
+    rows += [(10_000 + g, r) for g in range(300) for r in (7, 600 + g)]  # a text that meets many others one by one
+    rows += [(20_000 + g, r) for g in range(40) for r in {rng.randrange(500) for _ in range(6)}]
+    size = {}
+    for g, _ in rows:
+        size[g] = size.get(g, 0) + 1
+    shared = spark.createDataFrame([(g, r, 100, r, size[g]) for g, r in rows], "shingle long, row long, n int, fp long, size long").repartition(3)
+    out = S.merged(shared).collect()
+    sets = lambda it: {g: {r for h, r in rs} for g, rs in itertools.groupby(sorted(it), key=lambda x: x[0])}
+    met = sets((r.shingle, r.row) for r in out)
+    pairs = lambda some: {p for s in some.values() for p in itertools.combinations(sorted(s), 2)}
+    assert pairs(sets(rows)) <= pairs(met)
+    assert len(out) == sum(map(len, met.values())) and all(r.size == len(met[r.shingle]) and r.fp == r.row and r.n == 100 for r in out)
+    assert len(out) < len(rows) // 2 and max(map(len, met.values())) < 100
+    assert sum(len(s) ** 2 for s in met.values()) <= sum(len(s) ** 2 for s in sets(rows).values())
+
+
+def test_common_shingles_are_known_in_tables_beyond_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(S, "SAMPLE", 50)
+    rng = random.Random(16)
+    lines = [" ".join(f"l{k}x{i}" for i in range(5)) for k in range(10)]
+    texts = [f"{line} {rng.randrange(10**9)} {rng.randrange(10**9)}" for line in lines for _ in range(60)]
+    texts += [" ".join(f"w{rng.randrange(10**9)}" for _ in range(8)) for _ in range(1400)]
+    held = spark.createDataFrame(list(enumerate(texts)), "_row long, text string").repartition(3)
+
+    def meeting():
+        """Texts that meet under a line, at most."""
+        met = collections.Counter(S._first([S.shingles(t) for t in texts], *S.common(held))[0].tolist())
+        return max(met[int(S.shingles(line)[0])] for line in lines)
+
+    fine = meeting()
+    monkeypatch.setattr(S, "SHARE", 10**6)  # by the sample alone
+    assert fine <= 2 * S.RING < meeting()
